@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from foliant.llm.chat import OP8_SQL, op8_preference_format
 from foliant.llm.linededup import OP1_SQL, op1_line_winnowing
 from foliant.llm.packing import op7_mixture_packing
 from foliant.llm.quality import op5_bradley_terry
 from foliant.llm.simhash import op10_simhash_golay
+from foliant.llm.topk import OP4_SQL, op4_kdtree_topk
+from foliant.llm.warc import op3_warc_index
 
 QUERIES = {
     "op1_line_winnowing": op1_line_winnowing,
+    "op3_warc_index": op3_warc_index,
+    "op4_kdtree_topk": op4_kdtree_topk,
     "op5_bradley_terry": op5_bradley_terry,
     "op7_mixture_packing": op7_mixture_packing,
+    "op8_preference_format": op8_preference_format,
     "op10_simhash_golay": op10_simhash_golay,
 }
 
-SQL = {"op1_line_winnowing": OP1_SQL}
+SQL = {"op1_line_winnowing": OP1_SQL, "op4_kdtree_topk": OP4_SQL, "op8_preference_format": OP8_SQL}
