@@ -251,9 +251,15 @@ def scan(archive: Archive, lo: str | None = None, hi: str | None = None, payload
 def lookup(archive: Archive, urls: DataFrame, payloads: bool = False) -> DataFrame:
     """Records of the given urls (column `url`): each key meets the index files whose span holds it, then binary search."""
     base = archive.base
-    keys = urls.select("url").distinct().mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([surt(u or "") for u in b.column(0).to_pylist()], pa.string())], ["key"]) for b in it), "key string").distinct()
-    spans = archive.directory.groupBy("part").agg(F.min("first").alias("lo"), F.max("last").alias("hi"))
-    asked = keys.join(spans, (keys.key >= spans.lo) & (keys.key <= spans.hi)).select("part", "key")
+    spans = sorted(tuple(r) for r in archive.directory.groupBy("part").agg(F.min("first").alias("lo"), F.max("last").alias("hi")).select("lo", "hi", "part").collect())  # a row for each index file
+    los, his = [s[0] for s in spans], [s[1] for s in spans]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [(spans[i][2], key) for key in {surt(u or "") for u in batch.column(0).to_pylist()} for i in search(los, his, key, key)]
+            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hit], pa.int32()), pa.array([h[1] for h in hit], pa.string())], ["part", "key"])
+
+    asked = urls.select(F.col("url").cast("string")).mapInArrow(route, "part int, key string").distinct()
 
     def find(key, asked_rows: pa.Table, blocks: pa.Table) -> pa.Table:
         reader, order = Reader(base), sorted(blocks.to_pylist(), key=lambda b: b["offset"])
