@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from foliant.llm.chat import OP8_SQL, op8_preference_format
+from foliant.llm.katz import op6_katz_backoff
 from foliant.llm.linededup import OP1_SQL, op1_line_winnowing
 from foliant.llm.neighbours import OP9_SQL, op9_nn_descent
 from foliant.llm.packing import op7_mixture_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_warc_index": op3_warc_index,
     "op4_kdtree_topk": op4_kdtree_topk,
     "op5_bradley_terry": op5_bradley_terry,
+    "op6_katz_backoff": op6_katz_backoff,
     "op7_mixture_packing": op7_mixture_packing,
     "op8_preference_format": op8_preference_format,
     "op9_nn_descent": op9_nn_descent,
