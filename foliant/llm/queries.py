@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from foliant.llm.bpe import op2_byte_bpe
 from foliant.llm.chat import OP8_SQL, op8_preference_format
 from foliant.llm.katz import op6_katz_backoff
 from foliant.llm.linededup import OP1_SQL, op1_line_winnowing
@@ -14,6 +15,7 @@ from foliant.llm.warc import op3_warc_index
 
 QUERIES = {
     "op1_line_winnowing": op1_line_winnowing,
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_warc_index": op3_warc_index,
     "op4_kdtree_topk": op4_kdtree_topk,
     "op5_bradley_terry": op5_bradley_terry,
