@@ -31,6 +31,30 @@ COUNTED = "block long, bucket int, kind int, told binary, stats array<long>"
 SUMS = "bucket int, block long, kind int, keys binary, a binary, b binary"
 
 
+CODEC = pa.Codec("zstd", compression_level=3)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Integers or doubles byte plane by byte plane, compressed; the type is kept in front."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return f"{x.dtype.str[1:]:<3}{len(x):<13}".encode() + CODEC.compress(planes, asbytes=True)
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    kind, n = np.dtype(blob[:3].decode().strip()), int(blob[3:16])
+    planes = CODEC.decompress(blob[16:], n * kind.itemsize, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel()
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Rising hashes, by their differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob), dtype=np.uint64)
+
+
 def blocks_of(docs: DataFrame) -> DataFrame:
     """Tokenized documents (doc_id, text, held) in blocks; ids are places in the block's sorted word hashes."""
 
@@ -40,7 +64,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             words, ids = np.unique(np.concatenate([*tokens, np.array([END, BEGIN], np.uint64)]), return_inverse=True)
-            cols = [pa.array([number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (np.array(held, bool), np.array(lens, np.int64), words, ids[:-2].astype(np.uint32)))]
+            cols = [pa.array([number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (pack(np.array(held, np.uint8)), pack(np.array(lens, np.int64)), pack_keys(words), pack(ids[:-2].astype(np.uint32))))]
             return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in batches:
@@ -72,9 +96,9 @@ class Block:
     """A block's words and different bigrams, and the order in which it asks each bucket about them."""
 
     def __init__(self, row: dict, buckets: int):
-        self.doc_ids, self.held = row["doc_ids"], np.frombuffer(row["held"], bool)
-        self.lens, self.words = np.frombuffer(row["lens"], np.int64), np.frombuffer(row["words"], np.uint64)
-        self.ids = np.frombuffer(row["ids"], np.uint32).astype(np.int64)
+        self.doc_ids, self.held = row["doc_ids"], unpack(row["held"]).astype(bool)
+        self.lens, self.words = unpack(row["lens"]), unpack_keys(row["words"])
+        self.ids = unpack(row["ids"]).astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lens)[:-1]])
         self.begin = int(np.searchsorted(self.words, BEGIN))
         before = np.empty_like(self.ids)
@@ -97,15 +121,15 @@ class Block:
         words[self.begin] = (~self.held).sum()
         return words, np.bincount(self.pair_of[teaches], minlength=len(self.v))
 
-    def asked(self, kind: int, *values: np.ndarray) -> Iterator[tuple[int, tuple[bytes, ...]]]:
+    def asked(self, kind: int, *values: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
         for bucket, (a, b) in enumerate(zip(self.cuts[kind][:-1], self.cuts[kind][1:], strict=True)):
             if b > a:
                 at = self.order[kind][a:b]
-                yield bucket, (self.keys[kind][at].tobytes(), *(x[at].tobytes() for x in values))
+                yield bucket, (self.keys[kind][at], *(x[at] for x in values))
 
     def answers(self, kind: int, told: dict[int, bytes], dtype: type) -> np.ndarray:
         out = np.zeros(len(self.keys[kind]), dtype)
-        out[self.order[kind]] = np.concatenate([np.frombuffer(told[i], dtype) for i in range(len(self.cuts[kind]) - 1) if self.cuts[kind][i + 1] > self.cuts[kind][i]])
+        out[self.order[kind]] = np.concatenate([unpack(told[i]) for i in range(len(self.cuts[kind]) - 1) if self.cuts[kind][i + 1] > self.cuts[kind][i]])
         return out
 
 
@@ -131,22 +155,23 @@ def count(blocks: DataFrame, buckets: int) -> DataFrame:
             for row in batch.to_pylist():
                 block = Block(row, buckets)
                 for kind, counts in enumerate(block.training()):
-                    rows = [(bucket, row["block"], kind, *blobs) for bucket, blobs in block.asked(kind, counts.astype(np.uint32))]
+                    rows = [(bucket, row["block"], kind, pack_keys(keys), pack(n)) for bucket, (keys, n) in block.asked(kind, counts.astype(np.uint32))]
                     for i in range(0, len(rows), 64):
                         yield _table(list(zip(*rows[i : i + 64], strict=True)), TOLD, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())).to_batches()[0]
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        kind, bucket, cuts = rows[0]["kind"], rows[0]["bucket"], np.cumsum([0, *(len(r["keys"]) // 8 for r in rows)])
-        keys, first, place = np.unique(np.frombuffer(b"".join(r["keys"] for r in rows), np.uint64), return_index=True, return_inverse=True)
-        total = np.bincount(place, weights=np.frombuffer(b"".join(r["counts"] for r in rows), np.uint32), minlength=len(keys)).astype(np.int64)
+        kind, bucket, each = rows[0]["kind"], rows[0]["bucket"], [unpack_keys(r["keys"]) for r in rows]
+        cuts = np.cumsum([0, *map(len, each)])
+        keys, first, place = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
+        total = np.bincount(place, weights=np.concatenate([unpack(r["counts"]) for r in rows]), minlength=len(keys)).astype(np.int64)
         told = total[place]
         if kind == 1:
             told = told * 2
             told[first] += 1
         counted = total[keys != BEGIN] if kind == 0 else total
         stats = [int(counted.sum()), int((counted > 0).sum()), *np.bincount(counted[counted <= GT_MAX + 1], minlength=GT_MAX + 2)[1:].tolist()]
-        cols = [[r["block"] for r in rows], [bucket] * len(rows), [kind] * len(rows), [told[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], [stats] + [None] * (len(rows) - 1)]
+        cols = [[r["block"] for r in rows], [bucket] * len(rows), [kind] * len(rows), [pack(told[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], [stats] + [None] * (len(rows) - 1)]
         return _table(cols, COUNTED, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())))
 
     return blocks.mapInArrow(ask, TOLD).groupBy("bucket", "kind").applyInArrow(add, COUNTED)
@@ -212,21 +237,21 @@ def weigh(blocks: DataFrame, counted: DataFrame, model: Model, buckets: int) ->
         v, w, n = block.v[at], block.w[at], len(words)
         p = np.bincount(v, weights=model.bigram(pairs[at], words[v]), minlength=n)
         q = np.bincount(v, weights=model.unigram(words[w]), minlength=n)
-        rows = [(bucket, key[0].as_py(), 0, *blobs) for bucket, blobs in block.asked(0, words, words)]
+        rows = [(bucket, key[0].as_py(), 0, pack_keys(keys), pack(c), None) for bucket, (keys, c) in block.asked(0, words)]
         for bucket, (keys, ps, qs) in block.asked(0, p, q):
-            some = np.frombuffer(qs, np.float64) > 0
+            some = qs > 0
             if some.any():
-                rows.append((bucket, key[0].as_py(), 1, *(np.frombuffer(x, t)[some].tobytes() for x, t in ((keys, np.uint64), (ps, np.float64), (qs, np.float64)))))
+                rows.append((bucket, key[0].as_py(), 1, pack_keys(keys[some]), pack(ps[some]), pack(qs[some])))
         return _table(list(zip(*rows, strict=True)), SUMS, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         sums, asks = [r for r in rows if r["kind"] == 1], [r for r in rows if r["kind"] == 0]
-        keys, place = np.unique(np.frombuffer(b"".join(r["keys"] for r in sums), np.uint64), return_inverse=True)
-        p, q = (np.bincount(place, weights=np.frombuffer(b"".join(r[x] for r in sums), np.float64), minlength=len(keys)) for x in "ab")
+        keys, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *(unpack_keys(r["keys"]) for r in sums)]), return_inverse=True)
+        p, q = (np.bincount(place, weights=np.concatenate([np.zeros(0), *(unpack(r[x]) for r in sums)]), minlength=len(keys)) for x in "ab")
         told = []
         for r in asks:
-            mine, c = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["a"], np.int64)
+            mine, c = unpack_keys(r["keys"]), unpack(r["a"])
             out = np.ones(len(mine))
             if len(keys):
                 i = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
@@ -234,7 +259,7 @@ def weigh(blocks: DataFrame, counted: DataFrame, model: Model, buckets: int) ->
                 full = p[i] > 1 - 1e-9
                 alpha = np.maximum(1 - np.where(full, p[i] * c / (c + 1), p[i]), 0) / np.maximum(1 - q[i], 1e-12)
                 out = np.where(seen, np.where(full, -alpha, alpha), 1.0)
-            told.append(out.tobytes())
+            told.append(pack(out))
         cols = [[r["block"] for r in asks], [rows[0]["bucket"]] * len(asks), [2] * len(asks), told, [None] * len(asks)]
         return _table(cols, COUNTED, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())))
 
@@ -282,6 +307,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     if not stats:
         return blocks.selectExpr("explode(doc_ids) doc_id", "false held_out", "0L n_tokens", "0L n_known", "0L train_tokens", "0D base_score", "0D score")
     model = Model.of(stats[0], stats[1])
+    release(spark)  # the shuffle of the counts lasts until its query is no longer the last one
     weights = stash(weigh(blocks, counted, model, buckets), "lm-weights")
     release(spark)
     out = stash(score_blocks(blocks, counted.unionByName(weights), model, buckets), "lm-scores")
