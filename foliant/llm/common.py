@@ -51,7 +51,11 @@ def unstash(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished jobs: it does so once the driver has collected its garbage."""
+    """Let Spark drop shuffle files of finished jobs: it does so once the driver has collected its garbage.
+
+    The session holds on to the query it ran last, so a trivial one runs first.
+    """
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
