@@ -2,9 +2,207 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from foliant.functions import geometry as G
+from foliant.functions import text as X
+from foliant.operators import cluster, layout
+from foliant.sources.layout import LINES_SQL, boxes, lines_of
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+WITH = f"WITH {LINES_SQL}"
+FOOT_MARK = r"^(?:\w\d|\d\w|\d{1,3}|\w)(?:\s|\z)|^[A-Z][a-z]\. "
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            SQL[name] = sql
+        return fn
+
+    return add
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, without tables, math and running heads, to one Markdown text a document."""
+    lay = lines_of(spark, sf_dir)
+    return layout.markdown(layout.without_heads(layout.outside(lay, boxes(lay, True, 60, 100, 300, 160), 0.7)))
+
+
+query("q_flagship")(flagship)
+query("q_lay_lines", f"{WITH} SELECT * FROM lay")(lines_of)
+
+IOU = "CASE WHEN {b}0 >= {a}1 OR {a}0 >= {b}1 THEN 0.0::DOUBLE ELSE (least({a}1, {b}1) - greatest({a}0, {b}0)) / (greatest({a}1, {b}1) - least({a}0, {b}0)) END"
+
+
+@query("q_iou_y_prev", f"{WITH} SELECT doc_id, line_no, round({IOU.format(a='p', b='y')}, 6) AS iou FROM (SELECT *, lag(y0) OVER w AS p0, lag(y1) OVER w AS p1 FROM lay WINDOW w AS (PARTITION BY doc_id, block_no ORDER BY line_no))")
+def q_iou_y_prev(spark, sf_dir):
+    w = Window.partitionBy("doc_id", "block_no").orderBy("line_no")
+    lay = lines_of(spark, sf_dir).withColumn("p_y0", F.lag("y0").over(w)).withColumn("p_y1", F.lag("y1").over(w))
+    iou = G.interval_iou(F.col("p_y0"), F.col("p_y1"), F.col("y0"), F.col("y1"))
+    return lay.select("doc_id", "line_no", F.round(iou, 6).alias("iou"))
+
+
+OUT = "{with_} SELECT {cols} FROM {items} t WHERE NOT (t.page_no = 0 AND t.doc_id % 2 = {odd} AND least(x1, {x1}) > greatest(x0, {x0}) AND least(y1, {y1}) > greatest(y0, {y0}) AND (least(x1, {x1}) - greatest(x0, {x0})) * (least(y1, {y1}) - greatest(y0, {y0})) / nullif((x1 - x0) * (y1 - y0), 0) > {share})"
+BLOCKS_SQL = "b AS (SELECT doc_id, block_no, min(page_no) AS page_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars FROM lay GROUP BY ALL)"
+
+
+@query("q_contain_anti", OUT.format(with_=WITH, cols="doc_id, line_no, text", items="lay", odd=0, x0=60, y0=100, x1=300, y1=160, share=0.7))
+def q_contain_anti(spark, sf_dir):
+    lay = lines_of(spark, sf_dir)
+    return layout.outside(lay, boxes(lay, True, 60, 100, 300, 160), 0.7).select("doc_id", "line_no", "text")
+
+
+@query("q_contain_figure", OUT.format(with_=f"{WITH}, {BLOCKS_SQL}", cols="doc_id, block_no, n_lines, n_chars", items="b", odd=1, x0=50, y0=60, x1=560, y1=130, share=0.8))
+def q_contain_figure(spark, sf_dir):
+    lay = lines_of(spark, sf_dir)
+    return layout.outside(layout.blocks(lay), boxes(lay, False, 50, 60, 560, 130), 0.8).select("doc_id", "block_no", "n_lines", "n_chars")
+
+
+INSIDE = f"{WITH}, i AS (SELECT * FROM lay WHERE page_no = 0 AND doc_id % 2 = 0 AND (x0 + x1) / 2 BETWEEN 60 AND 300 AND (y0 + y1) / 2 BETWEEN 100 AND 160)"
+
+
+@query("q_spans_in_bbox", f"{INSIDE} SELECT doc_id, count(*) AS n FROM i GROUP BY doc_id")
+def q_spans_in_bbox(spark, sf_dir):
+    lay = lines_of(spark, sf_dir)
+    return layout.centres_inside(lay, boxes(lay, True, 60, 100, 300, 160)).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("q_spans_per_row", f"{INSIDE} SELECT doc_id, y0, count(*) AS n FROM i GROUP BY doc_id, y0")
+def q_spans_per_row(spark, sf_dir):
+    lay = lines_of(spark, sf_dir)
+    return layout.centres_inside(lay, boxes(lay, True, 60, 100, 300, 160)).groupBy("doc_id", "y0").agg(F.count("*").alias("n"))
+
+
+@query("q_margin_page", f"{WITH}, {BLOCKS_SQL}, t AS (SELECT *, sum(n_lines) OVER (PARTITION BY doc_id, x0, x1) AS total FROM b), g AS (SELECT doc_id, x0, x1, page_no, sum(n_lines)::BIGINT AS lines_in_page, max(total)::BIGINT AS total FROM t WHERE total > 3 GROUP BY ALL), p AS (SELECT *, count(*) OVER (PARTITION BY doc_id, x0, x1) AS pages FROM g WHERE lines_in_page > 1) SELECT doc_id, x0, x1, page_no, lines_in_page, total FROM p WHERE pages >= 1")
+def q_margin_page(spark, sf_dir):
+    w = Window.partitionBy("doc_id", "x0", "x1")
+    t = layout.blocks(lines_of(spark, sf_dir)).withColumn("total", F.sum("n_lines").over(w)).where("total > 3")
+    g = t.groupBy("doc_id", "x0", "x1", "page_no").agg(F.sum("n_lines").alias("lines_in_page"), F.max("total").alias("total")).where("lines_in_page > 1")
+    return g.withColumn("pages", F.count("*").over(w)).where("pages >= 1").drop("pages")
+
+
+@query("q_gap_cluster", "SELECT p_brand, p_partkey, (sum(CASE WHEN p_retailprice - b > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey ROWS UNBOUNDED PRECEDING))::BIGINT AS cluster FROM (SELECT *, lag(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS b FROM part)")
+def q_gap_cluster(spark, sf_dir):
+    return cluster.by_gap(spark.read.parquet(f"{sf_dir}/part.parquet"), ["p_brand"], "p_retailprice", "p_partkey", 5).select("p_brand", "p_partkey", "cluster")
+
+
+@query("q_range_cluster", f"{WITH} SELECT doc_id, line_no, (sum(CASE WHEN {IOU.format(a='p', b='y')} < 0.1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY y0, line_no ROWS UNBOUNDED PRECEDING))::BIGINT AS cluster FROM (SELECT *, lag(y0) OVER w AS p0, lag(y1) OVER w AS p1 FROM lay WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY y0, line_no))")
+def q_range_cluster(spark, sf_dir):
+    return cluster.by_overlap(lines_of(spark, sf_dir), ["doc_id", "page_no"], "y0", "y1", "line_no").select("doc_id", "line_no", "cluster")
+
+
+@query("q_mean_cluster")
+def q_mean_cluster(spark, sf_dir):
+    return cluster.by_running_mean(spark.read.parquet(f"{sf_dir}/supplier.parquet"), ["s_nationkey"], "s_acctbal", 500)
+
+
+@query("q_density_core", "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_suppkey ORDER BY l_quantity::DOUBLE RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) >= 3 AS core FROM lineitem")
+def q_density_core(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("q", F.col("l_quantity").cast("double"))
+    return cluster.density_cores(li, ["l_suppkey"], "q", 1.0).select("l_orderkey", "l_linenumber", "core")
+
+
+@query("q_min_x_k", "SELECT o_orderpriority, min(p) AS x FROM (SELECT o_orderpriority, o_totalprice::DOUBLE AS p, count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice::DOUBLE RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING) AS n FROM orders) WHERE n >= 3 GROUP BY o_orderpriority")
+def q_min_x_k(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("p", F.col("o_totalprice").cast("double"))
+    return cluster.density_cores(o, ["o_orderpriority"], "p", 50.0).where("core").groupBy("o_orderpriority").agg(F.min("p").alias("x"))
+
+
+@query("q_fonts", f"{WITH}, f AS (SELECT DISTINCT doc_id, font, regexp_replace(regexp_replace(lower(font), '[^a-z0-9]', '', 'g'), 'medium|regular|bold|italic|ital|roman', '', 'g') AS n FROM lay) SELECT a.doc_id, a.font, min(b.font) AS family, (any_value(CASE WHEN lower(a.font) LIKE '%bold%' THEN 1 ELSE 0 END) + any_value(CASE WHEN lower(a.font) LIKE '%ital%' OR lower(a.font) LIKE '%oblique%' THEN 2 ELSE 0 END))::BIGINT AS emphasis FROM f a JOIN f b ON a.doc_id = b.doc_id AND 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) >= 0.6 GROUP BY a.doc_id, a.font")
+def q_fonts(spark, sf_dir):
+    return layout.fonts(lines_of(spark, sf_dir))
+
+
+@query("q_line_pitch", f"{WITH} SELECT doc_id, font, size, round_even(y1 - y, 1) AS pitch FROM (SELECT *, lag(font) OVER w AS f, lag(size) OVER w AS s, lag(y1) OVER w AS y FROM lay WINDOW w AS (PARTITION BY doc_id, block_no ORDER BY line_no)) WHERE f = font AND s = size AND y1 - y > 0.05")
+def q_line_pitch(spark, sf_dir):
+    return layout.line_pitch(lines_of(spark, sf_dir))
+
+
+@query("q_block_majority", f"{WITH}, g AS (SELECT doc_id, block_no, font, size, sum(length(text))::BIGINT AS chars, min(line_no) AS f FROM lay GROUP BY ALL) SELECT doc_id, block_no, font, size, chars FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, block_no ORDER BY chars DESC, f) = 1")
+def q_block_majority(spark, sf_dir):
+    return layout.majority_font(lines_of(spark, sf_dir))
+
+
+PARTS_SQL = "s AS (SELECT *, (sum(cut) OVER w)::BIGINT AS part FROM (SELECT *, CASE WHEN lag(font) OVER v <> font OR lag(size) OVER v <> size THEN 1 ELSE 0 END AS cut FROM lay WINDOW v AS (PARTITION BY doc_id, block_no ORDER BY line_no)) WINDOW w AS (PARTITION BY doc_id, block_no ORDER BY line_no ROWS UNBOUNDED PRECEDING))"
+
+
+@query("q_split_font", f"{WITH}, {PARTS_SQL} SELECT doc_id, block_no, line_no, part FROM s")
+def q_split_font(spark, sf_dir):
+    return layout.split_on_font(lines_of(spark, sf_dir)).select("doc_id", "block_no", "line_no", "part")
+
+
+@query("q_unify_spans", f"{WITH}, {PARTS_SQL} SELECT doc_id, block_no, part, any_value(font) AS font, any_value(size) AS size, string_agg(text, ' ' ORDER BY line_no) AS text FROM s GROUP BY doc_id, block_no, part")
+def q_unify_spans(spark, sf_dir):
+    return layout.unify(lines_of(spark, sf_dir))
+
+
+def _paged(spark, sf_dir):
+    """Lines whose first of each page is a running header with the page's number."""
+    lay = lines_of(spark, sf_dir)
+    return lay.withColumn("text", F.when(F.col("line_no") % 12 == 0, F.concat(F.lit("Page "), F.col("page_no") + 1)).otherwise(F.col("text")))
+
+
+HEADS_SQL = f"""{WITH}, p AS (SELECT * REPLACE (CASE WHEN line_no % 12 = 0 THEN 'Page ' || (page_no + 1) ELSE text END AS text) FROM lay),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y0, line_no) AS head, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y0 DESC, line_no DESC) AS foot FROM p),
+c AS (SELECT *, lower(regexp_replace(trim(regexp_replace(regexp_replace(text, '[\\^_]\\{{(.*?)\\}}', '\\1', 'g'), '\\s+', ' ', 'g')), '[0-9]', '&', 'g')) AS key FROM (SELECT *, 'header' AS side, head AS n FROM r WHERE head <= 4 UNION ALL SELECT *, 'footer', foot FROM r WHERE foot <= 4)),
+j AS (SELECT a.doc_id, a.page_no, a.line_no, a.side, a.n, ({IOU.format(a='a.x', b='b.x')}) * ({IOU.format(a='a.y', b='b.y')}) AS area FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.side = b.side AND a.key = b.key AND a.page_no <> b.page_no AND b.page_no BETWEEN a.page_no - 8 AND a.page_no + 7),
+h AS (SELECT doc_id, page_no, line_no, side, sum(CASE WHEN area > 0.5 THEN 1.0 ELSE area END) * any_value(CASE WHEN n <= 2 THEN 1.0 ELSE 0.5 END) AS score FROM j GROUP BY ALL)"""
+
+
+@query("q_hf_score", f"{HEADS_SQL} SELECT doc_id, page_no, line_no, side, round(score::DOUBLE, 6) AS score FROM h WHERE score >= 1")
+def q_hf_score(spark, sf_dir):
+    return layout.running_heads(_paged(spark, sf_dir))
+
+
+@query("q_hf_removed", f"{HEADS_SQL} SELECT doc_id, line_no, text FROM p WHERE (doc_id, line_no) NOT IN (SELECT (doc_id, line_no) FROM h WHERE score >= 1)")
+def q_hf_removed(spark, sf_dir):
+    return layout.without_heads(_paged(spark, sf_dir)).select("doc_id", "line_no", "text")
+
+
+@query("q_math_filter", f"{WITH} SELECT doc_id, line_no, font FROM lay WHERE font NOT ILIKE '%math%'")
+def q_math_filter(spark, sf_dir):
+    return layout.without_math(lines_of(spark, sf_dir)).select("doc_id", "line_no", "font")
+
+
+@query("q_numeral_classes", "SELECT l_orderkey, l_linenumber, unnest(CASE WHEN l_linenumber = 1 THEN [{'class': 'decimal', 'value': 1}] ELSE [{'class': 'decimal', 'value': l_linenumber::INTEGER}] END, recursive := true) FROM lineitem UNION ALL SELECT o_orderkey, 0, unnest([{'class': c, 'value': v}], recursive := true) FROM (SELECT o_orderkey, t, unnest(CASE WHEN t IN ('i', 'v', 'x') THEN ['lower', 'roman_lower'] WHEN t = lower(t) THEN ['lower'] ELSE ['upper'] END) AS c, CASE WHEN c = 'roman_lower' THEN CASE t WHEN 'i' THEN 1 WHEN 'v' THEN 5 ELSE 10 END ELSE ascii(lower(t)) - 96 END AS v FROM (SELECT o_orderkey, chr((97 + o_orderkey % 26)::INTEGER) AS t FROM orders))")
+def q_numeral_classes(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.col("l_linenumber").cast("string").alias("t"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(0).cast("long").alias("l_linenumber"), F.chr((97 + F.col("o_orderkey") % 26).cast("long")).alias("t"))
+    return li.unionByName(o).select("l_orderkey", "l_linenumber", F.inline(X.numeral_classes(F.col("t"))))
+
+
+@query("q_heading_score", f"""{WITH}, {BLOCKS_SQL}, g AS (SELECT doc_id, block_no, font, sum(length(text)) AS chars, min(line_no) AS f FROM lay GROUP BY doc_id, block_no, font, size),
+m AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, block_no ORDER BY chars DESC, f) = 1), t AS (SELECT doc_id, block_no, arg_min(text, line_no) AS text FROM lay GROUP BY ALL),
+s AS (SELECT b.doc_id, b.block_no, n_chars AS n, text, font, lag(n_chars) OVER w AS p, lead(n_chars) OVER w AS a, lead(n_chars, 2) OVER w AS z FROM b JOIN m USING (doc_id, block_no) JOIN t USING (doc_id, block_no) WINDOW w AS (PARTITION BY b.doc_id ORDER BY b.block_no))
+SELECT doc_id, block_no, ((CASE WHEN font IN ('Serif-Bold') THEN 2.0 ELSE -1.0 END) + (CASE WHEN n >= 150 THEN -4.0 WHEN n >= 121 OR n <= 2 THEN -2.0 ELSE 0.0 END) + (CASE WHEN z IS NULL THEN 0.0 WHEN p IS NULL THEN 0.5 WHEN p < 46 AND a < 46 AND z < 46 THEN -0.5 WHEN p >= 75 OR a >= 75 THEN 0.5 ELSE 0.0 END) + (CASE WHEN len(string_split(text, ' ')) BETWEEN 2 AND 4 THEN 0.5 ELSE 0.0 END))::DOUBLE AS score FROM s""")
+def q_heading_score(spark, sf_dir):
+    return layout.heading_score(lines_of(spark, sf_dir))
+
+
+@query("q_footnotes")
+def q_footnotes(spark, sf_dir):
+    return layout.last_blocks(lines_of(spark, sf_dir), FOOT_MARK)
+
+
+def _rules(spark, sf_dir):
+    """Horizontal rules: one under the first line of each page, one at the height of its last line."""
+    lay = lines_of(spark, sf_dir)
+    pages = lay.groupBy("doc_id", "page_no").agg(F.max("y1").alias("low"), F.max("x1").alias("right"))
+    return pages.select("doc_id", "page_no", F.explode(F.array(F.struct(F.lit(90.0).alias("c"), F.lit(0).alias("k")), F.struct((F.col("low") + 600).alias("c"), F.lit(1).alias("k")))).alias("r"), "right").select("doc_id", "page_no", (F.col("page_no") * 2 + F.col("r.k")).alias("rule_no"), F.col("r.c").alias("c"), F.lit(72.0).alias("v0"), F.col("right").alias("v1"))
+
+
+@query("q_recurring_rules", f"""{WITH}, g AS (SELECT doc_id, page_no, max(y1) AS low, max(x1) AS v1 FROM lay GROUP BY ALL),
+r AS (SELECT doc_id, page_no, page_no * 2 AS rule_no, 90.0::DOUBLE AS c, 72.0::DOUBLE AS v0, v1 FROM g UNION ALL SELECT doc_id, page_no, page_no * 2 + 1, low + 600, 72.0, v1 FROM g), o AS (SELECT * FROM r WHERE c < 200 OR c > 600),
+n AS (SELECT a.doc_id, a.rule_no, count(*) AS n FROM o a JOIN o b ON a.doc_id = b.doc_id AND ({IOU.format(a='a.v', b='b.v')}) > 0.95 AND abs(a.c - b.c) < 4 GROUP BY ALL), p AS (SELECT doc_id, count(DISTINCT page_no) AS pages FROM r GROUP BY 1)
+SELECT r.* FROM r WHERE NOT EXISTS (SELECT 1 FROM n JOIN p USING (doc_id) WHERE n.doc_id = r.doc_id AND n.rule_no = r.rule_no AND n.n >= least(10, greatest(3, (pages - 2) / 3)))""")
+def q_recurring_rules(spark, sf_dir):
+    return layout.recurring_rules(_rules(spark, sf_dir))
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+@query("q_render", f"{WITH}, m AS (SELECT * FROM lay WHERE font NOT ILIKE '%math%' AND trim(text) <> ''), {PARTS_SQL.replace('FROM lay', 'FROM m')}, u AS (SELECT doc_id, block_no, part, any_value(font) AS font, string_agg(text, ' ' ORDER BY line_no) AS text FROM s GROUP BY doc_id, block_no, part) SELECT doc_id, string_agg(CASE WHEN font = 'Serif-Bold' THEN '**' || trim(text) || '**' ELSE text END, chr(10) || chr(10) ORDER BY block_no, part) AS text FROM u GROUP BY doc_id")
+def q_render(spark, sf_dir):
+    return layout.markdown(lines_of(spark, sf_dir))
