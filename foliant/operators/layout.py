@@ -14,8 +14,9 @@ PAGE = ["doc_id", "page_no"]
 def outside(items: DataFrame, boxes: DataFrame, share: float) -> DataFrame:
     """Items of which no box of their page holds more than `share`: a hash join on the page with the overlap as its condition."""
     a = items.select("*", *(F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")))
-    on = (a.doc_id == boxes.doc_id) & (a.page_no == boxes.page_no) & (G.containment("a_", "b_") > share)
-    return a.join(boxes, on, "left_anti").drop("a_x0", "a_y0", "a_x1", "a_y1")
+    b = boxes.withColumnsRenamed({"doc_id": "b_doc", "page_no": "b_page"})
+    on = (F.col("doc_id") == F.col("b_doc")) & (F.col("page_no") == F.col("b_page")) & (G.containment("a_", "b_") > share)
+    return a.join(b, on, "left_anti").drop("a_x0", "a_y0", "a_x1", "a_y1")
 
 
 def centres_inside(items: DataFrame, boxes: DataFrame) -> DataFrame:
