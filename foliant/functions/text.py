@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Glyphs and letters that open a bulleted item (before white space).
-BULLETS = r"^(?:[•‣▪▫●○◦■□◆◇–—·]|=>|->|>|\*|o|-)\s"
+BULLET = r"\A(?:●|•|◘|○|◙|⦿|‣|⁃|⁌|⁍|➡|◆|◇|◌|◈|➢|➣|➤|➥|➦|➧|➱|➮|▷|▶|▸|▹|▻|⊛|=>|->|>|\*|o|-)(?=(?U)\s)"
 # Roman numerals one to ten.
 ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
 # Style words dropped before font names are compared.
@@ -53,3 +53,35 @@ def numeral_classes(token: Column) -> Column:
         lambda x: x.isNotNull(),
     )
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(token.alias("class"), F.lit(0).alias("value"))))
+
+
+_TOKEN = r"(?:i{1,3}|iv|vi{0,3}|ix|I{1,3}|IV|VI{0,3}|IX|[0-9]{1,3}|[a-zA-Z,])"
+_NUMBER = rf"(?:{_TOKEN} ?\. ?){{0,3}}{_TOKEN}"
+# In order: plain, in brackets, after a word.
+LIST_NUMBERS = (
+    rf"(?U)\A\(?\[?{_NUMBER} ?[.:)\]\s](?! {{0,3}}[%(])(?! {{1,3}}[0-9a-z])",
+    rf"(?U)\A[(\[]{_NUMBER} ?[)\] ](?! {{0,3}}[%(])",
+    rf"(?U)\A[a-zA-Z,]{{2,}} +{_NUMBER}(?:[.:)\] ]|\s|\z)",
+)
+
+
+def list_number(text: Column) -> Column:
+    """The list number that opens a text, by the first pattern that matches; null if none does."""
+    found = [F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in LIST_NUMBERS]
+    return F.regexp_replace(F.coalesce(*found), r"(?U)\A\s+|\s+\z", "")
+
+
+def bullet(text: Column) -> Column:
+    """The bullet that opens a text, null if none does."""
+    return F.nullif(F.regexp_extract(text, BULLET, 0), F.lit(""))
+
+
+def readings(number: Column) -> Column:
+    """Every reading of a list number: one (class, value) for each of its tokens, in all combinations."""
+    zero = F.array(F.array().cast("array<struct<class:string,value:int>>"))
+    tokens = F.transform(F.regexp_extract_all(number, F.lit("[0-9a-zA-Z]+"), F.lit(0)), numeral_classes)
+    return F.aggregate(tokens, zero, lambda acc, t: F.flatten(F.transform(acc, lambda head: F.transform(t, lambda r: F.concat(head, F.array(r))))))
+
+
+def separators(number: Column) -> Column:
+    return F.trim(F.regexp_replace(number, "[0-9a-zA-Z]", ""))

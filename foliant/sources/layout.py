@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PAGE_LINES, BLOCK_LINES = 12, 4
@@ -51,3 +51,37 @@ LINES_SQL = r"""lay AS (
     SELECT doc_id, pos, text, (72 + 18 * (doc_id % 3) + CASE WHEN pos % 9 = 4 THEN 36 ELSE 0 END)::DOUBLE AS x0, (72 + 14 * (pos % 12))::DOUBLE AS y0,
            ['Serif', 'Serif-Bold', 'Sans-Italic', 'MathSym', 'Sans'][((doc_id * 7 + pos // 2) % 5) + 1] AS font, (10 + 2 * ((doc_id + pos // 3) % 3))::DOUBLE AS size
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)))"""
+
+SPAN_KEYS = ("doc_id", "page_no", "block_no", "line_no")
+
+
+def spans(lay: DataFrame) -> DataFrame:
+    """A row for each word of each line, with its own box, baseline, font, size and flags (bit 0: raised).
+
+    Every 11th word is set in another font, every 13th is small and low, every 37th is raised.
+    """
+    words = lay.select("*", F.posexplode(F.split("text", " ")).alias("span_no", "word")).withColumn("span_no", F.col("span_no").cast("long"))
+    w = Window.partitionBy("doc_id", "line_no").orderBy("span_no")
+    left = F.col("x0") + 5 * (F.sum(F.length("word") + 1).over(w) - F.length("word") - 1)
+    n = F.col("span_no")
+    low = n % 13 == 12
+    return words.select(
+        *SPAN_KEYS, "span_no", F.col("word").alias("text"), left.alias("x0"), F.col("y0"), (left + 5 * F.length("word")).alias("x1"), "y1",
+        (F.col("y1") - 2 + F.when(low, 1.5).otherwise(0.0)).alias("oy"), F.when(n % 11 == 5, F.lit("Serif-Bold")).otherwise(F.col("font")).alias("font"),
+        (F.col("size") * F.when(low, 0.5).otherwise(1.0)).alias("size"), F.when(n % 37 == 36, 1).otherwise(0).alias("flags"),
+    )
+
+
+def marked(lay: DataFrame) -> DataFrame:
+    """Lines of which each block's first carries a number in brackets, and every fifth other a bullet, in one font."""
+    text = F.when(F.col("line_no") % 4 == 0, F.concat(F.lit("("), F.col("block_no") + 1, F.lit(") "), F.col("text"))).when(F.col("line_no") % 5 == 2, F.concat(F.lit("• "), F.col("text")))
+    return lay.withColumns({"text": F.coalesce(text, F.col("text")), "font": F.lit("Serif"), "size": F.lit(10.0)})
+
+
+#: The same views in SQL, after `lay`.
+SPANS_SQL = """sp AS (
+  SELECT doc_id, page_no, block_no, line_no, span_no, word AS text, x0 + 5 * (t - length(word) - 1) AS x0, y0, x0 + 5 * (t - 1) AS x1, y1, y1 - 2 + CASE WHEN span_no % 13 = 12 THEN 1.5 ELSE 0 END AS oy,
+         CASE WHEN span_no % 11 = 5 THEN 'Serif-Bold' ELSE font END AS font, size * CASE WHEN span_no % 13 = 12 THEN 0.5 ELSE 1.0 END AS size, CASE WHEN span_no % 37 = 36 THEN 1 ELSE 0 END AS flags FROM (
+    SELECT *, sum(length(word) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY span_no) AS t FROM (
+      SELECT *, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS span_no FROM lay)))"""
+MARKED_SQL = "mk AS (SELECT * REPLACE (CASE WHEN line_no % 4 = 0 THEN '(' || (block_no + 1) || ') ' || text WHEN line_no % 5 = 2 THEN '• ' || text ELSE text END AS text, 'Serif' AS font, 10.0::DOUBLE AS size) FROM lay)"
