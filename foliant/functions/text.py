@@ -85,3 +85,11 @@ def readings(number: Column) -> Column:
 
 def separators(number: Column) -> Column:
     return F.trim(F.regexp_replace(number, "[0-9a-zA-Z]", ""))
+
+
+def band_readings(text: Column) -> Column:
+    """What a running header is joined by: its readings as a numeral, else (its key, null)."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"[\^_]\{(.*?)\}", "$1"), r"(?U)\s+", " "))
+    read = F.filter(numeral_classes(plain), lambda r: r["value"] > 0)
+    words = F.array(F.struct(F.concat(F.lit("text "), band_key(text)).alias("class"), F.lit(None).cast("int").alias("value")))
+    return F.when(F.size(read) > 0, read).otherwise(words)

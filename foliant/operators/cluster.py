@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +27,16 @@ def by_overlap(df: DataFrame, by: list[str], start: str, end: str, tie: str, lea
     return _numbered(both, by, [start, tie], interval_iou(F.col("_s"), F.col("_e"), F.col(start), F.col(end)) < least).drop("_s", "_e")
 
 
-def by_running_mean(df: DataFrame, by: list[str], value: str, threshold: float = 5.0) -> DataFrame:
+def by_running_mean(df: DataFrame, by: list[str], value: str, threshold: float | Callable[[Column], Column] = 5.0) -> DataFrame:
     """(by.., value, cluster) in sorted order; a new cluster where a value is over `threshold` from the mean of the one so far.
 
-    The mean depends on all before it, so this is an ordered fold over each group's sorted values, in the JVM.
+    A callable gives the threshold from the group's sorted values. The mean depends on all before it, so this is an ordered fold over each group's sorted values, in the JVM.
     """
+    limit = threshold(F.col("v")) if callable(threshold) else F.lit(threshold)
     zero = F.struct(F.lit(-1).cast("long").alias("k"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("n"), F.array().cast("array<bigint>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        new = (acc["k"] < 0) | (F.abs(x - acc["mean"]) > threshold)
+        new = (acc["k"] < 0) | (F.abs(x - acc["mean"]) > limit)
         k = acc["k"] + F.when(new, 1).otherwise(0)
         n = F.when(new, 1.0).otherwise(acc["n"] + 1)
         mean = F.when(new, x).otherwise((acc["mean"] * acc["n"] + x) / n)

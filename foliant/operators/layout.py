@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import geometry as G
 from foliant.functions import text as X
+from foliant.operators import fold
 
 PAGE = ["doc_id", "page_no"]
 
@@ -59,17 +60,28 @@ def unify(lay: DataFrame) -> DataFrame:
 
 
 def running_heads(lay: DataFrame, top: int = 4) -> DataFrame:
-    """Header and footer lines: outermost `top` of a page, scored by like text at a like place on pages -8 .. +7; kept from 1."""
+    """Header and footer lines: outermost `top` of a page, scored by like text at a like place on pages -8 .. +7; kept from 1.
+
+    Texts are alike if equal but for their digits; page numbers by how far apart they are (equal ones are not).
+    Pages meet through buckets of 16, so a header of a long document joins its neighbours alone.
+    """
     w = Window.partitionBy(*PAGE)
     ranked = lay.withColumn("head", F.row_number().over(w.orderBy("y0", "line_no"))).withColumn("foot", F.row_number().over(w.orderBy(F.desc("y0"), F.desc("line_no"))))
     sides = ranked.where(F.col("head") <= top).select("*", F.lit("header").alias("side"), F.col("head").alias("n")).unionByName(ranked.where(F.col("foot") <= top).select("*", F.lit("footer").alias("side"), F.col("foot").alias("n")))
-    c = sides.select("doc_id", "page_no", "line_no", "side", "n", X.band_key(F.col("text")).alias("key"), "x0", "y0", "x1", "y1")
+    c = sides.select("doc_id", "page_no", "line_no", "side", "n", F.explode(X.band_readings(F.col("text"))).alias("r"), "x0", "y0", "x1", "y1").select("*", "r.class", "r.value").drop("r")
     a, b = c.select(*(F.col(x).alias(f"a_{x}") for x in c.columns)), c.select(*(F.col(x).alias(f"b_{x}") for x in c.columns))
-    col = F.col
-    on = (col("a_doc_id") == col("b_doc_id")) & (col("a_side") == col("b_side")) & (col("a_key") == col("b_key")) & (col("a_page_no") != col("b_page_no")) & col("b_page_no").between(col("a_page_no") - 8, col("a_page_no") + 7)
+    col, bucket = F.col, lambda p: F.floor(p / 16)
+    a = a.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(col("a_page_no") - 8), bucket(col("a_page_no") + 7)))))
+    b = b.withColumn("b_bucket", bucket(col("b_page_no")))
+    on = (col("a_doc_id") == col("b_doc_id")) & (col("bucket") == col("b_bucket")) & (col("a_side") == col("b_side")) & (col("a_class") == col("b_class")) & (col("a_page_no") != col("b_page_no")) & col("b_page_no").between(col("a_page_no") - 8, col("a_page_no") + 7)
     area = G.axis_iou("a_", "b_", "x") * G.axis_iou("a_", "b_", "y")
-    score = F.sum(F.when(area > 0.5, 1.0).otherwise(area)) * F.when(F.first("a_n") <= 2, 1.0).otherwise(0.5)
-    scored = a.join(b, on).groupBy("a_doc_id", "a_page_no", "a_line_no", "a_side").agg(score.alias("score"))
+    far = col("b_value") - col("a_value")
+    number = F.when((far == 0) | ~far.between(-20, 19), 0.0).when(F.abs(far) <= 8, 1.0).otherwise(0.5) * F.when(col("a_value").between(1, 6), 2.0).otherwise(1.0)
+    alike = F.sum(F.when(col("a_value").isNull(), 1.0).otherwise(number))
+    line = ["a_doc_id", "a_page_no", "a_line_no", "a_side"]
+    pairs = a.join(b, on).groupBy(*line, "b_line_no").agg(F.max("a_n").alias("n"), alike.alias("alike"), F.max(area).alias("area")).where("alike > 0.5")
+    score = F.sum(col("alike") * F.when(col("area") > 0.5, 1.0).otherwise(col("area"))) * F.when(F.max("n") <= 2, 1.0).otherwise(0.5)
+    scored = pairs.groupBy(*line).agg(score.alias("score"))
     return scored.where("score >= 1").select(col("a_doc_id").alias("doc_id"), col("a_page_no").alias("page_no"), col("a_line_no").alias("line_no"), col("a_side").alias("side"), F.round("score", 6).alias("score"))
 
 
@@ -95,12 +107,15 @@ def last_blocks(lay: DataFrame, mark: str, misses: int = 5) -> DataFrame:
 
 
 def fonts(lay: DataFrame) -> DataFrame:
-    """Each document's fonts with emphasis, and as family the least font whose bare name is at least 0.6 alike."""
-    own = lay.select("doc_id", "font").distinct()
-    a, b = own.select("doc_id", F.col("font").alias("f")), own.select("doc_id", F.col("font").alias("g"))
-    like = a.join(b, "doc_id").where(X.font_similarity(F.col("f"), F.col("g")) >= 0.6)
-    family = F.array_min(F.collect_set("g"))
-    return like.groupBy("doc_id", F.col("f").alias("font")).agg(family.alias("family")).withColumn("emphasis", X.emphasis(F.col("font")).cast("long"))
+    """Each document's fonts with emphasis and family: fonts chained by bare names at least 0.6 alike, named by the least."""
+    own = lay.groupBy("doc_id").agg(F.array_sort(F.collect_set("font")).alias("f"))
+    one = own.select("doc_id", F.posexplode("f").alias("a", "x"))
+    pairs = one.join(one.select("doc_id", F.col("a").alias("b"), F.col("x").alias("y")), "doc_id").where((F.col("a") < F.col("b")) & (X.font_similarity(F.col("x"), F.col("y")) >= 0.6))
+    edges = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("e"))
+    label = fold.labels(F.size("f"), F.coalesce("e", F.array().cast("array<struct<a:int,b:int>>")))
+    named = own.join(edges, "doc_id", "left").withColumn("k", label)
+    flat = named.select("doc_id", "f", F.explode(F.arrays_zip(F.col("f").alias("font"), "k")).alias("z"))
+    return flat.select("doc_id", "z.font", F.get("f", F.col("z.k")).alias("family"), X.emphasis(F.col("z.font")).cast("long").alias("emphasis"))
 
 
 def heading_score(lay: DataFrame) -> DataFrame:

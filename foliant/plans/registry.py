@@ -112,7 +112,7 @@ def q_min_x_k(spark, sf_dir):
     return cluster.density_cores(o, ["o_orderpriority"], "p", 50.0).where("core").groupBy("o_orderpriority").agg(F.min("p").alias("x"))
 
 
-@query("q_fonts", f"{WITH}, f AS (SELECT DISTINCT doc_id, font, regexp_replace(regexp_replace(lower(font), '[^a-z0-9]', '', 'g'), 'medium|regular|bold|italic|ital|roman', '', 'g') AS n FROM lay) SELECT a.doc_id, a.font, min(b.font) AS family, (any_value(CASE WHEN lower(a.font) LIKE '%bold%' THEN 1 ELSE 0 END) + any_value(CASE WHEN lower(a.font) LIKE '%ital%' OR lower(a.font) LIKE '%oblique%' THEN 2 ELSE 0 END))::BIGINT AS emphasis FROM f a JOIN f b ON a.doc_id = b.doc_id AND 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) >= 0.6 GROUP BY a.doc_id, a.font")
+@query("q_fonts", f"WITH RECURSIVE {LINES_SQL}, f AS (SELECT DISTINCT doc_id, font, regexp_replace(regexp_replace(lower(font), '[^a-z0-9]', '', 'g'), 'medium|regular|bold|italic|ital|roman', '', 'g') AS n FROM lay), e AS (SELECT a.doc_id, a.font AS a, b.font AS b FROM f a JOIN f b ON a.doc_id = b.doc_id AND 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) >= 0.6), r AS (SELECT * FROM e UNION SELECT r.doc_id, r.a, e.b FROM r JOIN e ON r.doc_id = e.doc_id AND r.b = e.a) SELECT doc_id, a AS font, min(b) AS family, (CASE WHEN lower(a) LIKE '%bold%' THEN 1 ELSE 0 END + CASE WHEN lower(a) LIKE '%ital%' OR lower(a) LIKE '%oblique%' THEN 2 ELSE 0 END)::BIGINT AS emphasis FROM r GROUP BY doc_id, a")
 def q_fonts(spark, sf_dir):
     return layout.fonts(lines_of(spark, sf_dir))
 
@@ -141,16 +141,17 @@ def q_unify_spans(spark, sf_dir):
 
 
 def _paged(spark, sf_dir):
-    """Lines whose first of each page is a running header with the page's number."""
+    """Lines whose first of each page is a running header and last a number, both with the page's number."""
     lay = lines_of(spark, sf_dir)
-    return lay.withColumn("text", F.when(F.col("line_no") % 12 == 0, F.concat(F.lit("Page "), F.col("page_no") + 1)).otherwise(F.col("text")))
+    number = F.col("page_no") + 1
+    return lay.withColumn("text", F.when(F.col("line_no") % 12 == 0, F.concat(F.lit("Page "), number)).when(F.col("line_no") % 12 == 11, number.cast("string")).otherwise(F.col("text")))
 
 
-HEADS_SQL = f"""{WITH}, p AS (SELECT * REPLACE (CASE WHEN line_no % 12 = 0 THEN 'Page ' || (page_no + 1) ELSE text END AS text) FROM lay),
+HEADS_SQL = f"""{WITH}, p AS (SELECT * REPLACE (CASE WHEN line_no % 12 = 0 THEN 'Page ' || (page_no + 1) WHEN line_no % 12 = 11 THEN (page_no + 1)::VARCHAR ELSE text END AS text) FROM lay),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y0, line_no) AS head, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y0 DESC, line_no DESC) AS foot FROM p),
 c AS (SELECT *, lower(regexp_replace(trim(regexp_replace(regexp_replace(text, '[\\^_]\\{{(.*?)\\}}', '\\1', 'g'), '\\s+', ' ', 'g')), '[0-9]', '&', 'g')) AS key FROM (SELECT *, 'header' AS side, head AS n FROM r WHERE head <= 4 UNION ALL SELECT *, 'footer', foot FROM r WHERE foot <= 4)),
-j AS (SELECT a.doc_id, a.page_no, a.line_no, a.side, a.n, ({IOU.format(a='a.x', b='b.x')}) * ({IOU.format(a='a.y', b='b.y')}) AS area FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.side = b.side AND a.key = b.key AND a.page_no <> b.page_no AND b.page_no BETWEEN a.page_no - 8 AND a.page_no + 7),
-h AS (SELECT doc_id, page_no, line_no, side, sum(CASE WHEN area > 0.5 THEN 1.0 ELSE area END) * any_value(CASE WHEN n <= 2 THEN 1.0 ELSE 0.5 END) AS score FROM j GROUP BY ALL)"""
+j AS (SELECT a.doc_id, a.page_no, a.line_no, a.side, a.n, ({IOU.format(a='a.x', b='b.x')}) * ({IOU.format(a='a.y', b='b.y')}) AS area, CASE WHEN NOT regexp_matches(a.text, '^[1-9][0-9]{{0,2}}$') THEN 1.0 ELSE CASE WHEN abs(b.page_no - a.page_no) <= 8 THEN 1.0 ELSE 0.5 END * CASE WHEN a.page_no <= 5 THEN 2.0 ELSE 1.0 END END AS alike FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.side = b.side AND a.key = b.key AND a.page_no <> b.page_no AND b.page_no BETWEEN a.page_no - 8 AND a.page_no + 7),
+h AS (SELECT doc_id, page_no, line_no, side, sum(alike * CASE WHEN area > 0.5 THEN 1.0 ELSE area END) * any_value(CASE WHEN n <= 2 THEN 1.0 ELSE 0.5 END) AS score FROM j GROUP BY ALL)"""
 
 
 @query("q_hf_score", f"{HEADS_SQL} SELECT doc_id, page_no, line_no, side, round(score::DOUBLE, 6) AS score FROM h WHERE score >= 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
-from foliant.operators import layout, lists, margins, runs, tables
+from foliant.operators import headings, layout, lists, margins, render, runs, tables
 from foliant.plans.registry import BLOCKS_SQL, WITH, query
 from foliant.sources.layout import MARKED_SQL, SPANS_SQL, lines_of, marked, spans
 
@@ -152,3 +152,50 @@ def q_rules_outside(spark, sf_dir):
     r = _grid_rules(spark, sf_dir)
     more = r.select("doc_id", "page_no").distinct().select("*", F.lit("H").alias("orient"), F.lit(700.0).alias("c"), F.lit(72.0).alias("v0"), F.lit(200.0).alias("v1"))
     return tables.rules_outside(r.unionByName(more), tables.tables(r)).select("doc_id", "orient", "c")
+
+
+TOP_SQL = "g AS (SELECT doc_id, block_no, font, size, sum(length(text)) AS chars, min(line_no) AS f FROM lay GROUP BY ALL), m AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, block_no ORDER BY chars DESC, f) = 1)"
+
+
+@query("q_font_usage", f"{WITH}, {TOP_SQL} SELECT doc_id, font, CASE WHEN sum(chars) / sum(sum(chars)) OVER (PARTITION BY doc_id) > 0.1 THEN 0 ELSE 1 END AS font_code FROM m GROUP BY doc_id, font")
+def q_font_usage(spark, sf_dir):
+    return headings.font_usage(layout.majority_font(lines_of(spark, sf_dir)))
+
+
+@query("q_size_usage", f"{WITH}, {TOP_SQL}, s AS (SELECT doc_id, size, sum(chars) / sum(sum(chars)) OVER (PARTITION BY doc_id) > 0.1 AS usual FROM m GROUP BY doc_id, size) SELECT doc_id, size, CASE WHEN usual THEN -1 WHEN size < min(CASE WHEN usual THEN size END) OVER (PARTITION BY doc_id) THEN -2 ELSE 1 END AS size_code FROM s")
+def q_size_usage(spark, sf_dir):
+    return headings.size_usage(layout.majority_font(lines_of(spark, sf_dir)))
+
+
+@query("q_headings")
+def q_headings(spark, sf_dir):
+    lay = lines_of(spark, sf_dir)
+    pages = lay.groupBy("doc_id").agg(F.countDistinct("page_no").alias("pages"))
+    numbers = lists.numbered(marked(lay)).withColumn("vals", F.array("value"))
+    return headings.signals(lay, margins.margins(margins.edges(_margin_blocks(spark, sf_dir)), pages), numbers)
+
+
+def _beside(spark, sf_dir):
+    """Each line as a block; two and two stand side by side. Marked ones carry their markers."""
+    m = marked(lines_of(spark, sf_dir))
+    bullet = F.when(F.col("text").startswith("• "), F.lit("•"))
+    number = F.when(F.col("line_no") % 4 == 0, F.concat(F.lit("("), (F.col("line_no") / 4 + 1).cast("long"), F.lit(")")))
+    y = F.col("y0") - 14 * (F.col("line_no") % 2)
+    return m.select("doc_id", "page_no", F.col("line_no").alias("block_no"), "text", y.alias("y0"), (y + 12).alias("y1"), (F.col("line_no") % 3 == 1).alias("bold"), F.coalesce(number, bullet).alias("marker"))
+
+
+@query("q_paragraphs")
+def q_paragraphs(spark, sf_dir):
+    return render.documents(render.paragraphs(render.block_text(_beside(spark, sf_dir))))
+
+
+@query("q_paragraphs_observed", f"{WITH} SELECT doc_id, (line_no // 2)::BIGINT AS paragraph, text FROM lay WHERE line_no % 2 = 0")
+def q_paragraphs_observed(spark, sf_dir):
+    plain = _beside(spark, sf_dir).drop("text").join(lines_of(spark, sf_dir).select("doc_id", F.col("line_no").alias("block_no"), "text"), ["doc_id", "block_no"])
+    return render.paragraphs(plain, intended=False)
+
+
+@query("q_paragraphs_joined", f"{WITH} SELECT doc_id, (line_no // 2)::BIGINT AS paragraph, string_agg(text, ' ' ORDER BY line_no) AS text FROM lay GROUP BY doc_id, line_no // 2")
+def q_paragraphs_joined(spark, sf_dir):
+    plain = _beside(spark, sf_dir).drop("text").join(lines_of(spark, sf_dir).select("doc_id", F.col("line_no").alias("block_no"), "text"), ["doc_id", "block_no"])
+    return render.paragraphs(plain)
