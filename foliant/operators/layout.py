@@ -153,3 +153,24 @@ def markdown(lay: DataFrame) -> DataFrame:
     body = F.when(X.emphasis(F.col("font")).isin(1, 3), F.concat(F.lit("**"), F.trim("text"), F.lit("**"))).otherwise(F.col("text"))
     p = u.select("doc_id", F.struct("block_no", "part", body.alias("text")).alias("p"))
     return p.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["text"]), "\n\n").alias("text"))
+
+
+# What the first span of a footnote reads.
+FOOT_MARK = r"(?U)\A(?:\w\d|\d\w|\d{1,3}|\w)\z"
+
+
+def footnotes(spans: DataFrame, misses: int = 5) -> DataFrame:
+    """Blocks that open with a raised or smaller mark, page by page from the bottom, until `misses` blocks do not.
+
+    Raised: by over 0.05 of the height of the span after it; smaller: by over 0.05 of that one's size. All pages count.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("line_no", "span_no", "text", "size", "y0", "y1", "oy")))
+    b = spans.groupBy("doc_id", "block_no").agg(F.min("page_no").alias("page_no"), F.max("y1").alias("y1"), rows.alias("s"))
+    one, two = F.get("s", F.lit(0)), F.get("s", F.lit(1))
+    raised = two["oy"] - one["oy"] > 0.05 * (two["y1"] - two["y0"])
+    hit = F.coalesce(one["text"].rlike(FOOT_MARK) & (raised | (one["size"] < 0.95 * two["size"])), F.lit(False))
+    w = Window.partitionBy(*PAGE).orderBy(F.desc("y1"), "block_no")
+    before = F.coalesce(F.sum(F.when(F.col("hit"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = b.withColumn("hit", hit).withColumn("_n", before).where(F.col("hit") & (F.col("_n") < misses))
+    rest = F.array_join(F.transform(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), lambda x: x["text"]), " ")
+    return found.select("doc_id", "page_no", "block_no", one["text"].alias("number"), rest.alias("text"))

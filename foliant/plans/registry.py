@@ -26,13 +26,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines, without tables, math and running heads, to one Markdown text a document."""
-    lay = lines_of(spark, sf_dir)
-    return layout.markdown(layout.without_heads(layout.outside(lay, boxes(lay, True, 60, 100, 300, 160), 0.7)))
-
-
-query("q_flagship")(flagship)
 query("q_lay_lines", f"{WITH} SELECT * FROM lay")(lines_of)
 
 IOU = "CASE WHEN {b}0 >= {a}1 OR {a}0 >= {b}1 THEN 0.0::DOUBLE ELSE (least({a}1, {b}1) - greatest({a}0, {b}0)) / (greatest({a}1, {b}1) - least({a}0, {b}0)) END"

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
-from foliant.operators import headings, layout, lists, margins, render, runs, tables
+from foliant.operators import document, headings, layout, lists, margins, render, runs, tables
 from foliant.plans.registry import BLOCKS_SQL, WITH, query
-from foliant.sources.layout import MARKED_SQL, SPANS_SQL, lines_of, marked, spans
+from foliant.sources.layout import MARKED_SQL, SPANS_SQL, boxes, lines_of, marked, spans
 
 SPANS = f"{WITH}, {SPANS_SQL}"
 MARKED = f"{WITH}, {MARKED_SQL}"
@@ -199,3 +199,28 @@ def q_paragraphs_observed(spark, sf_dir):
 def q_paragraphs_joined(spark, sf_dir):
     plain = _beside(spark, sf_dir).drop("text").join(lines_of(spark, sf_dir).select("doc_id", F.col("line_no").alias("block_no"), "text"), ["doc_id", "block_no"])
     return render.paragraphs(plain)
+
+
+@query("q_flagship")
+def flagship(spark, sf_dir):
+    """Marked lines, without tables, figures, math and running heads, through lists and merges to one Markdown text a document."""
+    lay = _marked(spark, sf_dir).withColumn("font", F.when(F.col("block_no") % 6 == 5, F.lit("Serif-Bold")).otherwise(F.col("font")))
+    return document.markdown(lay, boxes(lay, True, 60, 100, 300, 160), boxes(lay, False, 50, 60, 560, 130))
+
+
+FOOT = rf"""{SPANS}, h AS (SELECT doc_id, block_no, min(line_no) AS line_no FROM sp GROUP BY ALL), k AS (SELECT sp.* REPLACE (CASE WHEN h.line_no IS NOT NULL AND span_no = 0 AND sp.block_no % 3 = 2 THEN (sp.block_no % 100)::VARCHAR ELSE text END AS text, CASE WHEN h.line_no IS NOT NULL AND span_no = 0 AND sp.block_no % 3 = 2 THEN size / 2 ELSE size END AS size) FROM sp LEFT JOIN h USING (doc_id, block_no, line_no)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, block_no ORDER BY line_no, span_no) AS i FROM k),
+b AS (SELECT doc_id, block_no, min(page_no) AS page_no, max(y1) AS y1, max(CASE WHEN i = 1 THEN text END) AS number, max(CASE WHEN i = 1 THEN oy END) AS o1, max(CASE WHEN i = 2 THEN oy END) AS o2, max(CASE WHEN i = 1 THEN size END) AS s1, max(CASE WHEN i = 2 THEN size END) AS s2, coalesce(string_agg(text, ' ' ORDER BY i) FILTER (WHERE i > 1), '') AS text FROM r GROUP BY doc_id, block_no),
+m AS (SELECT *, coalesce(regexp_matches(number, '^(?:[\pL\pN_][0-9]|[0-9][\pL\pN_]|[0-9]{{1,3}}|[\pL\pN_])$') AND (o2 - o1 > 0.6 OR s1 < 0.95 * s2), false) AS hit FROM b),
+n AS (SELECT *, coalesce(sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_no ORDER BY y1 DESC, block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS miss FROM m)
+SELECT doc_id, page_no, block_no, number, text FROM n WHERE hit AND miss < 5"""
+
+
+@query("q_footnote_marks", FOOT)
+def q_footnote_marks(spark, sf_dir):
+    """Every third block opens with a small number."""
+    sp = _spans(spark, sf_dir)
+    first = sp.groupBy("doc_id", "block_no").agg(F.min("line_no").alias("line_no")).withColumn("_h", F.lit(True))
+    on = F.coalesce("_h", F.lit(False)) & (F.col("span_no") == 0) & (F.col("block_no") % 3 == 2)
+    marked_spans = sp.join(first, ["doc_id", "block_no", "line_no"], "left").withColumns({"text": F.when(on, (F.col("block_no") % 100).cast("string")).otherwise(F.col("text")), "size": F.when(on, F.col("size") / 2).otherwise(F.col("size"))})
+    return layout.footnotes(marked_spans.drop("_h"))

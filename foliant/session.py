@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | None = None, partitions: int | None = None, memory: str = "8g") -> SparkSession:
@@ -22,3 +24,15 @@ def local_session(cores: int | None = None, partitions: int | None = None, memor
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder of `spark.checkpoint.dir` and reads it back: what is used several times runs once.
+
+    Where the setting is absent, as in tests, a temporary folder serves.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    path = f"{shared}/foliant-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
