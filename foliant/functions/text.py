@@ -93,3 +93,10 @@ def band_readings(text: Column) -> Column:
     read = F.filter(numeral_classes(plain), lambda r: r["value"] > 0)
     words = F.array(F.struct(F.concat(F.lit("text "), band_key(text)).alias("class"), F.lit(None).cast("int").alias("value")))
     return F.when(F.size(read) > 0, read).otherwise(words)
+
+
+def soft_similarity(a: Column, b: Column) -> Column:
+    """Shorter length less the edit distance over the longer length; 0 beyond three edits, null for two empty texts."""
+    edits = F.levenshtein(a, b, 3)
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(edits < 0, 0.0).otherwise((F.least(F.length(a), F.length(b)) - edits) / F.nullif(longer, F.lit(0)))

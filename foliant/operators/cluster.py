@@ -50,3 +50,32 @@ def density_cores(df: DataFrame, by: list[str], value: str, eps: float, least: i
     """Marks values with at least `least` values within `eps`, themselves included."""
     near = F.expr(f"count(1) OVER (PARTITION BY {', '.join(by)} ORDER BY {value} RANGE BETWEEN {eps}D PRECEDING AND {eps}D FOLLOWING)")
     return df.withColumn("core", near >= least)
+
+
+def approximations(df: DataFrame, by: list[str], value: str, threshold: float) -> DataFrame:
+    """(by.., value, mean): each distinct value with the mean of its running-mean cluster; nulls have none."""
+    near = by_running_mean(df.where(F.col(value).isNotNull()), by, value, threshold)
+    mean = near.withColumn("mean", F.avg(value).over(Window.partitionBy(*by, "cluster")))
+    return mean.groupBy(*by, value).agg(F.max("mean").alias("mean"))
+
+
+def approximate(df: DataFrame, known: DataFrame, by: list[str], value: str, threshold: float) -> DataFrame:
+    """Adds `approx`: the mean of a known value; else, as observed, the next known value above itself if less than `threshold` away; else null.
+
+    An as-of join by one sort of both sides together; a value above all known ones has null. Keys of `by` match when equal and not null.
+    """
+    own = df.withColumn("_known", F.lit(None).cast("double")).withColumn("_mean", F.lit(None).cast("double"))
+    keys = known.select(*by, value, F.col(value).cast("double").alias("_known"), F.col("mean").alias("_mean"))
+    w = Window.partitionBy(*by).orderBy(F.col(value).cast("double"), F.col("_known").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing)
+    both = own.withColumn("_own", F.lit(True)).unionByName(keys.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    at = both.withColumn("_next", F.first(F.when(~F.col("_own"), F.struct("_known", "_mean")), ignorenulls=True).over(w)).where("_own")
+    near, v = F.col("_next._known"), F.col(value).cast("double")
+    approx = F.when(near == v, F.col("_next._mean")).when(near - v < threshold, near)
+    return at.withColumn("approx", approx).select(*df.columns, "approx")
+
+
+def outermost_mean(df: DataFrame, by: list[str], value: str, last: bool, threshold: float = 4.0, least: int = 3) -> DataFrame:
+    """(by.., mean) of the first (or last) running-mean cluster with over `least` values; groups without one have no row."""
+    per = by_running_mean(df, by, value, threshold).groupBy(*by, "cluster").agg(F.count("*").alias("n"), F.avg(value).alias("mean")).where(F.col("n") > least)
+    pick = F.max_by if last else F.min_by
+    return per.groupBy(*by).agg(pick("mean", "cluster").alias("mean"))

@@ -174,3 +174,19 @@ def footnotes(spans: DataFrame, misses: int = 5) -> DataFrame:
     found = b.withColumn("hit", hit).withColumn("_n", before).where(F.col("hit") & (F.col("_n") < misses))
     rest = F.array_join(F.transform(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), lambda x: x["text"]), " ")
     return found.select("doc_id", "page_no", "block_no", one["text"].alias("number"), rest.alias("text"))
+
+
+def like_places(boxes: DataFrame, other: DataFrame, key: str, least: float = 0.5) -> DataFrame:
+    """(doc_id, page_no, a, b, iou): boxes a and earlier ones b of a page whose IoUs along x and y multiply to over `least`, and each pair turned round.
+
+    Boxes meet only where their tops lie in the same or a neighbouring band as tall as the tallest box.
+    """
+    page = ["doc_id", "page_no"]
+    tall = boxes.unionByName(other, allowMissingColumns=True).groupBy(*page).agg(F.max(F.col("y1") - F.col("y0")).alias("tall"))
+    banded = lambda d: d.join(tall, page).where("tall > 0").withColumn("band", F.floor(F.col("y0") / F.col("tall")))
+    a = banded(boxes).select(*page, F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"a_{c}") for c in (key, "x0", "y0", "x1", "y1")))
+    b = banded(other).select(*page, "band", *(F.col(c).alias(f"b_{c}") for c in (key, "x0", "y0", "x1", "y1")))
+    iou = G.axis_iou("a_", "b_", "x") * G.axis_iou("a_", "b_", "y")
+    pairs = a.join(b, [*page, "band"]).where(F.col(f"a_{key}") > F.col(f"b_{key}")).withColumn("iou", iou).where(F.col("iou") > least)
+    one = pairs.select(*page, F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), "iou")
+    return one.unionByName(one.select(*page, F.col("b").alias("a"), F.col("a").alias("b"), "iou"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.operators import fold
+from foliant.operators import cluster, fold
 
 
 def edges(blocks: DataFrame, width: float = 612.0) -> DataFrame:
@@ -49,3 +49,35 @@ def margins(points: DataFrame, pages: DataFrame, eps: float = 4.0) -> DataFrame:
     flat = named.select("doc_id", F.explode(F.arrays_zip("c", "label")).alias("z")).select("doc_id", "z.label", "z.c.*")
     modes = [flat.groupBy("doc_id", "label", x).agg(F.sum("n").alias("n")).groupBy("doc_id", "label").agg(F.max_by(x, F.struct("n", -F.col(x))).alias(x)) for x in ("x0", "x1")]
     return modes[0].join(modes[1], ["doc_id", "label"]).select("doc_id", "x0", "x1")
+
+
+def extents(lines: DataFrame) -> DataFrame:
+    """(doc_id, page_no, lo, hi): mean left edge of a page's leftmost frequent cluster of lines, mean right edge of the rightmost."""
+    page = ["doc_id", "page_no"]
+    lo = cluster.outermost_mean(lines, page, "x0", last=False).withColumnRenamed("mean", "lo")
+    hi = cluster.outermost_mean(lines, page, "x1", last=True).withColumnRenamed("mean", "hi")
+    return lines.select(*page).distinct().join(lo, page, "left").join(hi, page, "left")
+
+
+def edge_frame(lines: DataFrame, blocks: DataFrame, near: float = 3.0, weight: int = 5) -> DataFrame:
+    """(doc_id, page_no, x0, x1, n_lines): edges of each block as the document approximates them, and a row of weight 5 with each page's extent."""
+    sides = blocks.select("doc_id", F.explode(F.array("x0", "x1")).alias("x"))
+    known = cluster.approximations(sides, ["doc_id"], "x", near)
+    own = blocks.select("doc_id", "page_no", "x0", "x1", F.col("n_lines").cast("long").alias("n_lines"))
+    for c in ("x0", "x1"):
+        own = own.join(known.select("doc_id", F.col("x").alias(c), F.col("mean").alias(f"_{c}")), ["doc_id", c]).drop(c)
+    own = own.select("doc_id", "page_no", F.col("_x0").alias("x0"), F.col("_x1").alias("x1"), "n_lines")
+    page = extents(lines)
+    for c in ("lo", "hi"):
+        page = cluster.approximate(page.withColumn("x", F.col(c)), known, ["doc_id"], "x", near).withColumn(c, F.coalesce("approx", c)).drop("x", "approx")
+    return own.unionByName(page.select("doc_id", "page_no", F.col("lo").alias("x0"), F.col("hi").alias("x1"), F.lit(weight).cast("long").alias("n_lines")))
+
+
+def per_page(frame: DataFrame) -> DataFrame:
+    """(doc_id, page_no, x0, x1, lines_in_page, lines_in_doc) of edge pairs with over 5 lines in the document, over 1 on the page, on a quarter of the pages."""
+    same = Window.partitionBy("doc_id", "x0", "x1")
+    pages = frame.groupBy("doc_id").agg(F.countDistinct("page_no").alias("pages"))
+    total = frame.withColumn("total", F.sum("n_lines").over(same)).where("total > 5")
+    held = total.groupBy("doc_id", "x0", "x1", "page_no").agg(F.sum("n_lines").alias("lines_in_page"), F.max("total").alias("lines_in_doc")).where("lines_in_page > 1")
+    often = held.withColumn("on_pages", F.count("*").over(same)).join(pages, "doc_id").where("on_pages >= greatest(1, pages / 4)")
+    return often.select("doc_id", "page_no", "x0", "x1", "lines_in_page", "lines_in_doc")

@@ -232,3 +232,39 @@ def fold_subscripts(spans: DataFrame) -> DataFrame:
 
 def fold_drop_caps(spans: DataFrame) -> DataFrame:
     return _folded(spans, drop_caps)
+
+
+BLANK = ("", " ", "  ", "   ")
+
+
+def donate_blanks(spans: DataFrame, unit: str) -> DataFrame:
+    """Drops blank blocks of a page (unit "block") or blank lines of a block ("line"); their white space may move to the line kept before.
+
+    Blank is a unit of no span but "" and one to three spaces. The first white-space span of each of its lines (for "line": the
+    first that is empty or all white space) goes to the end of the last line kept before it if both overlap over 0.8 along y
+    and it starts right of the middle of that line's last span, whose font and size it takes. Leading blank units go.
+    """
+    keys = ["doc_id", "page_no"] if unit == "block" else ["doc_id", "page_no", "block_no"]
+    line = ["doc_id", "page_no", "block_no", "line_no"]
+    own = Window.partitionBy(*(line[:3] if unit == "block" else line))
+    gives = F.col("text").isin(*BLANK[1:]) if unit == "block" else ~F.col("text").rlike(r"(?U)\S")
+    marked = spans.withColumn("_text", F.max(~F.coalesce("text", F.lit("")).isin(*BLANK)).over(own))
+    pick = F.struct("span_no", "text", "x0", "y0", "x1", "y1", "font", "size")
+    per = marked.groupBy(*line).agg(F.max("_text").alias("held"), F.min_by(F.when(gives, pick), F.when(gives, F.col("span_no"))).alias("gift"), F.max_by(pick, "span_no").alias("last"))
+
+    def step(state, row):
+        if row["held"]:
+            return {"block": row["block_no"], "line": row["line_no"], **row["last"]}, (None,)
+        gift = row["gift"]
+        if state is None or gift is None or gift["x0"] < (state["x0"] + state["x1"]) / 2 or overlap(state["y0"], state["y1"], gift["y0"], gift["y1"]) <= 0.8:
+            return state, (None,)
+        state = {**state, **gift, "font": state["font"], "size": state["size"], "span_no": state["span_no"] + 1}
+        return state, ({k: state[k] for k in ("block", "line", "span_no", "font", "size")},)
+
+    to = T.StructType().add("block", "long").add("line", "long").add("span_no", "long").add("font", "string").add("size", "double")
+    fields = ["block_no", "line_no", "held", "gift", "last"]
+    moved = fold.sorted_fold(per, keys, [c for c in ("block_no", "line_no") if c not in keys], fields, T.StructType().add("to", to), step).where("to is not null")
+    first = moved.select(*line, F.col("gift.span_no").alias("span_no"), "to")
+    kept = marked.where("_text").drop("_text")
+    gifts = spans.join(first, [*line, "span_no"]).withColumns({"block_no": F.col("to.block"), "line_no": F.col("to.line"), "span_no": F.col("to.span_no"), "font": F.col("to.font"), "size": F.col("to.size")}).drop("to")
+    return kept.unionByName(gifts.select(*spans.columns))

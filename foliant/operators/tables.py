@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 from foliant.functions import geometry as G
 from foliant.operators import fold
 from foliant.operators.layout import outside
+from foliant.session import cut
 
 PAGE = ["doc_id", "page_no"]
 RIGHT, DOWN, LEFT, UP = 0, 1, 2, 3
@@ -43,9 +47,17 @@ def crossings(rules: DataFrame, slack: float = 5.0) -> DataFrame:
     return v.join(h, PAGE).where(inside("y", "a0", "a1") & inside("x", "b0", "b1")).select(*PAGE, "x", "y").distinct()
 
 
+def covered(rules: DataFrame) -> DataFrame:
+    """Rules of one offset that overlap or touch as one, so that no stretch counts twice."""
+    w = Window.partitionBy(*PAGE, "orient", "c").orderBy("v0", "v1")
+    reach = F.max("v1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    starts = rules.withColumn("_s", F.when(F.col("v0") <= reach, 0).otherwise(1)).withColumn("_g", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return starts.groupBy(*PAGE, "orient", "c", "_g").agg(F.min("v0").alias("v0"), F.max("v1").alias("v1")).drop("_g")
+
+
 def grid(points: DataFrame, rules: DataFrame, slack: float = 5.0) -> DataFrame:
     """Neighbouring points of a row or column that rules join: covered for all but under `slack` of their distance."""
-    out = []
+    out, rules = [], covered(rules)
     for orient, fixed, along in (("H", "y", "x"), ("V", "x", "y")):
         near = points.withColumn("to", F.lead(along).over(Window.partitionBy(*PAGE, fixed).orderBy(along))).where("to is not null")
         r = rules.where(F.col("orient") == orient).select(*PAGE, F.col("c").alias(fixed), "v0", "v1")
@@ -57,6 +69,75 @@ def grid(points: DataFrame, rules: DataFrame, slack: float = 5.0) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def sides_of(rules: list[tuple[str, int, int, int]], near: int = 8, least: int = 100) -> list[tuple[int, int, int]]:
+    """(x, y0, y1) of vertical rules that close the left and right of each component of one page's rules, drawn one pixel thick.
+
+    Of a component's outermost pixels row by row, offsets within `near` of the outermost count together and the most
+    frequent names the side, if over one row supports it. Components of under `least` pixels have no sides.
+    """
+    boxes = [(v0, c, v1, c + 1) if o == "H" else (c, v0, c + 1, v1) for o, c, v0, v1 in rules if v1 > v0]
+    parent = list(range(len(boxes)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(boxes):
+        for j in range(i):
+            b = boxes[j]
+            if a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]:
+                parent[root(i)] = root(j)
+    found = []
+    for k in sorted({root(i) for i in range(len(boxes))}):
+        own = [b for i, b in enumerate(boxes) if root(i) == k]
+        pixels: dict[int, list[tuple[int, int]]] = {}
+        for x0, y0, x1, y1 in own:
+            for y in range(y0, y1):
+                pixels.setdefault(y, []).append((x0, x1))
+        if sum(union_length(r) for r in pixels.values()) < least:
+            continue
+        for outermost, sign in ((lambda r: min(a for a, _ in r), 1), (lambda r: max(b for _, b in r) - 1, -1)):
+            count = Counter(outermost(r) for r in pixels.values())
+            first, *rest = sorted(count, key=lambda x: sign * x)
+            side, pooled, rows = first, [first], count[first]
+            for x in rest:
+                if abs(side - x) > near:
+                    break
+                pooled.append(x)
+                rows += count[x]
+                side = x if count[x] > count[side] else side
+            if rows > 1:
+                at = [y for y, r in pixels.items() if any(a <= x < b for a, b in r for x in pooled)]
+                found.append((side, min(at), max(at)))
+    return found
+
+
+def union_length(intervals: list[tuple[int, int]]) -> int:
+    total, end = 0, None
+    for a, b in sorted(intervals):
+        a = a if end is None else max(a, end)
+        total, end = total + max(0, b - a), b if end is None else max(end, b)
+    return total
+
+
+def with_sides(rules: DataFrame) -> DataFrame:
+    """Rules and those that close open sides, on pages that have rules of both orients. Offsets and ends are cut to whole numbers.
+
+    A page's rules are one task's; nothing else of the document is needed.
+    """
+    whole = lambda c: F.col(c).cast("int")
+    page = rules.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("orient", whole("c").alias("c"), whole("v0").alias("v0"), whole("v1").alias("v1")))).alias("r"))
+
+    @F.pandas_udf("array<struct<c:double,v0:double,v1:double>>")
+    def close(pages: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("c", "v0", "v1"), map(float, s), strict=True)) for s in sides_of([(x["orient"], x["c"], x["v0"], x["v1"]) for x in p])] for p in pages], dtype=object)
+
+    both = page.where(F.exists("r", lambda x: x["orient"] == "H") & F.exists("r", lambda x: x["orient"] == "V"))
+    made = both.select(*PAGE, F.explode(close("r")).alias("s")).select(*PAGE, F.lit("V").alias("orient"), "s.*")
+    return rules.select(*PAGE, "orient", "c", "v0", "v1").unionByName(made)
+
+
 def cells_of(edges: list[tuple]) -> list[tuple]:
     """Boxes of the cells of one page's grid: a walk right, down, left and up, each turn taken as soon as the grid allows it."""
     to: dict[tuple, dict[int, tuple]] = {}
@@ -92,12 +173,15 @@ def grouped(cells: list[tuple], slack: float = 7.0) -> list[tuple[tuple, list[tu
     return tables
 
 
-def tables(rules: DataFrame, width: float = 612.0, height: float = 800.0) -> DataFrame:
+def tables(rules: DataFrame, width: float = 612.0, height: float = 800.0, close: bool = True) -> DataFrame:
     """Tables (two cells and more) and boxes (one) of each page; cells outside the usual lengths of rules do not count.
 
+    With `close`, open left and right sides are closed first.
+
     A page's grid is walked in one task; all steps before it are joins.
     """
-    merged = joined_rules(acceptable(rules, width, height))
+    joined = cut(joined_rules(acceptable(rules, width, height)), "joined-rules")
+    merged = cut(with_sides(joined), "closed-rules") if close else joined
     edges = grid(crossings(merged), merged).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("x", "y", "x1", "y1"))).alias("e"))
     kind = "array<struct<table_no:int,x0:double,y0:double,x1:double,y1:double,cell_count:int>>"
 
@@ -120,3 +204,58 @@ def rules_outside(rules: DataFrame, boxes: DataFrame) -> DataFrame:
     b = boxes.select(*PAGE, (F.col("x0") - 5).alias("b_x0"), (F.col("y0") - 10).alias("b_y0"), (F.col("x1") + 5).alias("b_x1"), (F.col("y1") + 10).alias("b_y1"))
     return outside(thick, b, 0.6).drop("x0", "y0", "x1", "y1")
 
+
+def without_overlaps(cells: list[tuple], share: float = 0.9) -> list[tuple]:
+    """Drops, in order, each cell in which another, not dropped before it, lies by over `share`."""
+
+    def held(a: tuple, b: tuple) -> float:
+        w, h = (min(a[i + 2], b[i + 2]) - max(a[i], b[i]) for i in (0, 1))
+        area = (a[2] - a[0]) * (a[3] - a[1])
+        return w * h / area if w > 0 and h > 0 and area > 0 else 0.0
+
+    dropped: set[int] = set()
+    for i, c in enumerate(cells):
+        if any(j != i and j not in dropped and held(o, c) > share for j, o in enumerate(cells)):
+            dropped.add(i)
+    return [c for i, c in enumerate(cells) if i not in dropped]
+
+
+def corner_cells(rules: list[tuple[str, float, float, float]], near: float = 4.0) -> list[tuple]:
+    """Cells of one page from exact junctions of its rules: each upper left corner to the nearest lower right one with four ruled sides.
+
+    A side is ruled if parallel rules less than `near` away cover over 0.9 of its length, or all but 15 if that is more.
+    """
+    flat, tall = ([r[1:] for r in rules if r[0] == o] for o in "HV")
+    place = lambda x, lo, hi: 1 if x == lo else 3 if x == hi else 2 if lo < x < hi else 0
+    starts, ends = [], []
+    for h, h0, h1 in flat:
+        for v, v0, v1 in tall:
+            kind = (place(h, v0, v1), place(v, h0, h1))
+            if 0 in kind:
+                continue
+            if max(kind) <= 2:
+                starts.append((v, h))
+            if min(kind) >= 2:
+                ends.append((v, h))
+
+    def ruled(lines: list[tuple], at: float, lo: float, hi: float) -> bool:
+        got = sum(max(0.0, min(hi, b) - max(lo, a)) for c, a, b in lines if at - near <= c < at + near)
+        return got > max(0.9 * (hi - lo), hi - lo - 15)
+
+    found = []
+    for x0, y0 in starts:
+        fit = [(math.hypot(x1 - x0, y1 - y0), i) for i, (x1, y1) in enumerate(ends) if x1 > x0 and y1 > y0 and ruled(tall, x0, y0, y1) and ruled(tall, x1, y0, y1) and ruled(flat, y0, x0, x1) and ruled(flat, y1, x0, x1)]
+        if fit:
+            found.append((x0, y0, *ends[min(fit)[1]]))
+    return without_overlaps(found)
+
+
+def corners(rules: DataFrame) -> DataFrame:
+    """(doc_id, page_no, x0, y0, x1, y1) of the cells that the corner finder sees on each page."""
+    page = rules.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("orient", "c", "v0", "v1"))).alias("r"))
+
+    @F.pandas_udf("array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    def find(pages: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("x0", "y0", "x1", "y1"), map(float, c), strict=True)) for c in corner_cells([(x["orient"], x["c"], x["v0"], x["v1"]) for x in p])] for p in pages], dtype=object)
+
+    return page.select(*PAGE, F.explode(find("r")).alias("c")).select(*PAGE, "c.*")

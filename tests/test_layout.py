@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliant.functions import geometry as G
 from foliant.functions import text as X
 from foliant.operators import cluster
-from foliant.plans import registry, structure  # noqa: F401  (structure adds its queries)
+from foliant.plans import pages, registry, structure  # noqa: F401  (pages and structure add their queries)
 
 SF = "/root/testdata/sf0.001"
 
