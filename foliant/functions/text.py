@@ -90,9 +90,13 @@ def separators(number: Column) -> Column:
 def band_readings(text: Column) -> Column:
     """What a running header is joined by: its readings as a numeral, else (its key, null)."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"[\^_]\{(.*?)\}", "$1"), r"(?U)\s+", " "))
-    read = F.filter(numeral_classes(plain), lambda r: r["value"] > 0)
-    words = F.array(F.struct(F.concat(F.lit("text "), band_key(text)).alias("class"), F.lit(None).cast("int").alias("value")))
-    return F.when(F.size(read) > 0, read).otherwise(words)
+
+    def one(p: Column) -> Column:  # the lambda binds the plain text, so that its patterns run once
+        words = F.array(F.struct(F.concat(F.lit("text "), F.lower(F.regexp_replace(p, "[0-9]", "&"))).alias("class"), F.lit(None).cast("int").alias("value")))
+        read = F.filter(numeral_classes(p), lambda r: r["value"] > 0)
+        return F.when((F.length(p) > 4) | (F.size(read) == 0), words).otherwise(read)
+
+    return F.get(F.transform(F.array(plain), one), F.lit(0))
 
 
 def soft_similarity(a: Column, b: Column) -> Column:

@@ -23,7 +23,7 @@ def clean(lay: DataFrame, tables: DataFrame | None = None, figures: DataFrame |
     out = lay if tables is None else layout.outside(lay, tables, 0.7)
     if figures is not None:
         out = out.join(layout.outside(layout.blocks(out), figures, 0.8).select("doc_id", "block_no"), ["doc_id", "block_no"], "left_semi")
-    out = layout.without_blank(layout.without_math(layout.without_heads(out)))
+    out = layout.without_blank(layout.without_math(layout.without_heads(cut(out, "outside-boxes"))))
     return cut(renumbered(runs.split_at_numerals(renumbered(layout.split_on_font(out)))), "clean-lines")
 
 

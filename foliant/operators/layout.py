@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import geometry as G
 from foliant.functions import text as X
 from foliant.operators import fold
+from foliant.session import cut
 
 PAGE = ["doc_id", "page_no"]
 
@@ -49,8 +50,8 @@ def split_on_font(lay: DataFrame) -> DataFrame:
     """Numbers the parts of each block, cut where the (font, size) changes."""
     w = Window.partitionBy("doc_id", "block_no").orderBy("line_no")
     key = F.struct("font", "size")
-    cut = lay.withColumn("_p", F.lag(key).over(w)).withColumn("_cut", F.when(F.col("_p").isNotNull() & (F.col("_p") != key), 1).otherwise(0))
-    return cut.withColumn("part", F.sum("_cut").over(w).cast("long")).drop("_p", "_cut")
+    marked = lay.withColumn("_p", F.lag(key).over(w)).withColumn("_cut", F.when(F.col("_p").isNotNull() & (F.col("_p") != key), 1).otherwise(0))
+    return marked.withColumn("part", F.sum("_cut").over(w).cast("long")).drop("_p", "_cut")
 
 
 def unify(lay: DataFrame) -> DataFrame:
@@ -66,9 +67,14 @@ def running_heads(lay: DataFrame, top: int = 4) -> DataFrame:
     Pages meet through buckets of 16, so a header of a long document joins its neighbours alone.
     """
     w = Window.partitionBy(*PAGE)
-    ranked = lay.withColumn("head", F.row_number().over(w.orderBy("y0", "line_no"))).withColumn("foot", F.row_number().over(w.orderBy(F.desc("y0"), F.desc("line_no"))))
-    sides = ranked.where(F.col("head") <= top).select("*", F.lit("header").alias("side"), F.col("head").alias("n")).unionByName(ranked.where(F.col("foot") <= top).select("*", F.lit("footer").alias("side"), F.col("foot").alias("n")))
+    near = ["doc_id", "page_no", "line_no", "text", "x0", "y0", "x1", "y1"]
+    ranked = lay.select(*near).withColumn("head", F.row_number().over(w.orderBy("y0", "line_no"))).withColumn("foot", F.row_number().over(w.orderBy(F.desc("y0"), F.desc("line_no"))))
+    side = lambda name, n: F.when(F.col(n) <= top, F.struct(F.lit(name).alias("side"), F.col(n).alias("n")))
+    outer = ranked.where((F.col("head") <= top) | (F.col("foot") <= top))
+    sides = outer.select(*near, F.inline(F.array_compact(F.array(side("header", "head"), side("footer", "foot")))))
     c = sides.select("doc_id", "page_no", "line_no", "side", "n", F.explode(X.band_readings(F.col("text"))).alias("r"), "x0", "y0", "x1", "y1").select("*", "r.class", "r.value").drop("r")
+    long = F.length("class") > 64  # long texts meet by their digest
+    c = cut(c.withColumn("class", F.when(long, F.concat(F.lit("sha256 "), F.sha2("class", 256))).otherwise(F.col("class"))), "page-edges")
     a, b = c.select(*(F.col(x).alias(f"a_{x}") for x in c.columns)), c.select(*(F.col(x).alias(f"b_{x}") for x in c.columns))
     col, bucket = F.col, lambda p: F.floor(p / 16)
     a = a.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(col("a_page_no") - 8), bucket(col("a_page_no") + 7)))))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as X
 from foliant.operators import cluster
+from foliant.session import cut
 
 # What a member gains from another whose last value is so far below its own.
 STEP = {-1: 0.5, -2: 0.251, -3: 0.253, 1: 0.501, 2: 0.252, 3: 0.254, 4: 0.255}
@@ -89,7 +90,7 @@ def legitimate(rows: DataFrame) -> DataFrame:
 
 def numbered(lay: DataFrame) -> DataFrame:
     """The list marker of each numbered block; of several readings that stay, the group first seen last gives the classes."""
-    rows = interpretations(candidates(lay))
+    rows = cut(interpretations(candidates(lay)), "interpretations")
     font = ["doc_id", "font", "size_class", "emphasis"]
     seen = rows.groupBy(*GROUP).agg(F.min(F.struct("block_no", "reading")).alias("g_first"))
     seen = seen.join(rows.groupBy(*font).agg(F.min("block_no").alias("f_first")), font)
