@@ -158,9 +158,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, hot_key: int = HOT_KEY) ->
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each group, the one with the smallest doc_id (of repeated rows of it, one)."""
-    keep = near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
+    """Of each group one row: the one with the smallest doc_id (null last), text hash and place in the table.
+
+    Groups are of rows, not of ids: rows without an id, or with one id and different texts, are documents of their own.
+    """
+    rows = stash(docs.withColumn("row_", F.monotonically_increasing_id()), "dedup-rows")
+    of_row = near_duplicates(rows.select(F.col("row_").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_"), F.col("component_id").alias("root"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row_")
+    keep = rows.select("row_", order.alias("order_")).join(of_row, "row_").groupBy("root").agg(F.min("order_").alias("least")).select(F.col("least.row_").alias("row_"))
+    return rows.join(keep, "row_", "left_semi").select(*docs.columns)
 
 
 def op10_simhash_golay(spark, sf_dir: str) -> DataFrame:

@@ -65,6 +65,13 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_representatives_of_null_and_shared_ids(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(40)) for name in "abcde"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (2, texts[2]), (0, texts[3]), (3, texts[4]), (3, texts[4]), (None, texts[4])]
+    got = sorted(((r.doc_id, r.text) for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert got == sorted([(None, texts[0]), (None, texts[1]), (1, texts[2]), (0, texts[3]), (3, texts[4])], key=str)
+
+
 def test_packing(spark):
     rows = [*ROWS, *[(10 + i, f"word{i} it's  text\n{i} " * (1 + i * 7 % 90), "en", f"s{i % 5}", 0, "") for i in range(60)]]
     got = packing.pack(spark.createDataFrame(rows, DOCS).repartition(3), {"s1": 3.0, "s2": 1.0}, window=256).collect()
