@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm import shingles
 from foliant.llm.common import arrow_map, release, stash, texts_of, unstash
 from foliant.llm.components import connected_components
 
@@ -158,12 +159,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, hot_key: int = HOT_KEY) ->
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """Of each group one row: the one with the smallest doc_id (null last), text hash and place in the table.
+    """Of each group of near duplicates one row: the one with the smallest doc_id (null last), text hash and place in the table.
 
+    Near duplicates are as `shingles.groups` has them, by exact similarity: texts of 0.8 may differ in a quarter of the
+    fingerprint's bits, so no radius of fingerprints that is worth a search would find them all.
     Groups are of rows, not of ids: rows without an id, or with one id and different texts, are documents of their own.
     """
     rows = stash(docs.withColumn("row_", F.monotonically_increasing_id()), "dedup-rows")
-    of_row = near_duplicates(rows.select(F.col("row_").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_"), F.col("component_id").alias("root"))
+    of_row = shingles.groups(rows.select("row_", "text"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row_")
     keep = rows.select("row_", order.alias("order_")).join(of_row, "row_").groupBy("root").agg(F.min("order_").alias("least")).select(F.col("least.row_").alias("row_"))
     return rows.join(keep, "row_", "left_semi").select(*docs.columns)

@@ -7,11 +7,13 @@ import zlib
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import linededup, queries
+from foliant.llm import linededup, queries, shingles
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -114,3 +116,37 @@ def test_pipeline(spark, docs):
             end += r.length
         assert end == own[0].doc_tokens
     assert sorted(tuple(r) for r in stages["packing"](spark, spark.createDataFrame(seen["near_duplicates"], docs.schema), SF).select("doc_id", "doc_tokens").distinct().collect()) == sorted({(r.doc_id, r.doc_tokens) for r in seen["packing"]})
+
+
+def test_near_duplicate_stage(spark):
+    """Against brute force over all pairs: texts with edited words, few words, none, and shingles that most texts share."""
+    rng, texts = np.random.default_rng(8), [None, "", " ", "one two", "One  two", "two one", "a b c d e", "a b c d e f"]
+    for size in (7, 12, 60, 60, 300):
+        for _ in range(4):
+            base = ["the", "same", "words", "at", "the", "start", *(f"w{x}" for x in rng.integers(0, 5000, size))]
+            texts.append(" ".join(base))
+            for edits in range(1, 6):
+                near = list(base)
+                for at in rng.integers(0, len(near), edits * size // 100 + 1):
+                    near[at] = f"e{rng.integers(0, 5000)}"
+                texts.append(" ".join(near if edits % 2 else base[: len(base) - edits]))
+    sets = []
+    for t in texts:
+        words = WORD.findall(lower(t))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    want = {i for i, r in enumerate(root) if i == r}
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert 20 < len(want) < len(texts) - 20
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF).collect()} == want
+    by_row = docs.select(F.col("doc_id").alias("row_"), "text")
+    for common in (0, 1 << 30):
+        groups_of = defaultdict(set)
+        for r in shingles.groups(by_row, common=common).collect():
+            groups_of[r.root].add(r.row_)
+        assert {min(g) for g in groups_of.values()} == want
