@@ -1,4 +1,4 @@
-"""Embedding near-dedup by NN-descent: a neighbour graph refined through neighbours of neighbours; its threshold edges are the links."""
+"""Embedding near-dedup by NN-descent: a neighbour graph refined through neighbours of neighbours; blocks of each label complete its links."""
 
 from __future__ import annotations
 
@@ -13,14 +13,12 @@ from pyspark.sql import functions as F
 from foliant.llm.common import arrow_map, release, stash, unstash
 from foliant.llm.components import connected_components
 
-#: Neighbours a node keeps at first, and at most when all it has are links. Links beyond that are counted in the last, exact step.
+#: Neighbours a node keeps at first, and at most when all it has are links. Links beyond that come from the last, exact step.
 K, K_MAX = 12, 48
 #: Random orders for the first graph, rows compared in one stretch of an order, rounds of refinement at most.
 ORDERS, STRETCH, ROUNDS = 4, 64, 4
-#: Rows whose links the audit finds by brute force, and the share that the graph must have.
-AUDIT, RECALL = 256, 0.95
-#: Rows in a block of the exact step.
-BLOCK = 1024
+#: Rows in a block of the exact step: of a part that is up to eight of them, and of the largest.
+BLOCK, BLOCK_MAX = 2048, 8192
 EDGE = "u long, v long, sim double, fresh boolean"
 
 
@@ -153,54 +151,43 @@ def refine(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     return sent.repartition("m").sortWithinPartitions("m", "n").mapInArrow(pair, EDGE)
 
 
-def audit(nodes: DataFrame, roots: DataFrame, threshold: float, size: int = AUDIT) -> float:
-    """Share of the links of `size` nodes (those with the least hashes), found by brute force in blocks, whose ends are in one component of the graph."""
-    asked = [tuple(r) for r in nodes.join(roots, "node", "left").orderBy(F.xxhash64("node"), "node").limit(size).select("node", "part", "vec", "root").collect()]
-    if not asked:
-        return 1.0
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, parts, blobs, own_roots = (batch.column(c).to_pylist() for c in ("node", "part", "vec", "root"))
-        mine: dict[int, list[int]] = {}
-        for i, p in enumerate(parts):
-            mine.setdefault(p, []).append(i)
-        had = total = 0
-        for part, at in mine.items():
-            own = [a for a in asked if a[1] == part]
-            if own:
-                for a, b in zip(*np.nonzero(_unit([a[2] for a in own]) @ _unit([blobs[i] for i in at]).T >= threshold), strict=True):
-                    if own[a][0] != ids[at[b]]:
-                        total += 1
-                        had += own[a][3] is not None and own[a][3] == own_roots[at[b]]
-        return pa.RecordBatch.from_arrays([pa.array([had], pa.int64()), pa.array([total], pa.int64())], ["had", "total"])
-
-    got = arrow_map(nodes.join(roots, "node", "left").select("node", "part", "vec", "root"), run, "had long, total long").agg(F.sum("had"), F.sum("total")).first()
-    return got[0] / got[1] if got[1] else 1.0
-
-
-def _exact_links(nodes: DataFrame, roots: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
-    """(node, n): rows of other nodes linked with each node. All pairs within a component, a pair of blocks a task; only counts leave it."""
-    inside = stash(nodes.join(roots, "node").join(weights, "node").select("root", "node", "vec", "rows"), "nn-inside")
-    sizes = inside.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    many = inside.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int"))
-    # a block meets every block of its component: it is "i" in one group and "j" in another; groups of small components share a task
-    one = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = one.select("root", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("asks"), "node", "vec", "rows")
-    right = one.where("own <> other").select("root", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"), "node", "vec", "rows")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _exact(nodes: DataFrame, roots: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
+    """Every pair of nodes of a part, a pair of blocks a task: (node, n, null), rows of other nodes linked with each node, and
+    (root, null, root) for two components of the graph that a link joins. Only counts and these leave a task.
+    """
+    rooted = nodes.join(roots, "node", "left").join(weights, "node").select("part", "node", "vec", "rows", F.coalesce("root", "node").alias("root"))
+    count = F.count("*")
+    sizes = nodes.groupBy("part").agg(F.greatest(F.ceil(count / BLOCK_MAX), F.least(F.ceil(count / BLOCK), F.lit(8))).cast("int").alias("blocks"))
+    own = rooted.join(sizes, "part").withColumn("own", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int"))
+    # a block meets every block of its part
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = met.select("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "vec", "rows", "root")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
 
         def met(rows: list) -> Iterator[pa.RecordBatch]:
-            asks = [r for r in rows if r[3]]
-            others = [r for r in rows if not r[3]] if rows[0][1] != rows[0][2] else asks
-            if not asks or not others:
+            sides = [[r for r in rows if r[3] == k] for k in dict.fromkeys(rows[0][1:3])]
+            if not all(sides):
                 return
-            close = _unit([r[5] for r in asks]) @ _unit([r[5] for r in others]).T >= threshold
-            if others is asks:
-                np.fill_diagonal(close, False)
-            n = close @ np.array([r[6] for r in others], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([r[4] for r in asks], pa.int64()), pa.array(n.astype(np.int64))], ["node", "n"])
+            one, two = sides[0], sides[-1]
+            x, y = (_unit([r[5] for r in side]) for side in (one, two))
+            (wx, wy), (rx, ry) = ([np.array([r[c] for r in side], np.int64) for side in (one, two)] for c in (6, 7))
+            nx, ny, joined = np.zeros(len(one), np.int64), np.zeros(len(two), np.int64), set()
+            for at in range(0, len(one), 512):
+                u, v = np.nonzero(x[at : at + 512] @ y.T >= threshold)
+                u += at
+                if one is two:
+                    u, v = u[u != v], v[u != v]
+                np.add.at(nx, u, wy[v])
+                if one is not two:
+                    np.add.at(ny, v, wx[u])
+                apart = rx[u] != ry[v]
+                joined.update(zip(rx[u[apart]].tolist(), ry[v[apart]].tolist(), strict=True))
+            ids = [r[4] for r in one] + ([] if one is two else [r[4] for r in two])
+            n = nx.tolist() + ([] if one is two else ny.tolist())
+            some = [(i, k, None) for i, k in zip(ids, n, strict=True) if k] + [(a, None, b) for a, b in joined]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*some, strict=True) if some else ((), (), ()))], ["node", "n", "other"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -211,11 +198,10 @@ def _exact_links(nodes: DataFrame, roots: DataFrame, weights: DataFrame, thresho
         if held:
             yield from met(held)
 
-    pairs = left.unionByName(right).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "asks", "node")
-    return pairs.mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    return tiles.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "own").mapInArrow(links, "node long, n long, other long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float = RECALL) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """Link vectors of one label whose cosine (double precision) is at least `threshold`.
 
     Returns vec_id, n_links, component_id, kept for each row. Vectors that are null, empty, zero or hold null or
@@ -223,33 +209,31 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
     label are one node, so copies cost nothing; they link with each other. Vectors of different dimensions never link. A
     null vec_id keeps its row, and is a component_id only where no other is. Extra columns are ignored.
 
-    The graph starts from random orders and is refined until few edges are new. Then brute force over a bounded sample
-    measures the share of links it has; below `recall` it goes on from new orders. Its links give components, and
-    within these all pairs are checked in blocks, so counts are exact there, however many links a node has.
+    The graph starts from random orders and is refined until few edges are new; its links give components. A node's list
+    is bounded and a search may miss links, so then all pairs of a label are checked in blocks: that gives the counts, and
+    links that the graph lacks join its components. The result is exact; this step grows with the square of a label's vectors.
     """
     spark = vectors.sparkSession
     rows, nodes = nodes_of(vectors)
     weights = stash(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("rows"), F.min("vec_id").alias("least")), "nn-weights")
-    n, graph = nodes.count(), None
-    for attempt in range(4):
-        start = first_graph(nodes, attempt)
-        grown = stash(nearest(start if graph is None else start.unionByName(graph), threshold), "nn-graph")
-        if graph is not None:
-            unstash(graph)
+    n, graph = nodes.count(), stash(nearest(first_graph(nodes, 0), threshold), "nn-graph")
+    for _ in range(ROUNDS):
+        found = refine(graph, nodes).unionByName(graph.withColumn("fresh", F.lit(False)))
+        grown = stash(nearest(found, threshold), "nn-graph")
+        unstash(graph)
+        release(spark)
         graph = grown
-        for _ in range(ROUNDS):
-            found = refine(graph, nodes).unionByName(graph.withColumn("fresh", F.lit(False)))
-            grown = stash(nearest(found, threshold), "nn-graph")
-            unstash(graph)
-            release(spark)
-            graph = grown
-            if graph.where("fresh").count() <= 0.002 * K * n:
-                break
-        roots = stash(connected_components(graph.where(F.col("sim") >= threshold).select("u", "v")), "nn-roots")
-        if audit(nodes, roots, threshold) >= recall:
+        if graph.where("fresh").count() <= 0.002 * K * n:
             break
-    counts = _exact_links(nodes, roots, weights, threshold)
+    roots = stash(connected_components(graph.where(F.col("sim") >= threshold).select("u", "v")), "nn-roots")
+    unstash(graph)
+    release(spark)
+    exact = stash(_exact(nodes, roots, weights, threshold), "nn-exact")
     release(spark)
+    counts = exact.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
+    merged = stash(connected_components(exact.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v"))), "nn-merged")
+    within = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("part_root"))
+    roots = within.join(merged.select(F.col("node").alias("part_root"), "root"), "part_root", "left").select("node", F.coalesce("root", "part_root").alias("root"))
     of_node = weights.join(roots, "node", "left").join(counts, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", (F.coalesce("n", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     of_node = stash(of_node, "nn-counts")
     least = of_node.groupBy("root").agg(F.min("least").alias("component_id"))

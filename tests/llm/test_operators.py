@@ -145,3 +145,22 @@ def test_topk_and_neighbours(spark):
     links = {i: sum(j != i and lab == m and len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.98 for j, w, m in fine) for i, v, lab in fine if len(v) == 8}
     assert all(n == links[i] for i, n, c in near if i in links and i != 4) and {(200, 0, 200), (201, 0, 201), (202, 0, 202), (203, 0, 203)} <= near
     assert neighbours.near_duplicates(df.where("false")).collect() == []
+
+
+def test_neighbours_beyond_the_lists(spark):
+    """Two tight groups linked across, each larger than a list, and small groups beside them."""
+    rng = np.random.default_rng(6)
+    a, b = np.eye(16)[0], np.eye(16)[0] + 0.17 * np.eye(16)[1]
+    tight = [base + rng.normal(size=16) * 0.0005 for base in (a, b) for _ in range(100)]
+    pairs = [base + rng.normal(size=16) * 0.01 for base in rng.normal(size=(30, 16)) for _ in range(2)]
+    x = np.array(tight + pairs)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.98
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+
+    def check():
+        got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(df).collect()}
+        assert got == {i: (int(close[i].sum()) - 1, int(np.flatnonzero(close[i]).min())) for i in range(len(x))}
+
+    assert close[:200, :200].all()
+    check()
