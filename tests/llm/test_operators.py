@@ -147,8 +147,8 @@ def test_topk_and_neighbours(spark):
     assert neighbours.near_duplicates(df.where("false")).collect() == []
 
 
-def test_neighbours_beyond_the_lists(spark):
-    """Two tight groups linked across, each larger than a list, and small groups beside them."""
+def test_neighbours_beyond_the_lists_and_rounds(spark):
+    """Two tight groups linked across, each larger than a list; and small groups beside a hot one, with no search to find them."""
     rng = np.random.default_rng(6)
     a, b = np.eye(16)[0], np.eye(16)[0] + 0.17 * np.eye(16)[1]
     tight = [base + rng.normal(size=16) * 0.0005 for base in (a, b) for _ in range(100)]
@@ -164,3 +164,9 @@ def test_neighbours_beyond_the_lists(spark):
 
     assert close[:200, :200].all()
     check()
+    was = neighbours.ROUNDS, neighbours.STRETCH, neighbours.BLOCK
+    try:
+        neighbours.ROUNDS, neighbours.STRETCH, neighbours.BLOCK = 0, 2, 50
+        check()
+    finally:
+        neighbours.ROUNDS, neighbours.STRETCH, neighbours.BLOCK = was
