@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import zlib
@@ -34,11 +35,11 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Byte-level BPE ids as little-endian uint16, without special tokens.
+    """Byte-level BPE ids as little-endian uint16; none are added, but added tokens of the .json file that a text holds keep their ids.
 
     A space before a character that is no space starts a new piece under the split pattern, whatever stands before it. So a
     text falls into chunks, one for each such space, that are encoded alone; a bounded table remembers chunks.
-    Texts where a space stands before other space or the end are encoded whole.
+    Texts where a space stands before other space or the end are encoded whole. A text is cut at added tokens first.
     The rank file holds the vocabulary of the .json file of the same name, and ids are the same.
     """
 
@@ -52,11 +53,19 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.remember = remember
         self.plain = re.compile(r" (?:\s|\Z)")
+        with open(os.path.splitext(path)[0] + ".json", encoding="utf-8") as f:
+            self.added = {t["content"]: np.array([t["id"]], np.uint16).tobytes() for t in json.load(f)["added_tokens"]}
+        self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.codec.encode_ordinary(text), np.uint16).tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return b"".join(self.added.get(x) or self._ordinary(x) for x in self.cut.split(text) if x)
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
         if self.plain.search(text):
             return self._encode(text)
         known, out = self.known, []

@@ -96,6 +96,14 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_packing_added_tokens(spark):
+    """Ids as the library gives them by its default settings."""
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x", "it's <|endoftext|>\n\n y  ", "<|endoftext| >", "plain  text \n"]
+    codec = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in packing.pack(spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string")).collect()}
+    assert got == {i: [*codec.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
 def test_quality(spark):
     good, bad = "The plain words of a text, with ends. ", "SHOUT!! $$$ %%% ### | x | "
     docs = spark.createDataFrame([(i, (good if i % 2 else bad) * (1 + i % 7), "en", "a", 1, "") for i in range(80)] + [(90, None, "en", "a", 1, ""), (None, good, "en", "a", 1, "")], DOCS)
