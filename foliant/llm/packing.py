@@ -24,8 +24,6 @@ WINDOW = 2048
 SHIFT = 20
 #: Id that ends each document.
 END_ID = 1
-#: The queue of all sources whose share is below one token a window.
-TAIL = "\0tail"
 
 
 def default_vocabulary() -> str:
@@ -201,17 +199,50 @@ def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
     return lean.mapInArrow(run, "part int, source string, doc_id long, before long, ids binary")
 
 
+def _taking_turns(docs: DataFrame, window: int) -> DataFrame:
+    """Documents of many small sources in one queue: `at` as tokens of their source becomes that of the queue.
+
+    Each source is cut into quanta of `window` tokens at most (ends of documents cut too). A quantum is due when the queue
+    has given the share of its tokens that the source has given at the quantum's middle: so after any number of tokens
+    each source is within about a quantum of what it is owed.
+    """
+    quanta = F.sequence(F.floor(F.col("at") / window), F.floor((F.col("at") + F.col("doc_tokens") - 1) / window))
+    cut = docs.withColumn("quantum", F.explode(quanta)).withColumn("low", F.greatest("at", F.col("quantum") * window)).withColumn("high", F.least(F.col("at") + F.col("doc_tokens"), (F.col("quantum") + 1) * window))
+    due = (F.col("quantum") * window + F.least((F.col("quantum") + 1) * window, F.col("all"))) / (2 * F.col("all"))
+    first = F.col("low") - F.col("at")
+    ids = F.substring("ids", (2 * first + 1).cast("int"), (2 * (F.col("high") - F.col("low"))).cast("int"))
+    lean = cut.select("doc_id", "source", first.alias("from"), "doc_tokens", ids.alias("ids"), due.alias("due"), F.xxhash64("source", "quantum").alias("tie"), "low")
+    lined = lean.repartitionByRange("due", "tie", "source", "low").sortWithinPartitions("due", "tie", "source", "low")
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = np.array([len(x) // 2 for x in batch.column("ids").to_pylist()], np.int64)
+            before = seen + np.cumsum(n) - n
+            seen += int(n.sum())
+            cols = [batch.column(c) for c in ("doc_id", "source", "from", "doc_tokens", "ids")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([part] * len(n), pa.int32()), pa.array(before)], ["doc_id", "source", "from", "doc_tokens", "ids", "run", "before"])
+
+    kind = "doc_id long, source string, from long, doc_tokens long, ids binary, run int, before long"
+    runs = stash(lined.select("doc_id", "source", "from", "doc_tokens", "ids").mapInArrow(numbered, kind), "packing-tail")
+    sums = runs.groupBy("run").agg(F.sum(F.octet_length("ids") / 2).cast("long").alias("n"))  # one row a task
+    base = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return runs.join(F.broadcast(base), "run").select("doc_id", "source", (F.col("base") + F.col("before")).alias("at"), "from", "doc_tokens", "ids")
+
+
 def pack(docs: DataFrame, weights: dict[str, float] | None = None, vocabulary: str | None = None, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """Pack the ids of all documents into sequences of `window` tokens; only the last may be shorter.
 
     weights: target token proportions by source, by default those of the corpus; sources not named get what the others
-    leave. Each source is a queue; sources below one token a window share one queue, so there are at most `window` queues.
+    leave. Each source is a queue, also each named one, however small; only sources below one token a window that are not
+    named share one, in which they take turns in proportion (`_taking_turns`). So there are at most `window` queues;
+    more named sources than that are an error.
     Returns doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids the ids (uint16).
     A null text is empty, a null source is the source ''. Null and repeated doc_ids each keep their row. An empty table gives no pieces.
     Extra columns are ignored.
 
     One pass tokenizes; where a document's tokens stand in its queue is a prefix sum over (source, partition) totals, and
-    its windows follow from that place in closed form: no queue is ever sorted or gathered.
+    its windows follow from that place in closed form: no queue is ever gathered, and none but the shared one sorted.
     """
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
     tok = stash(tokenized(docs, vocabulary), "packing-ids")
@@ -219,15 +250,23 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, vocabulary: s
     parts = stash(tok.groupBy("source", "part").agg(F.sum(size).alias("n")), "packing-parts")
     release(spark)
     total = parts.agg(F.sum("n")).first()[0] or 0
-    big = {r["source"]: r["n"] for r in parts.groupBy("source").agg(F.sum("n").alias("n")).where(F.col("n") * window >= total).collect()}  # at most `window` rows
-    names = sorted(big)
-    totals = [big[s] for s in names] + [total - sum(big.values())]
-    named = None if weights is None else [max(0.0, float(weights.get(s, 0.0))) for s in names] + [0.0]
+    by_source = parts.groupBy("source").agg(F.sum("n").alias("n"))
+    named = {s: float(w) for s, w in (weights or {}).items() if w > 0}
+    if len(named) >= window:
+        raise ValueError(f"{len(named)} sources with a weight, but a window of {window} tokens")
+    wanted = spark.createDataFrame([(s,) for s in named], "source string")
+    own = {r["source"]: r["n"] for r in by_source.join(F.broadcast(wanted), "source", "left_semi").collect()} if named else {}
+    others = by_source.where(F.col("n") * window >= total).orderBy(F.desc("n"), "source").limit(window).collect()
+    for r in others:  # at most `window` queues with that of the tail
+        if r["source"] in own or len(own) < window - 1:
+            own[r["source"]] = r["n"]
+    names = sorted(own)
+    totals = [own[s] for s in names] + [total - sum(own.values())]
+    named = None if weights is None else [named.get(s, 0.0) for s in names] + [0.0]
     plan = schedule(totals, named, window)
     number = {s: i for i, s in enumerate(names)}
-    queue = F.when(F.col("source").isin(names), F.col("source")).otherwise(F.lit(TAIL)) if names else F.lit(TAIL)
-    upto = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.withColumn("queue", queue).withColumn("base", F.coalesce(F.sum("n").over(upto), F.lit(0))).select("source", "part", "base")
+    upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.withColumn("base", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("source"))).select("source", "part", "base", "all")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = [np.array([s.served[i] for s in plan], np.int64) for i in range(len(totals))]
@@ -235,15 +274,19 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, vocabulary: s
         for whole in batches:
             for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
                 rows = [[] for _ in schema]
-                for doc, source, at, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "at", "ids")), strict=True):
-                    n, wide = len(raw) // 2, memoryview(np.frombuffer(raw, np.uint16).astype("<u4").tobytes())
-                    for start, length, seq, offset in pieces(plan, starts, number.get(source, len(names)), at, n):
-                        values = (doc, source, start, length, zlib.crc32(wide[4 * start : 4 * (start + length)]), n, seq, offset, raw[2 * start : 2 * (start + length)])
+                for doc, source, at, begin, doc_tokens, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "at", "from", "doc_tokens", "ids")), strict=True):
+                    wide = memoryview(np.frombuffer(raw, np.uint16).astype("<u4").tobytes())
+                    for start, length, seq, offset in pieces(plan, starts, number.get(source, len(names)), at, len(raw) // 2):
+                        values = (doc, source, begin + start, length, zlib.crc32(wide[4 * start : 4 * (start + length)]), doc_tokens, seq, offset, raw[2 * start : 2 * (start + length)])
                         for r, v in zip(rows, values, strict=False):
                             r.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, schema, strict=True)], schema=schema)
 
-    placed = tok.join(base, ["source", "part"]).select("doc_id", "source", (F.col("base") + F.col("before")).alias("at"), "ids")
+    at_source = tok.join(base, ["source", "part"]).select("doc_id", "source", (F.col("base") + F.col("before")).alias("at"), F.lit(0).cast("long").alias("from"), size.alias("doc_tokens"), "ids", "all")
+    placed = at_source.drop("all")
+    if totals[-1]:
+        mine = F.col("source").isin(names) if names else F.lit(False)
+        placed = placed.where(mine).unionByName(_taking_turns(at_source.where(~mine), window))
     kind = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return placed.mapInArrow(run, kind)
 

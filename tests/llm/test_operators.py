@@ -96,6 +96,37 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_packing_small_sources(spark):
+    """Sources of under a token a window take turns; named ones get their target."""
+    rows = [(i, " ".join(["word"] * (19 + i % 3 * 40)), f"s{i % 50:02}") for i in range(400)] + [(1000, " ".join(["rare"] * 30), "rare"), (1001, " ".join(["big"] * 9000), "big")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for weights in (None, {"big": 1.0}):
+        got = packing.pack(df.where("source <> 'rare'"), weights, window=16).collect()
+        assert sum(r.length for r in got) == sum(r.doc_tokens for r in {r.doc_id: r for r in got}.values())
+        places = [(r.sequence_id * 16 + r.offset, r.source, r.length) for r in got if r.source != "big"]
+        whole, given, at = defaultdict(int), defaultdict(int), 0
+        for _, s, n in places:
+            whole[s] += n
+        everything = sum(whole.values())
+        for _, s, n in sorted(places):
+            given[s] += n
+            at += n
+            assert all(abs(given[x] - whole[x] * at / everything) <= 40 for x in whole)
+        docs = defaultdict(list)
+        for r in got:
+            docs[r.doc_id].append((r.start, r.length, r.doc_tokens))
+        for own in docs.values():
+            at = 0
+            for start, length, _ in sorted(own):
+                assert start == at
+                at += length
+            assert at == own[0][2]
+    given = defaultdict(int)
+    for r in packing.pack(df, {"rare": 0.3, "big": 0.7}, window=100).where("sequence_id = 0").collect():
+        given[r.source] += r.length
+    assert abs(given["rare"] - 30) <= 1 and abs(given["big"] - 70) <= 1
+
+
 def test_packing_added_tokens(spark):
     """Ids as the library gives them by its default settings."""
     texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x", "it's <|endoftext|>\n\n y  ", "<|endoftext| >", "plain  text \n"]
