@@ -16,7 +16,7 @@ from foliant.llm.components import connected_components
 #: Words in a shingle; similarity (Jaccard) of near duplicates, as a fraction of whole numbers.
 WIDTH, NUM, DEN = 5, 4, 5
 #: Shingles in over COMMON first prefixes come last in the order, the COMMON_MOST most frequent of them at most. Any order gives the same groups.
-COMMON, COMMON_MOST = 16, 200_000
+COMMON, COMMON_MOST = 2, 500_000
 #: Bins of the histogram of a set's hashes, whose bin-wise minimum bounds an overlap from above.
 BINS = 128
 
@@ -128,7 +128,11 @@ def groups(rows: DataFrame, width: int = WIDTH, common: int = COMMON) -> DataFra
     often = _prefixes(sets, np.zeros(0, np.uint64)).groupBy("token").count().where(F.col("count") > common).orderBy(F.desc("count"), "token").limit(COMMON_MOST).toPandas()["token"]
     late = np.sort(often.to_numpy(np.int64).view(np.uint64))
     release(spark)
-    every = stash(_prefixes(sets, late).distinct(), "shingle-prefixes")
+    # two passes over the prefixes: one shuffles tokens alone, the other what is left of the postings; neither is kept
+    again = stash(_prefixes(sets, late).groupBy("token").count().where("count > 1").select("token"), "shingle-again")
+    release(spark)
+    every = stash(_prefixes(sets, late).join(again, "token", "left_semi").distinct(), "shingle-prefixes")
+    unstash(again)
     release(spark)
     first = every.groupBy("token").agg(F.count("*").alias("n"), F.min_by(F.struct("node", "size", "pos"), F.xxhash64("token", "node")).alias("hub")).where("n > 1").select("token", "hub")
     shared = stash(every.join(first, "token"), "shingle-shared")
@@ -136,8 +140,9 @@ def groups(rows: DataFrame, width: int = WIDTH, common: int = COMMON) -> DataFra
     release(spark)
     swap = F.col("node") < F.col("hub.node")
     ends = [F.when(swap, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("node", "hub.node", "u"), ("hub.node", "node", "v"))]
-    # the places that a pair has in common are known for some shingles only here, so only sizes rule it out
-    hubs = shared.where(f"node <> hub.node and {DEN} * least(size, hub.size) >= {NUM} * greatest(size, hub.size)").select(*ends).distinct()
+    # of what stands before the shared shingle all may be shared, of what stands behind it the shorter rest
+    bound = f"(least(pos, hub.pos) + least(size - pos, hub.size - hub.pos)) * {NUM + DEN} >= {NUM} * (size + hub.size)"
+    hubs = shared.where(f"node <> hub.node and {DEN} * least(size, hub.size) >= {NUM} * greatest(size, hub.size) and {bound}").select(*ends).distinct()
     hubs = stash(hubs, "shingle-hubs")
     near = _near(hubs, sets)
     roots = stash(connected_components(near), "shingle-roots")
