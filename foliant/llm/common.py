@@ -3,38 +3,74 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Settings by which Spark drops a query's shuffle files at its end.
+CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.connect.shuffleDependency.fileCleanup.enabled")
+
+
+@cache
+def _own_dir() -> str:
+    """A temporary folder of this process, for sessions on one machine that name no shared one."""
+    base = tempfile.mkdtemp(prefix="foliant-shared-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: `spark.checkpoint.dir`.
+    """The folder that the driver and all executors share: `spark.checkpoint.dir`, with its file system.
 
-    Only where it is unset (local tests) a temporary folder of this process is made and recorded in the session.
+    Where it is unset a folder of this process serves a local master; a cluster without it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="foliant-shared-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: no folder that the driver and all executors share")
+        base = f"file:{_own_dir()}"
+    return qualified(spark, base).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the file system on which Spark finds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(where).toString()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries run within drop their shuffle files when they end, by Spark's own clean-up, not when garbage happens to be collected."""
+    before = {k: spark.conf.get(k, None) for k in CLEANUP}
+    try:
+        for k in CLEANUP:
+            spark.conf.set(k, "true")
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def stash(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write `df` to a new table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    """Write `df` to a new table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    The write's shuffle files go with it.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    with tidy(spark):
+        df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -50,16 +86,6 @@ def unstash(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished jobs: it does so once the driver has collected its garbage.
-
-    The session holds on to the query it ran last, so a trivial one runs first.
-    """
-    spark.range(1).collect()
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
     """Apply `fn` batch by batch."""
 

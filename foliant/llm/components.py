@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import release, stash, unstash
+from foliant.llm.common import stash, unstash
 
 #: With at most so many edges left (16 bytes each), one task joins them by union-find.
 FINISH_EDGES = 500_000
@@ -58,7 +58,6 @@ def connected_components(edges: DataFrame, finish_edges: int = FINISH_EDGES) ->
         nxt = stash(small, "cc")
         total = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         unstash(e)
-        release(spark)
         e = nxt
         if tuple(total) == last:
             roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import release, stash, unstash
+from foliant.llm.common import stash, unstash
 
 BLOCK_TOKENS = 1 << 21
 #: Counts up to this are discounted.
@@ -300,19 +300,14 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = stash(blocks_of(lean), "lm-blocks")
-    release(spark)
     counted = stash(count(blocks, buckets), "lm-counts")
-    release(spark)
     stats = {r["kind"]: list(r)[1:] for r in counted.where("stats is not null").groupBy("kind").agg(*(F.sum(F.col("stats")[i]) for i in range(GT_MAX + 3))).collect()}
     if not stats:
         return blocks.selectExpr("explode(doc_ids) doc_id", "false held_out", "0L n_tokens", "0L n_known", "0L train_tokens", "0D base_score", "0D score")
     model = Model.of(stats[0], stats[1])
-    release(spark)  # the shuffle of the counts lasts until its query is no longer the last one
     weights = stash(weigh(blocks, counted, model, buckets), "lm-weights")
-    release(spark)
     out = stash(score_blocks(blocks, counted.unionByName(weights), model, buckets), "lm-scores")
     unstash(blocks, counted, weights)
-    release(spark)
     return out
 
 

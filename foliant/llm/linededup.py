@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import arrow_map, release, stash, texts_of
+from foliant.llm.common import arrow_map, stash, texts_of
 
 #: A run counts as repeated from so many lines, or from so many words.
 MIN_LINES, MIN_WORDS = 3, 50
@@ -117,7 +117,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     fps = stash(line_fingerprints(lean), "line-fps")
     again = fps.groupBy("fp").count().where("count > 1").select("fp")
     runs = stash(runs_of(fps.join(again, "fp")).dropDuplicates(["run", "k", "start"]), "line-runs")
-    release(docs.sparkSession)
     place = F.struct("doc_id", "k", "start")
     first = runs.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
     later = runs.join(first, "run").where(~place.eqNullSafe(F.col("first")))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import arrow_map, release, stash, unstash
+from foliant.llm.common import arrow_map, stash, unstash
 from foliant.llm.components import connected_components
 
 #: Neighbours a node keeps at first, and at most when all it has are links. Links beyond that come from the last, exact step.
@@ -221,15 +221,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         found = refine(graph, nodes).unionByName(graph.withColumn("fresh", F.lit(False)))
         grown = stash(nearest(found, threshold), "nn-graph")
         unstash(graph)
-        release(spark)
         graph = grown
         if graph.where("fresh").count() <= 0.002 * K * n:
             break
     roots = stash(connected_components(graph.where(F.col("sim") >= threshold).select("u", "v")), "nn-roots")
     unstash(graph)
-    release(spark)
     exact = stash(_exact(nodes, roots, weights, threshold), "nn-exact")
-    release(spark)
     counts = exact.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
     merged = stash(connected_components(exact.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v"))), "nn-merged")
     within = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("part_root"))

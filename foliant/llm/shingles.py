@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import arrow_map, release, stash, texts_of, unstash
+from foliant.llm.common import arrow_map, stash, texts_of, unstash
 from foliant.llm.components import connected_components
 
 #: Words in a shingle; similarity (Jaccard) of near duplicates, as a fraction of whole numbers.
@@ -108,10 +108,8 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     maybe = stash(checked(pairs, bins, enough), "shingle-maybe")
     unstash(bins)
     whole = stash(of_pairs(maybe).groupBy("node").agg(F.first("hashes").alias("x")), "shingle-whole")
-    release(sets.sparkSession)
     found = stash(checked(maybe, whole, same), "shingle-near")
     unstash(maybe, whole)
-    release(sets.sparkSession)
     return found
 
 
@@ -127,17 +125,13 @@ def groups(rows: DataFrame, width: int = WIDTH, common: int = COMMON) -> DataFra
     sets = stash(_sets(rows, width), "shingle-sets")
     often = _prefixes(sets, np.zeros(0, np.uint64)).groupBy("token").count().where(F.col("count") > common).orderBy(F.desc("count"), "token").limit(COMMON_MOST).toPandas()["token"]
     late = np.sort(often.to_numpy(np.int64).view(np.uint64))
-    release(spark)
     # two passes over the prefixes: one shuffles tokens alone, the other what is left of the postings; neither is kept
     again = stash(_prefixes(sets, late).groupBy("token").count().where("count > 1").select("token"), "shingle-again")
-    release(spark)
     every = stash(_prefixes(sets, late).join(again, "token", "left_semi").distinct(), "shingle-prefixes")
     unstash(again)
-    release(spark)
     first = every.groupBy("token").agg(F.count("*").alias("n"), F.min_by(F.struct("node", "size", "pos"), F.xxhash64("token", "node")).alias("hub")).where("n > 1").select("token", "hub")
     shared = stash(every.join(first, "token"), "shingle-shared")
     unstash(every)
-    release(spark)
     swap = F.col("node") < F.col("hub.node")
     ends = [F.when(swap, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("node", "hub.node", "u"), ("hub.node", "node", "v"))]
     # of what stands before the shared shingle all may be shared, of what stands behind it the shorter rest
@@ -150,7 +144,6 @@ def groups(rows: DataFrame, width: int = WIDTH, common: int = COMMON) -> DataFra
     left, right = (side.select("token", *(F.col(c).alias(n + e) for c, n in (("node", ""), ("size", "s"), ("pos", "p"), ("root", "r")))) for e in "uv")
     rest = stash(_possible(left.join(right, "token").where("u < v and ru <> rv")), "shingle-rest")
     unstash(shared, hubs)
-    release(spark)
     more = _near(rest, sets)
     unstash(roots, rest)
     roots = stash(connected_components(near.unionByName(more)), "shingle-roots")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import shingles
-from foliant.llm.common import arrow_map, release, stash, texts_of, unstash
+from foliant.llm.common import arrow_map, stash, texts_of, unstash
 from foliant.llm.components import connected_components
 
 #: Generator polynomial of the perfect binary (23, 12) Golay code.
@@ -151,7 +151,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, hot_key: int = HOT_KEY) ->
     fp = stash(fingerprints(docs, width), "fingerprints")
     nodes = stash(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-nodes")
     roots = stash(connected_components(links(nodes, hot_key)), "fp-roots")
-    release(spark)
     labelled = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = labelled.select("fp", "root").join(least, "root").select("fp", "component_id")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import release, scratch_path, stash
+from foliant.llm.common import scratch_path, stash
 
 #: Lines in an index block, and bytes after which an archive file ends.
 BLOCK_LINES, FILE_BYTES = 500, 256 << 20
@@ -170,7 +170,6 @@ def write(pages: DataFrame, base: str | None = None, min_revisit_bytes: int = 0)
     """
     base = base or scratch_path(pages.sparkSession, "warc")
     captures = write_archives(pages, base, min_revisit_bytes)
-    release(pages.sparkSession)
     return Archive(base, captures, build_index(captures, base))
 
 
