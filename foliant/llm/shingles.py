@@ -1,8 +1,8 @@
-"""Exact near-duplicate groups by shingle similarity: prefix filter over the rarest shingles, bounds on the overlap, then the sets themselves."""
+"""Exact similarity of shingle sets: candidate pairs are verified, and a prefix filter over the rarest shingles completes them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import arrow_map, stash, texts_of, unstash
+from foliant.llm.common import arrow_map, stash, texts_of, tidy, unstash
 from foliant.llm.components import connected_components
 
 #: Words in a shingle; similarity (Jaccard) of near duplicates, as a fraction of whole numbers.
@@ -21,14 +21,23 @@ COMMON, COMMON_MOST = 2, 500_000
 BINS = 128
 
 
-def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct XXH64 (seed 42) of a text's shingles; fewer than `width` words are one shingle, none give none."""
+def shingle_hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """XXH64 (seed 42) of each of a text's shingles, repeats included; fewer than `width` words are one shingle, none give none."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     n = max(1, len(words) - width + 1)
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + width]), 42) for i in range(n)), np.uint64, n))
+    return np.fromiter((digest(b" ".join(words[i : i + width]), 42) for i in range(n)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """SimHash: a bit is 1 if it is set in over half of the hashes; zero without any."""
+    total, step = np.zeros(64, np.int64), 1 << 16
+    for at in range(0, len(hashes), step):
+        bits = np.unpackbits(hashes[at : at + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def prefix_length(n: int) -> int:
@@ -37,13 +46,16 @@ def prefix_length(n: int) -> int:
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
+    """(row_, node, fp, hashes): the SimHash of each row's shingles and the sorted set of their hashes; rows of one set are one node."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t, width) for t in texts_of(batch)]
-        raw = [s.tobytes() for s in sets]
+        every = [shingle_hashes(t, width) for t in texts_of(batch)]
+        fps = np.fromiter(map(majority, every), np.uint64, len(every)).view(np.int64)
+        raw = [np.unique(h).tobytes() for h in every]
         nodes = np.fromiter((xxhash.xxh64_intdigest(b, 7) for b in raw), np.uint64, len(raw)).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("row_"), pa.array(nodes), pa.array(raw, pa.binary())], ["row_", "node", "hashes"])
+        return pa.RecordBatch.from_arrays([batch.column("row_"), pa.array(nodes), pa.array(fps), pa.array(raw, pa.binary())], ["row_", "node", "fp", "hashes"])
 
-    return arrow_map(rows.select("row_", F.col("text").cast("string").alias("text")), run, "row_ long, node long, hashes binary")
+    return arrow_map(rows.select("row_", F.col("text").cast("string").alias("text")), run, "row_ long, node long, fp long, hashes binary")
 
 
 def _prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
@@ -113,17 +125,19 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found
 
 
-def groups(rows: DataFrame, width: int = WIDTH, common: int = COMMON) -> DataFrame:
+def groups(rows: DataFrame, width: int = WIDTH, common: int = COMMON, candidates: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(row_, root) for each row of (row_, text): rows are in one group if near pairs lead from one to the other.
 
     Near: the Jaccard similarity of their sets of shingles of `width` words is at least NUM / DEN. No pair is lost:
     every shingle of every prefix counts, however many texts share it. Texts without words are one group.
-    First each set meets one other set of each of its prefix's shingles; then only pairs not yet in one group meet, so
-    a large group of near copies is not compared pair by pair.
+    candidates: pairs (u, v) of nodes to be verified first, from (node, fp) with the sets' SimHash fingerprints.
+    With them each set meets one other set of each of its prefix's shingles; then only pairs not yet in one group meet,
+    so a large group of near copies is not compared pair by pair.
     """
     spark = rows.sparkSession
     sets = stash(_sets(rows, width), "shingle-sets")
-    often = _prefixes(sets, np.zeros(0, np.uint64)).groupBy("token").count().where(F.col("count") > common).orderBy(F.desc("count"), "token").limit(COMMON_MOST).toPandas()["token"]
+    with tidy(spark):
+        often = _prefixes(sets, np.zeros(0, np.uint64)).groupBy("token").count().where(F.col("count") > common).orderBy(F.desc("count"), "token").limit(COMMON_MOST).toPandas()["token"]
     late = np.sort(often.to_numpy(np.int64).view(np.uint64))
     # two passes over the prefixes: one shuffles tokens alone, the other what is left of the postings; neither is kept
     again = stash(_prefixes(sets, late).groupBy("token").count().where("count > 1").select("token"), "shingle-again")
@@ -137,6 +151,8 @@ def groups(rows: DataFrame, width: int = WIDTH, common: int = COMMON) -> DataFra
     # of what stands before the shared shingle all may be shared, of what stands behind it the shorter rest
     bound = f"(least(pos, hub.pos) + least(size - pos, hub.size - hub.pos)) * {NUM + DEN} >= {NUM} * (size + hub.size)"
     hubs = shared.where(f"node <> hub.node and {DEN} * least(size, hub.size) >= {NUM} * greatest(size, hub.size) and {bound}").select(*ends).distinct()
+    if candidates is not None:
+        hubs = candidates(sets.select("node", "fp").distinct()).unionByName(hubs).distinct()
     hubs = stash(hubs, "shingle-hubs")
     near = _near(hubs, sets)
     roots = stash(connected_components(near), "shingle-roots")

@@ -8,7 +8,6 @@ from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,18 +25,7 @@ HOT_KEY = 512
 
 def fingerprint(text: bytes, width: int = 3) -> int:
     """64-bit SimHash of a text: XXH64 (seed 42) of space-joined shingles of `width` words, repeats included."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return digest(b" ".join(words), 42)
-    total, n, step = np.zeros(64, np.int64), len(words) - width + 1, 1 << 16
-    for at in range(0, n, step):
-        part = [digest(b" ".join(words[i : i + width]), 42) for i in range(at, min(n, at + step))]
-        bits = np.unpackbits(np.array(part, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
+    return shingles.majority(shingles.shingle_hashes(text, width))
 
 
 @cache
@@ -157,18 +145,29 @@ def near_duplicates(docs: DataFrame, width: int = 3, hot_key: int = HOT_KEY) ->
     return fp.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def candidates(sets: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
+    """(u, v): pairs of nodes of (node, fp) that Golay keys bring together, each node with the least node of its fingerprint or of a linked one."""
+    hubs = stash(sets.groupBy("fp").agg(F.min("node").alias("hub")), "simhash-hubs")
+    same = sets.join(hubs, "fp").select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    of = lambda side: hubs.select(F.col("fp").alias(f"fp_{side}"), F.col("hub").alias(side))
+    linked = links(hubs, hot_key).select(F.col("u").alias("fp_u"), F.col("v").alias("fp_v")).join(of("u"), "fp_u").join(of("v"), "fp_v").select("u", "v")
+    return same.unionByName(linked).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def representatives(docs: DataFrame) -> DataFrame:
     """Of each group of near duplicates one row: the one with the smallest doc_id (null last), text hash and place in the table.
 
-    Near duplicates are as `shingles.groups` has them, by exact similarity: texts of 0.8 may differ in a quarter of the
-    fingerprint's bits, so no radius of fingerprints that is worth a search would find them all.
+    Near duplicates have a similarity of 0.8 or more over shingles of five words. Golay keys of their SimHash fingerprints
+    give pairs, whose sets of shingles are compared. But texts of 0.8 may differ in a quarter of the fingerprint's bits, so
+    no radius that is worth a search finds them all: an exact join of the sets (`shingles.groups`) adds what is left.
     Groups are of rows, not of ids: rows without an id, or with one id and different texts, are documents of their own.
+    Null and empty texts, and those of white space, are one group. An empty table stays empty; all columns come back.
     """
-    rows = stash(docs.withColumn("row_", F.monotonically_increasing_id()), "dedup-rows")
-    of_row = shingles.groups(rows.select("row_", "text"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row_")
+    rows = stash(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_"), F.monotonically_increasing_id().alias("row_")), "dedup-rows")
+    of_row = shingles.groups(rows.select("row_", F.col("doc_.text").alias("text")), candidates=candidates)
+    order = F.struct(F.col("doc_.doc_id").isNull(), F.col("doc_.doc_id"), F.xxhash64("doc_.text"), "row_")
     keep = rows.select("row_", order.alias("order_")).join(of_row, "row_").groupBy("root").agg(F.min("order_").alias("least")).select(F.col("least.row_").alias("row_"))
-    return rows.join(keep, "row_", "left_semi").select(*docs.columns)
+    return rows.join(keep, "row_", "left_semi").select("doc_.*")
 
 
 def op10_simhash_golay(spark, sf_dir: str) -> DataFrame:
