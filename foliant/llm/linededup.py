@@ -10,24 +10,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import arrow_map, stash, texts_of
+from foliant.llm.common import arrow_map, stash, texts_of, unstash
 
 #: A run counts as repeated from so many lines, or from so many words.
 MIN_LINES, MIN_WORDS = 3, 50
 #: A run of fewer than MIN_LINES lines with MIN_WORDS words holds a line of so many words: those are always fingerprints.
 LONG_LINE = -(-MIN_WORDS // (MIN_LINES - 1))
 REACH = MIN_LINES - 1
+#: Runs that occur this often, and more often than one of HOT_SHARE parts of all, are joined by broadcast: at most HOT_SHARE of them.
+HOT, HOT_SHARE = 1000, 50_000
 
 
-def content_lines(text: bytes) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Number, hash and word count of each line that is not blank; space around a line does not count."""
+def content_lines(text: bytes) -> tuple[list[int], list[bytes], np.ndarray]:
+    """Number, 128-bit hash and word count of each line that is not blank; space around a line does not count."""
     at, digests, words = [], [], []
     for i, line in enumerate(text.split(b"\n")):
         if line := line.strip():
             at.append(i)
-            digests.append(xxhash.xxh64_intdigest(line, 0))
+            digests.append(xxhash.xxh3_128_digest(line))
             words.append(len(line.split()))
-    return at, np.array(digests, np.uint64).view(np.int64), np.array(words, np.int64)
+    return at, digests, np.array(words, np.int64)
 
 
 def winnow(digests: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -51,19 +53,22 @@ def line_fingerprints(docs: DataFrame) -> DataFrame:
         cols: tuple[list, ...] = ([], [], [], [], [], [])
         for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("k").to_pylist(), texts_of(batch), strict=True):
             at, digests, words = content_lines(text)
-            for i in winnow(digests, words):
+            for i in winnow(np.frombuffer(b"".join(digests), "<i8")[::2], words):
                 a, b = max(0, i - REACH), i + REACH + 1
-                for col, v in zip(cols, (digests[i], doc, key, i - a, digests[a:b].tobytes(), np.stack([words[a:b], at[a:b]]).astype(np.int32).tobytes()), strict=True):
+                for col, v in zip(cols, (digests[i], doc, key, i - a, b"".join(digests[a:b]), np.stack([words[a:b], at[a:b]]).astype(np.int32).tobytes()), strict=True):
                     col.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["fp", "doc_id", "k", "own", "near", "info"])
 
-    return arrow_map(docs, run, "fp long, doc_id long, k long, own int, near binary, info binary")
+    return arrow_map(docs, run, "fp binary, doc_id long, k long, own int, near binary, info binary")
 
 
-def extend(digests: np.ndarray, words: np.ndarray, own: int) -> list[tuple[int, int]]:
-    """[start, end) of the shortest runs that count and hold line `own`, looking both ways."""
-    n, runs = len(digests), []
+def extend(words: np.ndarray, own: int) -> list[tuple[int, int]]:
+    """[start, end) of the shortest runs that count and hold line `own`, looking both ways.
+
+    A longer run is the union of such runs, each of which holds a fingerprint, so no match has to be followed farther.
+    """
+    n, runs = len(words), []
     for a in range(max(0, own - REACH), own + 1):
         for b in range(own + 1, min(n, a + MIN_LINES) + 1):
             if b - a == MIN_LINES or words[a:b].sum() >= MIN_WORDS:
@@ -77,15 +82,14 @@ def runs_of(repeated: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: tuple[list, ...] = ([], [], [], [], [])
         for doc, key, own, near, info in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "k", "own", "near", "info")), strict=True):
-            digests = np.frombuffer(near, np.int64)
             words, at = np.frombuffer(info, np.int32).reshape(2, -1)
-            for a, b in extend(digests, words, own):
-                for col, v in zip(cols, (xxhash.xxh64_intdigest(digests[a:b].tobytes(), 1) - (1 << 63), doc, key, int(at[a]), at[a:b].tolist()), strict=True):
+            for a, b in extend(words, own):
+                for col, v in zip(cols, (xxhash.xxh3_128_digest(near[16 * a : 16 * b]), doc, key, int(at[a]), at[a:b].tolist()), strict=True):
                     col.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()))
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["run", "doc_id", "k", "start", "lines"])
 
-    return arrow_map(repeated, run, "run long, doc_id long, k long, start int, lines array<int>")
+    return arrow_map(repeated, run, "run binary, doc_id long, k long, start int, lines array<int>")
 
 
 def _without(text: pd.Series, lines: pd.Series) -> pd.DataFrame:
@@ -108,25 +112,32 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     a hash of their text.
     Columns named n_lines or n_removed are replaced.
 
-    Only fingerprints that occur at least twice are extended; earliest runs are a partially aggregated minimum, so a
-    line that very many documents share costs a row for each occurrence and never a pair of them.
+    Lines and runs are known by 128-bit hashes. Only fingerprints that occur at least twice are extended; earliest runs are
+    a partially aggregated minimum, and a run that very many documents share is joined by broadcast: a row for each
+    occurrence, never a pair of them, and in no one task.
     """
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("k"), F.col("text").cast("string").alias("text"))
     without = F.pandas_udf(_without, T.StructType().add("text", T.StringType()).add("n_lines", T.IntegerType()).add("n_removed", T.IntegerType()))
     fps = stash(line_fingerprints(lean), "line-fps")
     again = fps.groupBy("fp").count().where("count > 1").select("fp")
-    runs = stash(runs_of(fps.join(again, "fp")).dropDuplicates(["run", "k", "start"]), "line-runs")
+    runs = stash(runs_of(fps.join(again, "fp")).dropDuplicates(["run", "doc_id", "k", "start"]), "line-runs")
+    unstash(fps)
     place = F.struct("doc_id", "k", "start")
-    first = runs.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
-    later = runs.join(first, "run").where(~place.eqNullSafe(F.col("first")))
-    gone = later.groupBy(F.col("k").alias("_k")).agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("_lines"))
+    first = stash(runs.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-first")
+    often = max(HOT, (first.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    hot, rest = (F.broadcast(first.where(F.col("n") > often)), first.where(F.col("n") <= often).select("run", "first"))
+    met = runs.join(hot.select("run", "first"), "run").unionByName(runs.join(hot.select("run"), "run", "left_anti").join(rest, "run"))
+    gone = met.where(~place.eqNullSafe(F.col("first"))).groupBy("doc_id", "k").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines_"))
+    gone = gone.select(F.col("doc_id").alias("id_"), F.col("k").alias("k_"), "lines_")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = docs.select(*kept).withColumn("_k", key).join(gone, "_k", "left").withColumn("_out", without(F.col("text").cast("string"), "_lines"))
-    return out.select(*(F.col("_out.text").alias("text") if c == "text" else F.col(c) for c in kept), "_out.n_lines", "_out.n_removed")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc_"), F.col("doc_id").cast("long").alias("own_id_"), key.alias("own_k_"))
+    out = whole.join(gone, (F.col("own_k_") == F.col("k_")) & F.col("own_id_").eqNullSafe(F.col("id_")), "left").select("doc_", without(F.col("doc_.text").cast("string"), "lines_").alias("out_"))
+    return out.select(*(F.col("out_.text").alias("text") if c == "text" else F.col(f"doc_.`{c}`").alias(c) for c in kept), "out_.n_lines", "out_.n_removed")
 
 
 def op1_line_winnowing(spark, sf_dir: str) -> DataFrame:
+    """`documents` without later repeats of runs of lines: doc_id, text, n_lines, n_removed of every row."""
     return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", "n_lines", "n_removed")
 
 
