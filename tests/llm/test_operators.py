@@ -209,3 +209,57 @@ def test_neighbours_beyond_the_lists_and_rounds(spark):
         check()
     finally:
         neighbours.ROUNDS, neighbours.STRETCH, neighbours.BLOCK = was
+
+
+def test_line_dedup_clashing_columns(spark):
+    """Columns that bear the operator's own names come back as they were; rows of one id and different texts are two documents."""
+    kind = "doc_id long, text string, _k string, _out int, _lines int, k_ int, lines_ int, doc_ int, fp int, `a.b` int"
+    rows = [(1, f"start\n{RUN}", "k", 1, 2, 3, 4, 5, 6, 7), (1, f"other\n{RUN}\nx", "m", 1, 2, 3, 4, 5, 6, 8), (None, f"none\n{RUN}", "n", 1, 2, 3, 4, 5, 6, 9)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, kind)).collect()
+    assert sorted(tuple(r)[2:10] for r in got) == sorted(r[2:] for r in rows)
+    assert sorted(r.n_removed for r in got) == [0, 3, 3] and next(r for r in got if r.doc_id is None).n_removed == 0
+
+
+def test_line_dedup_hot_runs(spark, monkeypatch):
+    """Runs joined by broadcast give what all others give."""
+    df = spark.createDataFrame([(i, f"a{i}\n{RUN}\nb{i}" if i % 3 else f"c{i}\nd\ne{i % 6}\nf") for i in range(60)], "doc_id long, text string")
+    want = sorted(tuple(r) for r in linededup.dedup_lines(df).collect())
+    monkeypatch.setattr(linededup, "HOT", 1)
+    assert sorted(tuple(r) for r in linededup.dedup_lines(df).collect()) == want and sum(r[3] > 0 for r in want) == 39 + 18
+
+
+def test_quality_against_plain_fit(spark):
+    """The registered query on sf0.01 against features, fit and quantile worked out without Spark."""
+    from foliant.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality in (0, 1) and not held(r.doc_id)}
+    xs = [np.array([quality.features(texts[i]) for i in sorted(labels) if labels[i] == q and i in texts]) for q in (0, 1)]
+    share = sum(labels.values()) / len(labels)
+    x = np.concatenate([xs[1], xs[0]]).astype(np.float64)
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+    b, w = (np.clip((y - mean) / scale, -8, 8) for y in (xs[1], xs[0]))
+    rng, weight, m, v = np.random.default_rng(7), np.zeros(x.shape[1]), 0, 0
+    for i in range(1, 301):
+        grad = 1e-3 * weight
+        left, right = rng.integers(len(b), size=2048), rng.integers(len(w), size=2048)
+        for d in [b[left] - w[right]]:
+            grad = grad - (d.T @ (1 / (1 + np.exp(np.clip(d @ weight, -50, 50))))) / len(d)
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        weight = weight - 0.02 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
+    raw = sorted([(s, share / len(b)) for s in b @ weight] + [(s, (1 - share) / len(w)) for s in w @ weight])
+    below, at = 0.0, None
+    for (s, mass), (after, _) in zip(raw, raw[1:]):
+        below += mass
+        if below <= 1 - share + 1e-9:
+            at = (s + after) / 2
+    got = queries.QUERIES["op5_bradley_terry"](spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        z = np.clip((quality.features(texts[r.doc_id]).astype(np.float64) - mean) / scale, -8, 8) @ weight
+        want = 1 / (1 + np.exp(-(z - at + np.log(0.7 / 0.3))))
+        assert abs(r.score - want) < 1e-6 and r.predicted == int(r.score >= 0.7) and r.held_out == held(r.doc_id)
+    good = [x for x in got if x.doc_id in labels and not x.held_out]
+    assert abs(sum(x.predicted for x in good) - sum(labels[x.doc_id] for x in good)) <= 1  # the quantile: as many pass as are good
