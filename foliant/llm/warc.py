@@ -19,10 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import scratch_path, stash
+from foliant.llm.common import arrow_map, qualified, scratch_path, stash
 
 #: Lines in an index block, and bytes after which an archive file ends.
 BLOCK_LINES, FILE_BYTES = 500, 256 << 20
+#: So many keys at most part the directory among the tasks of a look-up.
+PARTS = 4096
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURES = "surt string, page_id long, file string, offset long, length long, digest string, kind string, refers_to long"
@@ -52,10 +54,10 @@ def surt(url: str) -> str:
 
 
 def filesystem(base: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a folder all executors share, and the folder's path on it."""
-    if "://" in base:
-        return pafs.FileSystem.from_uri(base)
-    return pafs.LocalFileSystem(), re.sub(r"^file:", "", base)
+    """The file system of a folder all executors share, named by its scheme, and the folder's path on it."""
+    if ":" not in base.split("/")[0]:
+        raise ValueError(f"{base} names no file system")
+    return pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", base))
 
 
 def payload_digest(payload: bytes) -> str:
@@ -168,7 +170,7 @@ def write(pages: DataFrame, base: str | None = None, min_revisit_bytes: int = 0)
     of equal payloads all records with the largest page_id are responses. A null page_id revisits the largest one
     that is known, else it is a response. Extra columns are ignored; an empty table gives no files.
     """
-    base = base or scratch_path(pages.sparkSession, "warc")
+    base = qualified(pages.sparkSession, base) if base else scratch_path(pages.sparkSession, "warc")
     captures = write_archives(pages, base, min_revisit_bytes)
     return Archive(base, captures, build_index(captures, base))
 
@@ -247,32 +249,54 @@ def scan(archive: Archive, lo: str | None = None, hi: str | None = None, payload
     return places.repartition(n, "file", "offset").mapInArrow(read, RECORDS + ", payload binary" * payloads)
 
 
-def lookup(archive: Archive, urls: DataFrame, payloads: bool = False) -> DataFrame:
-    """Records of the given urls (column `url`): each key meets the index files whose span holds it, then binary search."""
-    base = archive.base
-    spans = sorted(tuple(r) for r in archive.directory.groupBy("part").agg(F.min("first").alias("lo"), F.max("last").alias("hi")).select("lo", "hi", "part").collect())  # a row for each index file
-    los, his = [s[0] for s in spans], [s[1] for s in spans]
+def lookup(archive: Archive, urls: DataFrame, payloads: bool = False, parts: int = PARTS) -> DataFrame:
+    """Records of the given urls (column `url`), each record once however often its key is asked for.
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = [(spans[i][2], key) for key in {surt(u or "") for u in batch.column(0).to_pylist()} for i in search(los, his, key, key)]
-            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hit], pa.int32()), pa.array([h[1] for h in hit], pa.string())], ["part", "key"])
+    At most `parts` keys of the directory part it into spans. Each different key asked for goes to its span, where the
+    directory's blocks are binary-searched. Each block found is range-read by one task, which keeps the captures of keys
+    asked for and range-reads their records; so a key with very many captures is very many tasks.
+    A null url asks for the empty key. Extra columns are ignored.
+    """
+    spark, base = archive.directory.sparkSession, archive.base
+    cuts = sorted({r["first"] for r in archive.directory.orderBy(F.xxhash64("file", "offset"), "file", "offset").limit(parts).select("first").collect()})
+
+    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = sorted({surt(u or "") for u in batch.column(0).to_pylist()})
+        return pa.RecordBatch.from_arrays([pa.array([bisect.bisect_right(cuts, k) for k in own], pa.int32()), pa.array(own, pa.string())], ["span", "key"])
+
+    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(i, *row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i in range(bisect.bisect_right(cuts, row[0]), bisect.bisect_right(cuts, row[1]) + 1)]
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["span", "first", "last", "file", "offset", "length"])
+
+    def find(asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        order = sorted(zip(*(blocks.column(c).to_pylist() for c in ("first", "last", "file", "offset", "length")), strict=True))
+        firsts, lasts, hit = [b[0] for b in order], [b[1] for b in order], {}
+        for k in asked.column("key").to_pylist():
+            for i in search(firsts, lasts, k, k):
+                hit.setdefault(i, []).append(k)
+        cols = [[order[i][2] for i in hit], [order[i][3] for i in hit], [order[i][4] for i in hit], list(hit.values())]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], ["file", "offset", "length", "keys"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(base)
 
-    asked = urls.select(F.col("url").cast("string")).mapInArrow(route, "part int, key string").distinct()
+        def records() -> Iterator[dict]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    wanted = set(row["keys"])
+                    yield from reader.records([c for c in reader.captures([(row["file"], row["offset"], row["length"])], None, None) if c["surt"] in wanted])
 
-    def find(key, asked_rows: pa.Table, blocks: pa.Table) -> pa.Table:
-        reader, order = Reader(base), sorted(blocks.to_pylist(), key=lambda b: b["offset"])
-        firsts, lasts, wanted = [b["first"] for b in order], [b["last"] for b in order], set(asked_rows.column("key").to_pylist())
-        hit = sorted({i for k in wanted for i in search(firsts, lasts, k, k)})
-        found = (c for i in hit for c in reader.captures([(order[i]["file"], order[i]["offset"], order[i]["length"])], None, None) if c["surt"] in wanted)
-        out = list(_batches(reader.records(list(found)), payloads))
-        names = [x.split()[0] for x in RECORDS.split(", ")] + ["payload"] * payloads
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * payloads
-        return pa.Table.from_batches(out, pa.schema(list(zip(names, kinds, strict=True))))
+        yield from _batches(records(), payloads)
 
-    return asked.groupBy("part").cogroup(archive.directory.groupBy("part")).applyInArrow(find, RECORDS + ", payload binary" * payloads)
+    asked = arrow_map(urls.select(F.col("url").cast("string")), keys, "span int, key string").distinct()
+    spans = arrow_map(archive.directory.select("first", "last", "file", "offset", "length"), spread, "span int, first string, last string, file string, offset long, length long")
+    places = asked.groupBy("span").cogroup(spans.groupBy("span")).applyInArrow(find, "file string, offset long, length long, keys array<string>")
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return places.repartition(n, "file", "offset").mapInArrow(read, RECORDS + ", payload binary" * payloads)
 
 
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return scan(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Write a record for each row of `pages`, look every page's key up in the index, and read the records it names."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return lookup(write(pages), pages.select("url")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -263,3 +263,24 @@ def test_quality_against_plain_fit(spark):
         assert abs(r.score - want) < 1e-6 and r.predicted == int(r.score >= 0.7) and r.held_out == held(r.doc_id)
     good = [x for x in got if x.doc_id in labels and not x.held_out]
     assert abs(sum(x.predicted for x in good) - sum(labels[x.doc_id] for x in good)) <= 1  # the quantile: as many pass as are good
+
+
+def test_warc_many_blocks_and_files(spark, monkeypatch):
+    """Look-ups over many archive files, index files, blocks of one hot key and spans of the directory, against a plain list."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+    rows = [(i, "http://hot.example.org/" if i % 3 == 0 else f"http://h{i % 7}.example.org/p{i % 40}", f"body {i % 50} " * 20) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    base = warc.scratch_path(spark, "warc-test")
+    captures = warc.write_archives(pages, base)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    archive = warc.Archive(base, captures, warc.build_index(captures, base, block_lines=7))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert archive.directory.count() > 50 and archive.directory.select("file").distinct().count() > 1 and captures.select("file").distinct().count() > 10
+    for parts in (1, 9, 4096):
+        asked = ["http://hot.example.org/", "http://H3.example.org/p3#x", "http://hot.example.org/", "http://nowhere/", None, "http://h0.example.org/p0"]
+        got = warc.lookup(archive, spark.createDataFrame([(u,) for u in asked], "url string"), payloads=True, parts=parts).collect()
+        want = sorted(i for i, u, _ in rows if u in ("http://hot.example.org/", "http://h3.example.org/p3", "http://h0.example.org/p0"))
+        assert sorted(r.page_id for r in got) == want
+        assert all(bytes(r.payload).decode() == (rows[r.page_id][2] if r.record_type == "response" else "") for r in got)
+    got = [i for i, *_ in warc.lookup(archive, pages).select("page_id").collect()]
+    assert sorted(got) == list(range(400))
