@@ -1,10 +1,16 @@
-"""Byte-level BPE: higher-order functions fold ranked merges over distinct words with a literal rank map; decoding joins binary pieces."""
+"""Byte-level BPE: higher-order functions fold ranked merges over all distinct words with a literal rank map; decoding joins binary pieces.
+
+Documents are split into words in blocks of about BLOCK_BYTES. A block sends each different word once, packed with others of
+its part of the vocabulary; each distinct word of the corpus is folded once; the ids go back packed in the order asked. So
+shuffles carry a block's different words, never its texts, and a frequent word is one word of each block.
+"""
 
 from __future__ import annotations
 
 import base64
 import hashlib
 import heapq
+import itertools
 import json
 import re
 import zlib
@@ -12,13 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import stash
+from foliant.llm.common import stash, unstash
+from foliant.llm.katz import pack, unpack
 
-#: The table that all tasks get holds at most so many words, the most frequent, of at most so many bytes each.
-TABLE_WORDS, TABLE_BYTES = 1 << 17, 40
+#: Bytes of text in a block, and parts of the vocabulary of which one is in a task's memory at a time.
+BLOCK_BYTES, PARTS = 24 << 20, 2048
+#: A fold takes time with the square of a word's bytes; words of more bytes than this are merged in n log n by a heap instead.
+LONG_WORD = 2048
+BLOCKS = "block long, doc_ids array<long>, lens binary, words binary, asks array<struct<part: int, lens: binary, raw: binary>>"
+ANSWERS = "block long, part int, lens binary, ids binary"
 #: Buckets of the literal rank map: a map literal is searched entry by entry, so ranks are dealt over many small ones.
 BUCKETS = 1 << 14
 NONE = 1 << 30
@@ -94,125 +106,206 @@ def fold_merges(word: Column, ranks: Column) -> Column:
     return F.when(n > 0, F.transform(folded["p"], rank)).otherwise(empty)
 
 
-def word_counts(texts: DataFrame, pattern: str) -> DataFrame:
-    """(word, n) over all texts, as binary; counted in part before the shuffle."""
-    words = texts.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(spelled(pattern)), F.lit(0))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n"))
-
-
-def frequent_words(texts: DataFrame, ranks: dict[bytes, int], pattern: str, limit: int = TABLE_WORDS) -> dict[str, bytes]:
-    """The table of the most frequent words with their ids (uint32), encoded by fold_merges: its size is bounded by `limit`."""
-    top = word_counts(texts, pattern).where(F.octet_length("word") <= TABLE_BYTES).orderBy(F.desc("n"), "word").limit(limit)
-    top = stash(top.select("word"), "bpe-words")
-    n = max(1, texts.sparkSession.sparkContext.defaultParallelism)
-    coded = stash(top.repartition(n, "word").select("word", fold_merges(F.col("word").cast("binary"), rank_literal(ranks)).alias("ids")), "bpe-table")
-    out: dict[str, bytes] = {}
-    for batch in coded.toArrow().to_batches():
-        ids = batch.column("ids")
-        flat, cuts = ids.flatten().to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy() * 4
-        cuts = cuts - cuts[0]
-        out.update((w, flat[a:b]) for w, a, b in zip(batch.column("word").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-    return out
+class Splitter:
+    """Splits a text into the pattern's words and numbers them in order of appearance.
 
+    A space before what is no space starts a word whatever precedes it, so texts fall into chunks there, and the chunks of
+    the block are remembered. Texts in which a space stands before other space or the end are split whole.
+    """
 
-class Codec:
-    """Encodes and decodes whole texts with the table; words outside it are merged here, in n log n for n bytes."""
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str, table: dict[str, bytes], remember: int = 300_000):
+    def __init__(self, pattern: str):
         import regex
 
-        self.ranks, self.table, self.remember = ranks, table, remember
         space = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
         self.split = regex.compile(re.sub(r"\[\^\\s", lambda _: f"[^{space}", pattern).replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]")).findall
         self.apart = re.compile(r" (?:\s|\Z)").search
-        self.known: dict[str, bytes] = {}
-        self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
-        for piece, rank in ranks.items():
-            self.pieces[rank] = piece
-
-    def merge(self, word: bytes) -> bytes:
-        """Ids of one word. A heap of (rank, place) over a linked list: lowest rank first, then leftmost."""
-        ranks, n = self.ranks, len(word)
-        if (own := ranks.get(word)) is not None:
-            return own.to_bytes(4, "little")
-        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, end = heapq.heappop(heap)
-            j = ends[i]
-            if j < 0 or j >= n or ends[j] != end:  # one of the two was joined meanwhile
-                continue
-            ends[i], ends[j] = end, -1
-            if end < n:
-                before[end] = i
-                if (r := ranks.get(word[i : ends[end]])) is not None:
-                    heapq.heappush(heap, (r, i, ends[end]))
-            if (h := before[i]) >= 0 and (r := ranks.get(word[h:end])) is not None:
-                heapq.heappush(heap, (r, h, end))
-        return np.array([ranks[word[i : ends[i]]] for i in range(n) if ends[i] > 0], "<u4").tobytes()
+        self.number: dict[str, int] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def words(self, text: str) -> bytes:
-        table, out = self.table, []
-        for word in self.split(text):
-            ids = table.get(word)
-            out.append(self.merge(word.encode()) if ids is None else ids)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian uint32. A space before what is no space starts a word whatever precedes it, so texts fall into chunks there; a bounded memory keeps chunks."""
-        if self.apart(text):
-            return self.words(text)
-        known, out = self.known, []
+        number = self.number
+        return np.array([number.setdefault(w, len(number)) for w in self.split(text)], "<u4").tobytes()
+
+    def __call__(self, text: str) -> np.ndarray:
+        if not text or self.apart(text):
+            return np.frombuffer(self.words(text), "<u4")
+        chunks, out = self.chunks, []
         first, *rest = text.split(" ")
         for chunk in [first, *[" " + x for x in rest]]:
-            ids = known.get(chunk)
-            if ids is None:
-                if len(known) >= self.remember:
-                    known.clear()
-                ids = self.table.get(chunk)
-                if ids is None:
-                    ids = self.words(chunk)
-                if len(chunk) <= TABLE_BYTES:
-                    known[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
-def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, with_ids: bool = True, table_words: int = TABLE_WORDS) -> DataFrame:
+            own = chunks.get(chunk)
+            if own is None:
+                own = chunks[chunk] = self.words(chunk)
+            out.append(own)
+        return np.frombuffer(b"".join(out), "<u4")
+
+
+def blocks_of(texts: DataFrame, pattern: str) -> DataFrame:
+    """Documents as numbers of their block's words, and the words themselves by parts of the vocabulary, in the order of the numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, splitter, docs, each, size = TaskContext.get().partitionId() << 32, Splitter(pattern), [], [], 0
+        ask = pa.list_(pa.struct([("part", pa.int32()), ("lens", pa.binary()), ("raw", pa.binary())]))
+        codec = pa.Codec("zstd", compression_level=3)
+
+        def close() -> pa.RecordBatch:
+            words = [w.encode() for w in splitter.number]
+            part = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % PARTS
+            order = np.argsort(part, kind="stable")
+            place = np.empty(len(words), np.uint32)
+            place[order] = np.arange(len(words))
+            cuts, asks = np.searchsorted(part[order], np.arange(PARTS + 1)), []
+            for i in np.nonzero(np.diff(cuts))[0].tolist():
+                own = [words[j] for j in order[cuts[i] : cuts[i + 1]].tolist()]
+                asks.append({"part": i, "lens": pack(np.fromiter(map(len, own), np.uint32, len(own))), "raw": codec.compress(b"".join(own), asbytes=True)})
+            flat = place[np.concatenate([*each, np.zeros(0, np.uint32)])] if words else np.zeros(0, np.uint32)
+            cols = [pa.array([number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), *(pa.array([pack(x)], pa.binary()) for x in (np.array([len(x) for x in each], np.int64), flat)), pa.array([asks], ask)]
+            return pa.RecordBatch.from_arrays(cols, ["block", "doc_ids", "lens", "words", "asks"])
+
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                own = text.as_py()
+                docs.append(doc)
+                each.append(splitter(own))
+                size += len(own)
+                if size >= BLOCK_BYTES:
+                    yield close()
+                    splitter, docs, each, size, number = Splitter(pattern), [], [], 0, number + 1
+        if docs:
+            yield close()
+
+    return texts.mapInArrow(run, BLOCKS)
+
+
+def _asked(lens: bytes, raw: bytes) -> list[bytes]:
+    ends = np.cumsum(unpack(lens).astype(np.int64))
+    whole = pa.Codec("zstd").decompress(raw, int(ends[-1]), asbytes=True)
+    return [whole[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def folded_words(asks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(part, word, ids): every distinct word of up to LONG_WORD bytes, encoded by `fold_merges`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [w for lens, raw in zip(batch.column("lens").to_pylist(), batch.column("raw").to_pylist(), strict=True) for w in _asked(lens, raw) if len(w) <= LONG_WORD]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], ["word"])
+
+    words = asks.select("lens", "raw").mapInArrow(run, "word binary").distinct()
+    return words.select(F.pmod(F.crc32("word"), F.lit(PARTS)).cast("int").alias("part"), "word", fold_merges(F.col("word"), rank_literal(ranks)).alias("ids"))
+
+
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word. A heap of (rank, place) over a linked list: lowest rank first, then leftmost."""
+    n = len(word)
+    ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        j = ends[i]
+        if j < 0 or j >= n or ends[j] != end:  # one of the two was joined meanwhile
+            continue
+        ends[i], ends[j] = end, -1
+        if end < n:
+            before[end] = i
+            if (r := ranks.get(word[i : ends[end]])) is not None:
+                heapq.heappush(heap, (r, i, ends[end]))
+        if (h := before[i]) >= 0 and (r := ranks.get(word[h:end])) is not None:
+            heapq.heappush(heap, (r, h, end))
+    return [ranks[word[i : ends[i]]] for i in range(n) if ends[i] > 0]
+
+
+def answers(asks: DataFrame, folded: DataFrame, vocabulary: str) -> DataFrame:
+    """The ids of each ask's words, packed. A part's words are met before its asks, which pass one by one."""
+    words = folded.select("part", F.lit(0).alias("side"), F.lit(None).cast("long").alias("block"), "word", F.col("ids"), F.lit(None).cast("binary").alias("lens"))
+    rows = words.unionByName(asks.select("part", F.lit(1).alias("side"), "block", F.col("raw").alias("word"), F.lit(None).cast("array<int>").alias("ids"), "lens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, at, ranks = {}, None, None
+        for batch in batches:
+            parts, sides, words, ids = (batch.column(c).to_pylist() for c in ("part", "side", "word", "ids"))
+            out: list = []
+            for i, (part, side) in enumerate(zip(parts, sides, strict=True)):
+                if part != at:
+                    known, at = {}, part
+                if not side:
+                    known[words[i]] = ids[i]
+                    continue
+                own = _asked(batch.column("lens")[i].as_py(), words[i])
+                for w in own:
+                    if w not in known:  # a long one
+                        ranks = ranks or load_ranks(vocabulary)
+                        known[w] = [ranks[w]] if w in ranks else merge(w, ranks)
+                found = [known[w] for w in own]
+                out.append((batch.column("block")[i].as_py(), part, pack(np.fromiter(map(len, found), np.uint32, len(found))), pack(np.fromiter(itertools.chain.from_iterable(found), np.uint32))))
+            if out:
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "part", "lens", "ids"])
+
+    return rows.repartition("part").sortWithinPartitions("part", "side").select("part", "side", "block", "word", "ids", "lens").mapInArrow(run, ANSWERS)
+
+
+def _texts_ids(blocks: DataFrame, told: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, ids, tokens) of each document: its words' ids, gathered from its block's answers."""
+    kind = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("tokens", pa.list_(pa.int32()))])
+
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        row, told, batches = own.to_pylist()[0], sorted(answers.to_pylist(), key=lambda r: r["part"]), []
+        lens = np.concatenate([np.zeros(0, np.int64), *(unpack(r["lens"]).astype(np.int64) for r in told)])
+        flat = np.concatenate([np.zeros(0, np.uint32), *(unpack(r["ids"]) for r in told)])
+        first, words = np.cumsum(lens) - lens, unpack(row["words"])
+        ends = np.cumsum(unpack(row["lens"]))
+        for doc, a, b in zip(row["doc_ids"], [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            mine = words[a:b]
+            n = lens[mine]
+            upto = np.cumsum(n)
+            ids = flat[np.repeat(first[mine] - (upto - n), n) + np.arange(upto[-1] if len(n) else 0)].astype("<u4")
+            batches.append((doc, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), ids.astype(np.int32)))
+        cuts = np.cumsum([0, *(n for _, n, _, _ in batches)])
+        tokens = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *(x for *_, x in batches)])))
+        return pa.table([pa.array([x[0] for x in batches], pa.int64()), pa.array([x[1] for x in batches], pa.int64()), pa.array([x[2] for x in batches], pa.string()), tokens], schema=kind)
+
+    return blocks.select("block", "doc_ids", "lens", "words").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, tokens array<int>")
+
+
+def pieces_literal(ranks: dict[bytes, int]) -> Column:
+    """array<string>: the bytes of each id, as hex digits."""
+    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece.hex()
+    return F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
+
+
+def decoded(ids: Column, literal: Column) -> Column:
+    """The bytes of an array of ids: each id's binary piece, joined. Ids outside the vocabulary fail."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(literal, i + 1)), ""))
+
+
+def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, with_ids: bool = True) -> DataFrame:
     """Encode every whole text and decode the ids again.
 
     Returns doc_id, n_tokens, ids_sha256 (of ids as little-endian uint32), decoded_sha256, and with_ids the ids so packed.
     A null text is empty and has no ids. No special tokens: their strings are ordinary text. Null and repeated doc_ids
     each keep their row; extra columns are ignored; an empty table gives no rows.
-
-    Words are counted over all texts; the most frequent `table_words` are encoded by Spark's higher-order functions and
-    sent to all tasks, a table of bounded size. A task looks words up in it and merges the rest itself.
     """
-    spark, ranks, pattern = docs.sparkSession, load_ranks(vocabulary or default_vocabulary()), pattern or default_pattern()
+    vocabulary, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
+    ranks = load_ranks(vocabulary)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shared = spark.sparkContext.broadcast((ranks, frequent_words(texts, ranks, pattern, table_words)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, names = Codec(shared.value[0], pattern, shared.value[1]), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
-        for whole in batches:
-            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                ids = [codec.encode(t) for t in batch.column("text").to_pylist()]
-                cols = [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids], pa.string()), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols[: 4 + with_ids], names[: 4 + with_ids])
-
-    return texts.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
+    blocks = stash(blocks_of(texts, pattern), "bpe-blocks")
+    asks = blocks.select("block", F.explode("asks").alias("ask")).select("block", "ask.part", "ask.lens", "ask.raw")
+    folded = stash(folded_words(asks, ranks), "bpe-folded")
+    told = stash(answers(asks, folded, vocabulary), "bpe-answers")
+    unstash(folded)
+    out = _texts_ids(blocks, told)
+    packed = F.unhex(F.array_join(F.transform("tokens", lambda i: F.concat(*(F.lpad(F.hex(F.call_function("shiftright", i, F.lit(8 * k)).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)))), ""))
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2(decoded(F.col("tokens"), pieces_literal(ranks)), 256).alias("decoded_sha256"), *[packed.alias("ids")] * with_ids)
 
 
 def decode(ids: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, ids array<int>) to (doc_id, text binary): each id's binary piece, joined. Null ids give null; ids outside the vocabulary fail."""
-    pieces = Codec(load_ranks(vocabulary or default_vocabulary()), default_pattern(), {}).pieces
-    literal = F.from_json(F.lit(json.dumps([p.hex() for p in pieces], separators=(",", ":"))), "array<string>")
-    return ids.select("doc_id", F.unhex(F.array_join(F.transform("ids", lambda i: F.element_at(literal, i + 1)), "")).alias("text"))
+    """(doc_id, ids array<int>) to (doc_id, text binary). Null ids give null; ids outside the vocabulary fail."""
+    return ids.select("doc_id", decoded(F.col("ids"), pieces_literal(load_ranks(vocabulary or default_vocabulary()))).alias("text"))
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Encode and decode every whole text of `documents`: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)

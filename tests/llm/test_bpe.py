@@ -38,3 +38,28 @@ def test_fold_alone_and_decoding(spark):
 def test_empty_table(spark):
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert base64.b64decode("IQ==") in bpe.load_ranks(bpe.default_vocabulary())
+
+
+def test_registered_query_on_a_whole_table(spark):
+    """Every row of sf0.001's documents against the library."""
+    from foliant.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(bpe.default_vocabulary()), special_tokens={})
+    want = set()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = np.array(own.encode_ordinary(r.text or ""), "<u4")
+        want.add((r.doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    got = queries.QUERIES["op2_byte_bpe"](spark, sf).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_many_blocks(spark, monkeypatch):
+    """Blocks of a few words and parts of several words give the same ids; so do words too long to fold."""
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(bpe.default_vocabulary()), special_tokens={})
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 20)
+    monkeypatch.setattr(bpe, "PARTS", 3)
+    monkeypatch.setattr(bpe, "LONG_WORD", 16)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS * 3)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode(docs).collect()}
+    assert got == {i: own.encode_ordinary(t or "") for i, t in enumerate(TEXTS * 3)}
