@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import stash, unstash
+from foliant.llm.common import stash, stash_bucketed, unstash
 from foliant.llm.katz import pack, unpack
 
 #: Bytes of text in a block, and parts of the vocabulary of which one is in a task's memory at a time.
@@ -291,7 +291,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
     vocabulary, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
     ranks = load_ranks(vocabulary)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    blocks = stash(blocks_of(texts, pattern), "bpe-blocks")
+    blocks = stash_bucketed(blocks_of(texts, pattern), "bpe-blocks", "block")
     asks = blocks.select("block", F.explode("asks").alias("ask")).select("block", "ask.part", "ask.lens", "ask.raw")
     folded = stash(folded_words(asks, ranks), "bpe-folded")
     told = stash(answers(asks, folded, vocabulary), "bpe-answers")

@@ -76,6 +76,17 @@ def stash(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return out
 
 
+def stash_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As `stash`, as a table dealt by `key` into as many buckets as a shuffle has partitions: grouping by it later moves nothing."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    with tidy(spark):
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    out = spark.table(table)
+    out._scratch = path
+    return out
+
+
 def unstash(*frames: DataFrame) -> None:
     """Delete stashed tables that nothing will read again."""
     for df in frames:
