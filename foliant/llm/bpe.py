@@ -30,7 +30,10 @@ BLOCK_BYTES, PARTS = 24 << 20, 2048
 #: A fold takes time with the square of a word's bytes; words of more bytes than this are merged in n log n by a heap instead.
 LONG_WORD = 2048
 BLOCKS = "block long, doc_ids array<long>, lens binary, words binary, asks array<struct<part: int, lens: binary, raw: binary>>"
+FOLDED = "part int, lens binary, raw binary, counts binary, ids binary"
 ANSWERS = "block long, part int, lens binary, ids binary"
+#: Folded words that a task gathers before it packs them by part.
+GATHER = 1 << 18
 #: Buckets of the literal rank map: a map literal is searched entry by entry, so ranks are dealt over many small ones.
 BUCKETS = 1 << 14
 NONE = 1 << 30
@@ -183,15 +186,37 @@ def _asked(lens: bytes, raw: bytes) -> list[bytes]:
 
 
 def folded_words(asks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(part, word, ids): every distinct word of up to LONG_WORD bytes, encoded by `fold_merges`."""
+    """Every distinct word of up to LONG_WORD bytes, encoded by `fold_merges`; words and their ids packed by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [w for lens, raw in zip(batch.column("lens").to_pylist(), batch.column("raw").to_pylist(), strict=True) for w in _asked(lens, raw) if len(w) <= LONG_WORD]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], ["word"])
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_part, n, codec = {}, 0, pa.Codec("zstd", compression_level=3)
+
+        def flush() -> pa.RecordBatch:
+            rows = []
+            for part, own in by_part.items():
+                words, ids = zip(*own, strict=True)
+                flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32)
+                rows.append((part, pack(np.fromiter(map(len, words), np.uint32, len(words))), codec.compress(b"".join(words), asbytes=True), pack(np.fromiter(map(len, ids), np.uint32, len(ids))), pack(flat)))
+            kinds = (pa.int32(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "lens", "raw", "counts", "ids"])
+
+        for batch in batches:
+            for word, ids in zip(batch.column("word").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                by_part.setdefault(zlib.crc32(word) % PARTS, []).append((word, ids))
+            n += batch.num_rows
+            if n >= GATHER:
+                yield flush()
+                by_part, n = {}, 0
+        if by_part:
+            yield flush()
+
     words = asks.select("lens", "raw").mapInArrow(run, "word binary").distinct()
-    return words.select(F.pmod(F.crc32("word"), F.lit(PARTS)).cast("int").alias("part"), "word", fold_merges(F.col("word"), rank_literal(ranks)).alias("ids"))
+    return words.select("word", fold_merges(F.col("word"), rank_literal(ranks)).alias("ids")).mapInArrow(packed, FOLDED)
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -217,32 +242,33 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def answers(asks: DataFrame, folded: DataFrame, vocabulary: str) -> DataFrame:
     """The ids of each ask's words, packed. A part's words are met before its asks, which pass one by one."""
-    words = folded.select("part", F.lit(0).alias("side"), F.lit(None).cast("long").alias("block"), "word", F.col("ids"), F.lit(None).cast("binary").alias("lens"))
-    rows = words.unionByName(asks.select("part", F.lit(1).alias("side"), "block", F.col("raw").alias("word"), F.lit(None).cast("array<int>").alias("ids"), "lens"))
+    nothing = F.lit(None).cast("binary")
+    words = folded.select("part", F.lit(0).alias("side"), F.lit(None).cast("long").alias("block"), "lens", "raw", "counts", "ids")
+    rows = words.unionByName(asks.select("part", F.lit(1).alias("side"), "block", "lens", "raw", nothing.alias("counts"), nothing.alias("ids")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, at, ranks = {}, None, None
         for batch in batches:
-            parts, sides, words, ids = (batch.column(c).to_pylist() for c in ("part", "side", "word", "ids"))
             out: list = []
-            for i, (part, side) in enumerate(zip(parts, sides, strict=True)):
+            for part, side, block, lens, raw, counts, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != at:
                     known, at = {}, part
+                own = _asked(lens, raw)
                 if not side:
-                    known[words[i]] = ids[i]
+                    flat, ends = unpack(ids), np.cumsum(unpack(counts).astype(np.int64))
+                    known.update(zip(own, np.split(flat, ends[:-1]), strict=True))
                     continue
-                own = _asked(batch.column("lens")[i].as_py(), words[i])
                 for w in own:
                     if w not in known:  # a long one
                         ranks = ranks or load_ranks(vocabulary)
-                        known[w] = [ranks[w]] if w in ranks else merge(w, ranks)
+                        known[w] = np.array([ranks[w]] if w in ranks else merge(w, ranks), np.uint32)
                 found = [known[w] for w in own]
-                out.append((batch.column("block")[i].as_py(), part, pack(np.fromiter(map(len, found), np.uint32, len(found))), pack(np.fromiter(itertools.chain.from_iterable(found), np.uint32))))
+                out.append((block, part, pack(np.fromiter(map(len, found), np.uint32, len(found))), pack(np.concatenate(found))))
             if out:
                 kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "part", "lens", "ids"])
 
-    return rows.repartition("part").sortWithinPartitions("part", "side").select("part", "side", "block", "word", "ids", "lens").mapInArrow(run, ANSWERS)
+    return rows.repartition("part").sortWithinPartitions("part", "side").select("part", "side", "block", "lens", "raw", "counts", "ids").mapInArrow(run, ANSWERS)
 
 
 def _texts_ids(blocks: DataFrame, told: DataFrame) -> DataFrame:
