@@ -55,13 +55,18 @@ def numeral_classes(token: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(token.alias("class"), F.lit(0).alias("value"))))
 
 
-_TOKEN = r"(?:i{1,3}|iv|vi{0,3}|ix|I{1,3}|IV|VI{0,3}|IX|[0-9]{1,3}|[a-zA-Z,])"
-_NUMBER = rf"(?:{_TOKEN} ?\. ?){{0,3}}{_TOKEN}"
+# Fixed: what one part of a list number may be: a roman numeral up to nine in one case, up to three digits, a letter or comma.
+_ROMANS = sorted(ROMAN[:9], key=len, reverse=True)
+_TOKEN = "(?:" + "|".join([*_ROMANS, *map(str.upper, _ROMANS), "[0-9]{1,3}", "[a-zA-Z,]"]) + ")"
+# Up to three parts, each with its point, before the last one.
+LIST_NUMBER = rf"(?:{_TOKEN} ?\. ?){{0,3}}{_TOKEN}"
+# Fixed: what must not follow a number: a percent sign or bracket within three spaces; for a plain one also a digit or small letter.
+_NO_VALUE, _NO_SENTENCE = r"(?! {0,3}[%(])", r"(?! {1,3}[0-9a-z])"
 # In order: plain, in brackets, after a word.
 LIST_NUMBERS = (
-    rf"(?U)\A\(?\[?{_NUMBER} ?[.:)\]\s](?! {{0,3}}[%(])(?! {{1,3}}[0-9a-z])",
-    rf"(?U)\A[(\[]{_NUMBER} ?[)\] ](?! {{0,3}}[%(])",
-    rf"(?U)\A[a-zA-Z,]{{2,}} +{_NUMBER}(?:[.:)\] ]|\s|\z)",
+    r"(?U)\A\(?\[?" + LIST_NUMBER + r" ?[.:)\]\s]" + _NO_VALUE + _NO_SENTENCE,
+    r"(?U)\A[(\[]" + LIST_NUMBER + r" ?[)\] ]" + _NO_VALUE,
+    r"(?U)\A[a-zA-Z,]{2,} +" + LIST_NUMBER + r"(?:[.:)\] ]|\s|\z)",
 )
 
 

@@ -67,8 +67,7 @@ def q_combine_pitch(spark, sf_dir):
 
 
 # The same patterns without lookahead: what may follow is matched after the captured number.
-_TOKEN = "(?:i{1,3}|iv|vi{0,3}|ix|I{1,3}|IV|VI{0,3}|IX|[0-9]{1,3}|[a-zA-Z,])"
-_NUMBER = rf"(?:{_TOKEN} ?\. ?){{0,3}}{_TOKEN}"
+_NUMBER = X.LIST_NUMBER
 PLAIN = rf"^(\(?\[?{_NUMBER} ?[.:)\]\s])(?:\z|[^ %(]| {{1,3}}(?:\z|[^ %(0-9a-z])| {{4}})"
 BRACKET = rf"^([(\[]{_NUMBER} ?[)\] ])(?:\z|[^ %(]| {{1,3}}(?:\z|[^ %(])| {{4}})"
 WORD = rf"^([a-zA-Z,]{{2,}} +{_NUMBER}(?:[.:)\] ]|\s|\z))"
