@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,69 +169,66 @@ def pitch_cores(pitches: DataFrame, least: int = 3) -> DataFrame:
     return scaled.withColumn("_n", near).where(F.col("_n") >= least).select(*by, "pitch", "eps").distinct()
 
 
-def _folded(spans: DataFrame, folder) -> DataFrame:
-    """Applies `folder`, spans of a line -> spans, to each line of each block."""
-    inner = F.array_sort(F.collect_list(F.struct("span_no", "text", "font", "size", "y0", "y1", "oy")))
-    kind = "array<struct<span_no:bigint,text:string,font:string,size:double,style:int>>"
+SPAN = "struct<span_no:bigint,text:string,font:string,size:double>"
 
-    @F.pandas_udf(kind)
-    def fold_lines(lines):
-        import pandas as pd
 
-        return pd.Series([folder([dict(s, style=0) for s in line]) for line in lines])
-
-    rows = spans.groupBy("doc_id", "block_no", "line_no").agg(inner.alias("s")).select("doc_id", "block_no", "line_no", F.explode(fold_lines("s")).alias("s"))
-    return rows.select("doc_id", "block_no", "line_no", "s.*")
-
-
-def subscripts(line: list[dict]) -> list[dict]:
-    """Folds small low spans of four characters at most into the span before as `_{text} `, and what follows in its font.
+def fold_subscripts(spans: DataFrame) -> DataFrame:
+    """Folds small low spans of a line into the span kept before, as `_{text} `; a null text is empty.
 
-    As observed, only spans that pass the size and length guard become the base a later one is measured by.
+    A span is small if it has four characters at most and 0.95 of the size of the last small or absorbed one, or is the
+    first such; it is low if its origin lies under that one's by over 0.02 of its height. What comes right after a folded
+    span, in the font and size of the span that took it, is absorbed as well unless it ends the line. Longer spans are
+    never what a later one is measured by. One array fold a line; nothing is lost where small spans follow one another.
     """
-    gone, height, size, base, i = set(), 0.0, 9999.0, 0.0, 0
-    while i < len(line) and len(line) > 1:
-        s, step = line[i], 1
-        if s["size"] > 0.95 * size or len(s["text"]) > 4:
-            i += 1
-            continue
-        last = s
-        if height and s["oy"] > base + 0.02 * height:
-            line[i - 1]["text"] += "_{" + s["text"] + "} "
-            gone.add(i)
-            if i + 2 < len(line) and all(line[i - 1][k] == line[i + 1][k] for k in ("font", "size")):
-                line[i - 1]["text"] += line[i + 1]["text"]
-                gone.add(i + 1)
-                last, step = line[i + 1], 2
-        height, size, base = last["y1"] - last["y0"], last["size"], last["oy"]
-        i += step
-    return [s for i, s in enumerate(line) if i not in gone]
-
-
-def drop_caps(line: list[dict]) -> list[dict]:
-    """Joins spans that meet letter to letter in one font family into the later (style 3), then equal neighbours."""
-    met = []
-    for i, s in enumerate(line):
-        after = line[i + 1] if i + 1 < len(line) else None
-        if after and s["text"][-1:].isalpha() and after["text"][:1].isalpha() and s["font"] == after["font"]:
-            after["text"], after["style"] = s["text"] + after["text"], 3
-        else:
-            met.append(s)
-    out: list[dict] = []
-    for s in met:
-        if out and len(line) > 1 and (out[-1]["font"], out[-1]["size"]) == (s["font"], s["size"]):
-            out[-1]["text"] += s["text"]
-        else:
-            out.append(s)
-    return out
-
-
-def fold_subscripts(spans: DataFrame) -> DataFrame:
-    return _folded(spans, subscripts)
+    line = ["doc_id", "block_no", "line_no"]
+    s = F.struct("span_no", F.coalesce("text", F.lit("")).alias("text"), "font", "size", (F.col("y1") - F.col("y0")).alias("height"), "oy")
+    lines = spans.groupBy(*line).agg(F.array_sort(F.collect_list(s)).alias("s")).withColumn("left", F.size("s"))
+
+    def kept(x: Column, text: Column) -> Column:
+        return F.struct(x["span_no"].alias("span_no"), text.alias("text"), x["font"].alias("font"), x["size"].alias("size"))
+
+    def step(was: Column, x: Column) -> Column:
+        head, mark = was["head"], was["mark"]
+        alike = head["font"].eqNullSafe(x["font"]) & head["size"].eqNullSafe(x["size"])
+        absorbed = was["open"] & alike & (was["left"] > 1)
+        small = (F.length(x["text"]) <= 4) & (mark.isNull() | (x["size"] <= 0.95 * mark["size"]))
+        low = ~absorbed & F.coalesce(small & (mark["height"] > 0) & (x["oy"] > mark["oy"] + 0.02 * mark["height"]), F.lit(False)) & head.isNotNull()
+        starts = ~(absorbed | low)
+        into = F.concat(head["text"], F.when(low, F.concat(F.lit("_{"), x["text"], F.lit("} "))).otherwise(x["text"]))
+        return F.struct(
+            F.when(starts & head.isNotNull(), F.concat(was["out"], F.array(head))).otherwise(was["out"]).alias("out"),
+            F.when(starts, kept(x, x["text"])).otherwise(kept(head, into)).alias("head"),
+            F.when(absorbed | F.coalesce(small, F.lit(False)), F.struct(x["size"].alias("size"), x["height"].alias("height"), x["oy"].alias("oy"))).otherwise(mark).alias("mark"),
+            low.alias("open"),
+            (was["left"] - 1).alias("left"),
+        )
+
+    none = lambda kind: F.lit(None).cast(kind)
+    zero = F.struct(F.array().cast(f"array<{SPAN}>").alias("out"), none(SPAN).alias("head"), none("struct<size:double,height:double,oy:double>").alias("mark"), F.lit(False).alias("open"), F.col("left"))
+    folded = F.aggregate("s", zero, step, lambda end: F.concat(end["out"], F.array(end["head"])))
+    return lines.select(*line, F.explode(folded).alias("s")).select(*line, "s.*", F.lit(0).alias("style"))
 
 
 def fold_drop_caps(spans: DataFrame) -> DataFrame:
-    return _folded(spans, drop_caps)
+    """Joins spans of a line that meet letter to letter in one font, as the last of them with style 3; then neighbours of one font and size.
+
+    Two passes of gaps and islands. The second keeps the first span's number and style. A null text is empty.
+    """
+    line = ["doc_id", "block_no", "line_no"]
+    own = Window.partitionBy(*line).orderBy("span_no")
+    ends = F.lag("text").over(own).rlike(r"\p{L}$") & F.col("text").rlike(r"^\p{L}")
+
+    def islands(df: DataFrame, meets: Column, pick) -> DataFrame:
+        """One row a run of neighbours that meet: texts in order, the rest of the picked span, and how many they were."""
+        numbered = df.withColumn("_new", F.when(F.coalesce(meets, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(own))
+        texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda x: x["text"]), "").alias("text")
+        rest = pick(F.struct("span_no", "font", "size", "style"), "span_no").alias("_s")
+        return numbered.groupBy(*line, "_run").agg(texts, rest, F.count("*").alias("_n")).select(*line, "_s.span_no", "text", "_s.font", "_s.size", "_s.style", "_n")
+
+    base = spans.select(*line, "span_no", F.coalesce("text", F.lit("")).alias("text"), "font", "size", F.lit(0).alias("style"))
+    met = islands(base, ends & (F.lag("font").over(own) == F.col("font")), F.max_by).withColumn("style", F.when(F.col("_n") > 1, 3).otherwise(0))
+    alike = F.lag(F.struct("font", "size")).over(own) == F.struct("font", "size")
+    return islands(met.drop("_n"), alike, F.min_by).drop("_n")
 
 
 BLANK = ("", " ", "  ", "   ")

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from foliant.functions import geometry as G
 from foliant.operators import fold
 from foliant.operators.layout import outside
+from foliant.operators.raster import components
 from foliant.session import cut
 
 PAGE = ["doc_id", "page_no"]
@@ -69,58 +70,61 @@ def grid(points: DataFrame, rules: DataFrame, slack: float = 5.0) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def painted(rules: list[tuple[str, int, int, int]]) -> np.ndarray:
+    """(row, start, end) of the pixel runs of rules drawn one pixel thick, end excluded, in reading order; runs that meet are one."""
+    flat = np.array([(c, v0, v1) for o, c, v0, v1 in rules if o == "H" and v1 > v0], np.int64).reshape(-1, 3)
+    tall = np.array([(c, v0, v1) for o, c, v0, v1 in rules if o == "V" and v1 > v0], np.int64).reshape(-1, 3)
+    high = tall[:, 2] - tall[:, 1]
+    row = np.repeat(tall[:, 1] - np.cumsum(high) + high, high) + np.arange(high.sum())
+    x = np.repeat(tall[:, 0], high)
+    drawn = np.concatenate([flat, np.stack([row, x, x + 1], axis=1)])
+    if not len(drawn):
+        return drawn
+    row, start, end = drawn[np.lexsort((drawn[:, 1], drawn[:, 0]))].T
+    wide = end.max() - start.min() + 2
+    reach = np.maximum.accumulate(row * wide + end - start.min())
+    fresh = np.flatnonzero(np.concatenate([[True], (row * wide + start - start.min())[1:] > reach[:-1]]))
+    return np.stack([row[fresh], start[fresh], np.maximum.reduceat(end, fresh)], axis=1)
+
+
+def side(offsets: np.ndarray, near: int) -> np.ndarray | None:
+    """The pooled distances of a side, the most frequent first, from each row's distance to the outermost; None if one row bears it out.
+
+    Distances in rising order pool up to the first over `near` from the most frequent of those before it (the outer of equals).
+    """
+    far, rows = np.unique(offsets, return_counts=True)
+    most = np.maximum.accumulate(rows)
+    leads = np.concatenate([[True], rows[1:] > most[:-1]])
+    mode = far[np.maximum.accumulate(np.where(leads, np.arange(len(far)), 0))]
+    gaps = np.flatnonzero(np.abs(far[1:] - mode[:-1]) > near)
+    n = gaps[0] + 1 if len(gaps) else len(far)
+    return np.concatenate([mode[n - 1 : n], far[:n]]) if rows[:n].sum() > 1 else None
+
+
 def sides_of(rules: list[tuple[str, int, int, int]], near: int = 8, least: int = 100) -> list[tuple[int, int, int]]:
     """(x, y0, y1) of vertical rules that close the left and right of each component of one page's rules, drawn one pixel thick.
 
-    Of a component's outermost pixels row by row, offsets within `near` of the outermost count together and the most
-    frequent names the side, if over one row supports it. Components of under `least` pixels have no sides.
+    Of a component's outermost pixels row by row, `side` pools the offsets and names the side, which goes over the rows in
+    which a pooled offset is drawn. Components of under `least` pixels have no sides.
     """
-    boxes = [(v0, c, v1, c + 1) if o == "H" else (c, v0, c + 1, v1) for o, c, v0, v1 in rules if v1 > v0]
-    parent = list(range(len(boxes)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i, a in enumerate(boxes):
-        for j in range(i):
-            b = boxes[j]
-            if a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]:
-                parent[root(i)] = root(j)
+    runs = painted(rules)
+    if not len(runs):
+        return []
+    label = components(runs - [runs[0, 0], 0, 0])
     found = []
-    for k in sorted({root(i) for i in range(len(boxes))}):
-        own = [b for i, b in enumerate(boxes) if root(i) == k]
-        pixels: dict[int, list[tuple[int, int]]] = {}
-        for x0, y0, x1, y1 in own:
-            for y in range(y0, y1):
-                pixels.setdefault(y, []).append((x0, x1))
-        if sum(union_length(r) for r in pixels.values()) < least:
-            continue
-        for outermost, sign in ((lambda r: min(a for a, _ in r), 1), (lambda r: max(b for _, b in r) - 1, -1)):
-            count = Counter(outermost(r) for r in pixels.values())
-            first, *rest = sorted(count, key=lambda x: sign * x)
-            side, pooled, rows = first, [first], count[first]
-            for x in rest:
-                if abs(side - x) > near:
-                    break
-                pooled.append(x)
-                rows += count[x]
-                side = x if count[x] > count[side] else side
-            if rows > 1:
-                at = [y for y, r in pixels.items() if any(a <= x < b for a, b in r for x in pooled)]
-                found.append((side, min(at), max(at)))
+    for k in np.flatnonzero(np.bincount(label, runs[:, 2] - runs[:, 1]) >= least):
+        row, start, end = runs[label == k].T
+        ends = np.flatnonzero(np.diff(row, prepend=row[0] - 1))
+        outer = (start[ends], end[np.append(ends[1:], len(row)) - 1] - 1)
+        for edge, inward in zip((outer[0].min(), outer[1].max()), (1, -1), strict=True):
+            pooled = side((outer[inward < 0] - edge) * inward, near)
+            if pooled is not None:
+                at = edge + inward * pooled
+                drawn = row[((start[:, None] <= at) & (at < end[:, None])).any(axis=1)]
+                found.append((int(at[0]), int(drawn.min()), int(drawn.max())))
     return found
 
 
-def union_length(intervals: list[tuple[int, int]]) -> int:
-    total, end = 0, None
-    for a, b in sorted(intervals):
-        a = a if end is None else max(a, end)
-        total, end = total + max(0, b - a), b if end is None else max(end, b)
-    return total
-
-
 def with_sides(rules: DataFrame) -> DataFrame:
     """Rules and those that close open sides, on pages that have rules of both orients. Offsets and ends are cut to whole numbers.
 

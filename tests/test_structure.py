@@ -90,16 +90,29 @@ def test_merge_pitch(spark):
     assert {r.pitch for r in runs.pitch_cores(pitches).collect()} == {14.0, 14.1}
 
 
-def span(text, size=10.0, oy=8.0, font="A"):
-    return {"text": text, "size": size, "oy": oy, "font": font, "y0": 0.0, "y1": 10.0, "style": 0}
-
-
-def test_subscripts_and_drop_caps():
-    assert [s["text"] for s in runs.subscripts([span("H"), span("2", 5.0, 9.5), span("O"), span("x")])] == ["H_{2} O", "x"]
-    assert [s["text"] for s in runs.subscripts([span("longer"), span("2", 5.0, 9.5)])] == ["longer", "2"]
-    assert [s["text"] for s in runs.subscripts([span("only")])] == ["only"]
-    got = runs.drop_caps([span("T", 30.0), span("he end"), span("1")])
-    assert [(s["text"], s["style"]) for s in got] == [("The end1", 3)]
+SPANS = "doc_id long, block_no long, line_no long, span_no long, text string, font string, size double, y0 double, y1 double, oy double"
+
+
+def line_of(spark, *spans):
+    """One line of (text, size, oy) spans, which default to 10 and 8; a row each."""
+    full = [(s, 10.0, 8.0)[:3] if isinstance(s, str) or s is None else (*s, 8.0)[:3] for s in spans]
+    return spark.createDataFrame([(1, 0, 0, i, t, "A", size, 0.0, 10.0, oy) for i, (t, size, oy) in enumerate(full)], SPANS)
+
+
+def test_subscripts_and_drop_caps(spark):
+    sub = lambda *spans: [r.text for r in runs.fold_subscripts(line_of(spark, *spans)).orderBy("span_no").collect()]
+    assert sub("H", ("2", 5.0, 9.5), "O", "x") == ["H_{2} O", "x"]
+    assert sub("longer", ("2", 5.0, 9.5)) == ["longer", "2"]
+    assert sub("only") == ["only"]
+    assert sub("H", ("2", 5.0, 9.5), "O") == ["H_{2} ", "O"]  # the last span of a line is not absorbed
+    assert sub("H", ("2", 5.0, 9.5), ("3", 4.0, 11.0), "x") == ["H_{2} _{3} ", "x"]
+    assert sub(None, "b") == ["", "b"]
+    drop = lambda *spans: [(r.text, r.style) for r in runs.fold_drop_caps(line_of(spark, *spans)).orderBy("span_no").collect()]
+    assert drop(("T", 30.0), "he end", "1") == [("The end1", 3)]
+    assert drop(("A", 30.0), ("b", 20.0), ("c", 10.0), ("!", 30.0)) == [("Abc", 3), ("!", 0)]
+    assert drop("a ", "b", None) == [("a b", 0)]
+    empty = spark.createDataFrame([], SPANS)
+    assert runs.fold_subscripts(empty).count() == 0 == runs.fold_drop_caps(empty).count()
 
 
 def test_unify_drops_raised_spans(spark):
