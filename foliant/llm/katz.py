@@ -1,15 +1,17 @@
-"""Language-model scoring: Katz backoff bigrams with Good-Turing discounts and exactly normalised backoff weights.
+"""Language-model scoring: Katz backoff n-grams with Good-Turing discounts and exactly normalised backoff weights.
 
-Documents are cut into blocks of about BLOCK_TOKENS tokens. A block sends each different word and bigram it holds, once and
-as a 64-bit hash, to a partition of the count tables chosen by that hash, which adds up all blocks' training counts and
-answers in the order asked. So shuffles carry a block's different n-grams, not its tokens, no answer repeats a key, and
-no word is hot: a frequent bigram is one key of each block, and bigrams of a frequent history lie in all partitions.
+Documents are cut into blocks of about BLOCK_TOKENS tokens. A block sends each different gram of one to `order` words it
+holds, once and as a 64-bit hash, to a partition of the count tables chosen by that hash, which adds up all blocks'
+training counts and answers in the order asked. So shuffles carry a block's different grams, not its tokens, no answer
+repeats a key, and no word is hot: a frequent gram is one key of each block, and grams of a frequent history lie in all
+partitions. There are as many partitions as the tokens fill blocks, so that none grows with the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,14 @@ from foliant.llm.common import stash, unstash
 BLOCK_TOKENS = 1 << 21
 #: Counts up to this are discounted.
 GT_MAX = 5
+#: Words in the longest gram.
+ORDER = 3
 #: Stand for the end of a text (a token) and for what precedes its first token (only a history).
 END, BEGIN = np.uint64(1), np.uint64(2)
-BLOCKS = "block long, doc_ids array<long>, held binary, lens binary, words binary, ids binary"
+BLOCKS = "block long, n long, doc_ids array<long>, held binary, lens binary, words binary, ids binary"
 TOLD = "bucket int, block long, kind int, keys binary, counts binary"
-COUNTED = "block long, bucket int, kind int, told binary, stats array<long>"
+COUNTED = "block long, bucket int, kind int, told binary, more binary, stats array<long>"
+COUNTED_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
 SUMS = "bucket int, block long, kind int, keys binary, a binary, b binary"
 
 
@@ -64,7 +69,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             words, ids = np.unique(np.concatenate([*tokens, np.array([END, BEGIN], np.uint64)]), return_inverse=True)
-            cols = [pa.array([number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (pack(np.array(held, np.uint8)), pack(np.array(lens, np.int64)), pack_keys(words), pack(ids[:-2].astype(np.uint32))))]
+            cols = [pa.array([number], pa.int64()), pa.array([sum(lens)], pa.int64()), pa.array([docs], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (pack(np.array(held, np.uint8)), pack(np.array(lens, np.int64)), pack_keys(words), pack(ids[:-2].astype(np.uint32))))]
             return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in batches:
@@ -93,69 +98,94 @@ def _mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """A block's words and different bigrams, and the order in which it asks each bucket about them."""
+    """A block's different grams by level (words 0, bigrams 1, ...), and the order in which it asks each bucket about them.
 
-    def __init__(self, row: dict, buckets: int):
-        self.doc_ids, self.held = row["doc_ids"], unpack(row["held"]).astype(bool)
-        self.lens, self.words = unpack(row["lens"]), unpack_keys(row["words"])
-        self.ids = unpack(row["ids"]).astype(np.int64)
+    The gram of a level that ends at a token is the pair of the grams one level down that end at the token before (its
+    history) and at the token itself (its suffix). The begin stands before a text's first token, as a word.
+    """
+
+    def __init__(self, row: dict, buckets: int, levels: int):
+        self.doc_ids, self.held, self.buckets = row["doc_ids"], unpack(row["held"]).astype(bool), buckets
+        self.lens, words = unpack(row["lens"]), unpack_keys(row["words"])
+        ids = unpack(row["ids"]).astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lens)[:-1]])
-        self.begin = int(np.searchsorted(self.words, BEGIN))
-        before = np.empty_like(self.ids)
-        before[1:] = self.ids[:-1]
-        before[self.starts] = self.begin
-        pairs, self.pair_of = np.unique(before * len(self.words) + self.ids, return_inverse=True)
-        self.v, self.w = pairs // len(self.words), pairs % len(self.words)
-        self.keys = (self.words, _mixed(self.words[self.v], self.words[self.w]))
-        self.order, self.cuts = [], []
-        for keys in self.keys:
-            bucket = keys % np.uint64(buckets)
-            order = np.lexsort((keys, bucket))
-            self.order.append(order)
-            self.cuts.append(np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)))
-
-    def training(self) -> tuple[np.ndarray, np.ndarray]:
-        """How often each word and bigram stands in the block's training documents; the begin as often as they are."""
-        teaches = np.repeat(~self.held, self.lens)
-        words = np.bincount(self.ids[teaches], minlength=len(self.words))
-        words[self.begin] = (~self.held).sum()
-        return words, np.bincount(self.pair_of[teaches], minlength=len(self.v))
-
-    def asked(self, kind: int, *values: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
-        for bucket, (a, b) in enumerate(zip(self.cuts[kind][:-1], self.cuts[kind][1:], strict=True)):
-            if b > a:
-                at = self.order[kind][a:b]
-                yield bucket, (self.keys[kind][at], *(x[at] for x in values))
-
-    def answers(self, kind: int, told: dict[int, bytes], dtype: type) -> np.ndarray:
-        out = np.zeros(len(self.keys[kind]), dtype)
-        out[self.order[kind]] = np.concatenate([unpack(told[i]) for i in range(len(self.cuts[kind]) - 1) if self.cuts[kind][i + 1] > self.cuts[kind][i]])
+        self.begin = int(np.searchsorted(words, BEGIN))
+        self.keys, self.order = [words], [np.arange(len(words))]
+        self.places, self.of, self.history, self.suffix = [np.arange(len(ids))], [ids], [None], [None]
+        for level in range(1, levels):
+            here = self.of[-1]
+            before = np.roll(here, 1)
+            if level == 1:
+                at = self.places[0]
+                before[self.starts] = self.begin
+            else:
+                inside = np.ones(len(ids), bool)
+                for skipped in range(level - 1):
+                    inside[(self.starts + skipped)[self.lens > skipped]] = False
+                at = np.flatnonzero(inside)
+            n = len(self.keys[-1])
+            grams, place = np.unique(before[at] * n + here[at], return_inverse=True)
+            of = np.zeros(len(ids), np.int64)
+            of[at] = place
+            self.history.append(grams // n)
+            self.suffix.append(grams % n)
+            keys = _mixed(self.keys[-1][self.history[-1]], self.keys[-1][self.suffix[-1]])
+            for rows, x in ((self.keys, keys), (self.order, np.argsort(keys)), (self.places, at), (self.of, of)):
+                rows.append(x)
+
+    def training(self, level: int) -> np.ndarray:
+        """How often each gram of a level stands in the block's training documents; the begin as often as they are."""
+        at = self.places[level]
+        counts = np.bincount(self.of[level][at[np.repeat(~self.held, self.lens)[at]]], minlength=len(self.keys[level]))
+        if level == 0:
+            counts[self.begin] = (~self.held).sum()
+        return counts
+
+    def _cuts(self, level: int, chosen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The (chosen) grams by rising hash, and where among them each bucket, a range of hashes, begins."""
+        order = self.order[level] if chosen is None else self.order[level][chosen[self.order[level]]]
+        high = self.keys[level][order] >> np.uint64(32)
+        firsts = [-(-(i << 32) // self.buckets) for i in range(self.buckets + 1)]
+        return order, np.searchsorted(high, np.array(firsts, np.uint64))
+
+    def asked(self, level: int, values: list[np.ndarray], chosen: np.ndarray | None = None) -> Iterator[tuple]:
+        """(bucket, packed keys, packed values ...) of each bucket asked."""
+        order, cuts = self._cuts(level, chosen)
+        for bucket in np.flatnonzero(np.diff(cuts)).tolist():
+            at = order[cuts[bucket] : cuts[bucket + 1]]
+            yield bucket, pack_keys(self.keys[level][at]), *(pack(x[at]) for x in values)
+
+    def answers(self, level: int, told: dict[int, bytes], dtype: type, chosen: np.ndarray | None = None) -> np.ndarray:
+        out = np.zeros(len(self.keys[level]), dtype)
+        order, cuts = self._cuts(level, chosen)
+        if len(order):
+            out[order] = np.concatenate([unpack(told[i]) for i in np.flatnonzero(np.diff(cuts)).tolist()])
         return out
 
 
-def _answered(block: Block, rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Training counts of the block's words, of its bigrams, and which bigrams it speaks for (each has one such block)."""
-    told: dict[int, dict[int, bytes]] = {0: {}, 1: {}, 2: {}}
-    for r in rows:
-        told[r["kind"]][r["bucket"]] = r["told"]
-    words = block.answers(0, told[0], np.int64)
-    pairs = block.answers(1, told[1], np.int64)
-    return words, pairs >> 1, (pairs & 1).astype(bool), told[2]
+def _told(rows: list[dict], kind: int, column: str = "told") -> dict[int, bytes]:
+    return {r["bucket"]: r[column] for r in rows if r["kind"] == kind}
+
+
+def _counts(block: Block, rows: list[dict], levels: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Training counts of the block's grams by level, and which of them it speaks for (each has one such block)."""
+    told = [block.answers(level, _told(rows, level), np.int64) for level in range(levels)]
+    return [x >> 1 for x in told], [(x & 1).astype(bool) for x in told]
 
 
 def _table(columns: list, names: str, kinds: tuple) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in names.split(", ")])
 
 
-def count(blocks: DataFrame, buckets: int) -> DataFrame:
+def count(blocks: DataFrame, buckets: int, levels: list[int]) -> DataFrame:
     """The count tables' answers to each block, and from each partition of them the totals and counts of counts."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                block = Block(row, buckets)
-                for kind, counts in enumerate(block.training()):
-                    rows = [(bucket, row["block"], kind, pack_keys(keys), pack(n)) for bucket, (keys, n) in block.asked(kind, counts.astype(np.uint32))]
+                block = Block(row, buckets, max(levels) + 1)
+                for level in levels:
+                    rows = [(bucket, row["block"], level, keys, n) for bucket, keys, n in block.asked(level, [block.training(level).astype(np.uint32)])]
                     for i in range(0, len(rows), 64):
                         yield _table(list(zip(*rows[i : i + 64], strict=True)), TOLD, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())).to_batches()[0]
 
@@ -165,16 +195,14 @@ def count(blocks: DataFrame, buckets: int) -> DataFrame:
         cuts = np.cumsum([0, *map(len, each)])
         keys, first, place = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
         total = np.bincount(place, weights=np.concatenate([unpack(r["counts"]) for r in rows]), minlength=len(keys)).astype(np.int64)
-        told = total[place]
-        if kind == 1:
-            told = told * 2
-            told[first] += 1
+        told = total[place] * 2
+        told[first] += 1
         counted = total[keys != BEGIN] if kind == 0 else total
         stats = [int(counted.sum()), int((counted > 0).sum()), *np.bincount(counted[counted <= GT_MAX + 1], minlength=GT_MAX + 2)[1:].tolist()]
-        cols = [[r["block"] for r in rows], [bucket] * len(rows), [kind] * len(rows), [pack(told[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], [stats] + [None] * (len(rows) - 1)]
-        return _table(cols, COUNTED, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())))
+        cols = [[r["block"] for r in rows], [bucket] * len(rows), [kind] * len(rows), [pack(told[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], [None] * len(rows), [stats] + [None] * (len(rows) - 1)]
+        return _table(cols, COUNTED, COUNTED_KINDS)
 
-    return blocks.mapInArrow(ask, TOLD).groupBy("bucket", "kind").applyInArrow(add, COUNTED)
+    return blocks.mapInArrow(ask, TOLD).repartition(buckets, "bucket").groupBy("bucket", "kind").applyInArrow(add, COUNTED)
 
 
 def discounts(counts_of_counts: list[int], top: int = GT_MAX) -> np.ndarray:
@@ -194,101 +222,110 @@ def discounts(counts_of_counts: list[int], top: int = GT_MAX) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """What all blocks know of the model: totals and discounts. Counts and backoff weights stay in tables."""
+    """What all blocks know of the model: totals, and discounts by level. Counts and the sums of backoff weights stay in tables."""
 
     tokens: int
     words: int
-    one: np.ndarray
-    two: np.ndarray
+    factors: tuple[np.ndarray, ...]
     unknown: float
     scale: float
 
     @classmethod
-    def of(cls, words: list[int], pairs: list[int]) -> Model:
-        tokens, known, *ones = words
-        one = discounts(ones)
-        left = sum((1 - one[r]) * r * ones[r - 1] for r in range(1, GT_MAX + 1)) / tokens if tokens else 1.0
+    def of(cls, stats: list[list[int]]) -> Model:
+        tokens, known, *ones = stats[0]
+        factors = tuple(discounts(level[2:]) for level in stats)
+        left = sum((1 - factors[0][r]) * r * ones[r - 1] for r in range(1, GT_MAX + 1)) / tokens if tokens else 1.0
         if tokens and left <= 0:  # nothing was discounted: a token's share for what is unknown
-            return cls(tokens, known, one, discounts(pairs[2:]), 1 / (tokens + 1), tokens / (tokens + 1))
-        return cls(tokens, known, one, discounts(pairs[2:]), left, 1.0)
+            return cls(tokens, known, factors, 1 / (tokens + 1), tokens / (tokens + 1))
+        return cls(tokens, known, factors, left, 1.0)
+
+    def discounted(self, level: int, c: np.ndarray) -> np.ndarray:
+        """Good-Turing counts of a level's grams counted c times."""
+        return np.where(c > GT_MAX, 1.0, self.factors[level][np.minimum(c, GT_MAX)]) * c
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         """P(w) of words counted c times; those not counted are one unknown word."""
-        d = self.one[np.minimum(c, GT_MAX)] * (c <= GT_MAX) + (c > GT_MAX)
-        return np.where(c > 0, self.scale * d * c / max(1, self.tokens), self.unknown)
-
-    def bigram(self, c: np.ndarray, history: np.ndarray) -> np.ndarray:
-        """Discounted P(w | v) of bigrams counted c > 0 times after a history counted so often."""
-        d = self.two[np.minimum(c, GT_MAX)] * (c <= GT_MAX) + (c > GT_MAX)
-        return d * c / np.maximum(1, history)
+        return np.where(c > 0, self.scale * self.discounted(0, c) / max(1, self.tokens), self.unknown)
 
 
-def weigh(blocks: DataFrame, counted: DataFrame, model: Model, buckets: int) -> DataFrame:
-    """(block, bucket, told): backoff weights of each block's words as histories.
+def weigh(blocks: DataFrame, counted: DataFrame, model: Model, buckets: int, order: int) -> DataFrame:
+    """What backoff weights are made of: for each history, the discounted counts of the grams seen after it, and of their suffixes, summed.
 
-    Of history v: (1 - sum of P(w | v)) / (1 - sum of P(w)) over the words seen after it, each bigram given by one block.
-    Where discounting left nothing the bigrams are scaled by c / (c + 1); such a weight has a minus sign.
+    Each gram is given by the one block that speaks for it. A block asks about the histories that were seen; kind is
+    `order` plus their level. Sums of discounted counts take few different values and pack well, probabilities would not.
     """
 
     def give(key, own: pa.Table, told: pa.Table) -> pa.Table:
-        block = Block(own.to_pylist()[0], buckets)
-        words, pairs, speaks, _ = _answered(block, told.to_pylist())
-        at = speaks & (pairs > 0)
-        v, w, n = block.v[at], block.w[at], len(words)
-        p = np.bincount(v, weights=model.bigram(pairs[at], words[v]), minlength=n)
-        q = np.bincount(v, weights=model.unigram(words[w]), minlength=n)
-        rows = [(bucket, key[0].as_py(), 0, pack_keys(keys), pack(c), None) for bucket, (keys, c) in block.asked(0, words)]
-        for bucket, (keys, ps, qs) in block.asked(0, p, q):
-            some = qs > 0
-            if some.any():
-                rows.append((bucket, key[0].as_py(), 1, pack_keys(keys[some]), pack(ps[some]), pack(qs[some])))
-        return _table(list(zip(*rows, strict=True)), SUMS, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))
+        block = Block(own.to_pylist()[0], buckets, order)
+        counts, speaks = _counts(block, told.to_pylist(), order)
+        rows = []
+        for level in range(1, order):
+            at = speaks[level] & (counts[level] > 0)
+            history, n = block.history[level][at], len(counts[level - 1])
+            sums = [np.bincount(history, weights=w, minlength=n) for w in (model.discounted(level, counts[level][at]), model.discounted(level - 1, counts[level - 1][block.suffix[level][at]]))]
+            rows += [(bucket, key[0].as_py(), order + level - 1, *packed) for bucket, *packed in block.asked(level - 1, sums, counts[level - 1] > 0)]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        return _table(columns, SUMS, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        sums, asks = [r for r in rows if r["kind"] == 1], [r for r in rows if r["kind"] == 0]
-        keys, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *(unpack_keys(r["keys"]) for r in sums)]), return_inverse=True)
-        p, q = (np.bincount(place, weights=np.concatenate([np.zeros(0), *(unpack(r[x]) for r in sums)]), minlength=len(keys)) for x in "ab")
-        told = []
-        for r in asks:
-            mine, c = unpack_keys(r["keys"]), unpack(r["a"])
-            out = np.ones(len(mine))
-            if len(keys):
-                i = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-                seen = keys[i] == mine
-                full = p[i] > 1 - 1e-9
-                alpha = np.maximum(1 - np.where(full, p[i] * c / (c + 1), p[i]), 0) / np.maximum(1 - q[i], 1e-12)
-                out = np.where(seen, np.where(full, -alpha, alpha), 1.0)
-            told.append(pack(out))
-        cols = [[r["block"] for r in asks], [rows[0]["bucket"]] * len(asks), [2] * len(asks), told, [None] * len(asks)]
-        return _table(cols, COUNTED, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())))
+        each = [unpack_keys(r["keys"]) for r in rows]
+        cuts = np.cumsum([0, *map(len, each)])
+        keys, place = np.unique(np.concatenate(each), return_inverse=True)
+        a, b = ([pack(x[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)] for x in (np.bincount(place, weights=np.concatenate([unpack(r[c]) for r in rows]), minlength=len(keys))[place] for c in "ab"))
+        cols = [[r["block"] for r in rows], [rows[0]["bucket"]] * len(rows), [rows[0]["kind"]] * len(rows), a, b, [None] * len(rows)]
+        return _table(cols, COUNTED, COUNTED_KINDS)
 
     sums = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(give, SUMS)
-    return sums.groupBy("bucket").applyInArrow(add, COUNTED)
+    return sums.repartition(buckets, "bucket").groupBy("bucket", "kind").applyInArrow(add, COUNTED)
+
 
+def probabilities(block: Block, rows: list[dict], counts: list[np.ndarray], model: Model, order: int) -> Iterator[np.ndarray]:
+    """Level by level, the probability of each gram's last word after the words before it.
 
-def score_blocks(blocks: DataFrame, answers: DataFrame, model: Model, buckets: int) -> DataFrame:
+    A gram seen in training has its discounted share of its history's count. One not seen has the probability of its
+    suffix, one level down, times the history's backoff weight: (1 - sum of P(w | history)) / (1 - sum of P(w | history's
+    suffix)) over the words seen after it. Where discounting left nothing, the shares are scaled by c / (c + 1) first.
+    """
+    p = model.unigram(counts[0])
+    yield p
+    below = model.scale / max(1, model.tokens)
+    for level in range(1, order):
+        c, seen = counts[level - 1], counts[level - 1] > 0
+        kind = order + level - 1
+        own, lower = (block.answers(level - 1, _told(rows, kind, x), np.float64, seen) for x in ("told", "more"))
+        share = 1 / np.maximum(1, c)
+        full = own * share > 1 - 1e-9
+        share = np.where(full, 1 / (c + 1), share)
+        if level > 1:
+            below = shares[block.suffix[level - 1]]
+        weight = np.where(own > 0, np.maximum(1 - own * share, 0) / np.maximum(1 - lower * below, 1e-12), 1.0)
+        history, n = block.history[level], counts[level]
+        p = np.where(n > 0, model.discounted(level, n) * share[history], weight[history] * p[block.suffix[level]])
+        shares = share
+        yield p
+
+
+def score_blocks(blocks: DataFrame, answers: DataFrame, model: Model, buckets: int, order: int) -> DataFrame:
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(key, own: pa.Table, told: pa.Table) -> pa.Table:
-        block = Block(own.to_pylist()[0], buckets)
-        words, pairs, _, weights = _answered(block, told.to_pylist())
-        alpha = block.answers(0, weights, np.float64)
-        history = words[block.v]
-        scaled = np.where(alpha < 0, words / (words + 1), 1.0)
-        seen = model.bigram(pairs, history) * scaled[block.v]
-        p = np.where(pairs > 0, seen, np.abs(alpha[block.v]) * model.unigram(words[block.w]))
-        of_pair = np.log10(np.maximum(p, 1e-300))
+        block, rows = Block(own.to_pylist()[0], buckets, order), told.to_pylist()
+        counts, _ = _counts(block, rows, order)
+        words, ids, of_token = counts[0], block.of[0], np.zeros(len(block.of[0]))
+        for level, p in enumerate(probabilities(block, rows, counts, model, order)):
+            at = block.places[level]
+            of_token[at] = np.log10(np.maximum(p, 1e-300))[block.of[level][at]]
         base = np.log10((words + 1) / (model.tokens + model.words + 1))
         total = lambda x: np.add.reduceat(x, block.starts)
-        cols = [block.doc_ids, block.held, block.lens, total((words[block.ids] > 0).astype(np.int64)), np.full(len(block.lens), model.tokens), total(base[block.ids]), total(of_pair[block.pair_of])]
+        cols = [block.doc_ids, block.held, block.lens, total((words[ids] > 0).astype(np.int64)), np.full(len(block.lens), model.tokens), total(base[ids]), total(of_token)]
         return _table(cols, kind, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, kind)
 
 
-def score(docs: DataFrame, held_out) -> DataFrame:
-    """Train on the documents for which the column expression `held_out` is not true, and score all.
+def score(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
+    """Train grams of up to `order` words on the documents for which the column expression `held_out` is not true, and score all.
 
     Tokens: words between ASCII space, A-Z lower-cased, then one end. Returns doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score (add-one unigrams), score (log10 probability under the model). A null text is empty and is
@@ -298,16 +335,18 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     """
     spark = docs.sparkSession
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = stash(blocks_of(lean), "lm-blocks")
-    counted = stash(count(blocks, buckets), "lm-counts")
-    stats = {r["kind"]: list(r)[1:] for r in counted.where("stats is not null").groupBy("kind").agg(*(F.sum(F.col("stats")[i]) for i in range(GT_MAX + 3))).collect()}
-    if not stats:
+    tokens = blocks.agg(F.sum("n")).first()[0]
+    if tokens is None:
         return blocks.selectExpr("explode(doc_ids) doc_id", "false held_out", "0L n_tokens", "0L n_known", "0L train_tokens", "0D base_score", "0D score")
-    model = Model.of(stats[0], stats[1])
-    weights = stash(weigh(blocks, counted, model, buckets), "lm-weights")
-    out = stash(score_blocks(blocks, counted.unionByName(weights), model, buckets), "lm-scores")
-    unstash(blocks, counted, weights)
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BLOCK_TOKENS))
+    tables = [stash(count(blocks, buckets, levels), "lm-counts") for levels in ([*range(min(order, 2))], *([k] for k in range(2, order)))]
+    counted = reduce(DataFrame.unionByName, tables)
+    stats = {r["kind"]: list(r)[1:] for r in counted.where("stats is not null").groupBy("kind").agg(*(F.sum(F.col("stats")[i]) for i in range(GT_MAX + 3))).collect()}
+    model = Model.of([stats.get(level, [0] * (GT_MAX + 3)) for level in range(order)])
+    tables.append(stash(weigh(blocks, counted, model, buckets, order), "lm-weights"))
+    out = stash(score_blocks(blocks, reduce(DataFrame.unionByName, tables), model, buckets, order), "lm-scores")
+    unstash(blocks, *tables)
     return out
 
 

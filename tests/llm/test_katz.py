@@ -1,6 +1,7 @@
 """Katz scores against a plain dictionary model, and normalisation."""
 
 from collections import Counter
+from functools import cache
 from math import log10
 
 import pytest
@@ -11,49 +12,63 @@ from foliant.llm import katz
 TEXTS = ["a b a b c", "A b c", "", None, "a c d a b", "b b b b", "x y z a b", "a b " * 9, "c a", "d d a b q", "a b", "e f g h"]
 
 
-def brute(rows):
+def brute(rows, order=3):
     tok = lambda t: (t or "").lower().split() + ["</s>"]
     train = [tok(t) for i, t in rows if i % 5 != 2]
-    uni, bi, hist = Counter(), Counter(), Counter()
+    grams = [Counter() for _ in range(order + 1)]
+    hist = Counter()
     for t in train:
-        uni.update(t)
-        for v, w in zip(["<s>"] + t, t):
-            bi[v, w] += 1
-            hist[v] += 1
+        grams[1].update((w,) for w in t)
+        padded = ["<s>", *t]
+        for k in range(2, order + 1):
+            for i in range(len(padded) - k + 1):
+                grams[k][tuple(padded[i : i + k])] += 1
+                hist[tuple(padded[i : i + k - 1])] += 1
+    uni = {w: c for (w,), c in grams[1].items()}
     n = sum(uni.values())
     coc = lambda c: [sum(x == r for x in c.values()) for r in range(1, 7)]
-    d1, d2 = katz.discounts(coc(uni)), katz.discounts(coc(bi))
-    disc = lambda d, c: d[c] if c <= 5 else 1.0
-    unk = 1 - sum(disc(d1, c) * c for c in uni.values()) / n
+    factors = [None, *(katz.discounts(coc(c)) for c in grams[1:])]
+    disc = lambda k, c: (factors[k][c] if c <= 5 else 1.0) * c
+    unk = 1 - sum(disc(1, c) for c in uni.values()) / n
     scale = 1.0
     if unk <= 1e-12:
         unk, scale = 1 / (n + 1), n / (n + 1)
-    p1 = lambda w: scale * disc(d1, uni[w]) * uni[w] / n if uni[w] else unk
 
-    def p2(v, w):
-        after = [x for a, x in bi if a == v]
+    @cache
+    def weights(h):
+        """Factor of seen words after h, and the backoff weight."""
+        after = [g[-1] for g in grams[len(h) + 1] if g[:-1] == h]
         if not after:
-            return p1(w)
-        ps = sum(disc(d2, bi[v, x]) * bi[v, x] / hist[v] for x in after)
-        s = hist[v] / (hist[v] + 1) if ps > 1 - 1e-9 else 1.0
-        if bi[v, w]:
-            return s * disc(d2, bi[v, w]) * bi[v, w] / hist[v]
-        return (1 - s * ps) / (1 - sum(map(p1, after))) * p1(w)
+            return 1.0, 1.0
+        ps = sum(disc(len(h) + 1, grams[len(h) + 1][*h, w]) for w in after) / hist[h]
+        s = hist[h] / (hist[h] + 1) if ps > 1 - 1e-9 else 1.0
+        return s, (1 - s * ps) / (1 - sum(p(h[1:], w) for w in after))
 
-    for v in [*hist, "never"]:
-        assert sum(p2(v, w) for w in uni) + p2(v, "\0unknown") == pytest.approx(1)
+    def p(h, w):
+        if not h:
+            return scale * disc(1, uni[w]) / n if w in uni else unk
+        s, back = weights(h)
+        c = grams[len(h) + 1][*h, w]
+        return s * disc(len(h) + 1, c) / hist[h] if c else back * p(h[1:], w)
+
+    for h in [*hist, ("never",), ("a", "never"), ("never", "a")]:
+        if len(h) < order:
+            assert sum(p(h, w) for w in uni) + p(h, "\0unknown") == pytest.approx(1)
     out = {}
     for i, t in rows:
         t = tok(t)
-        out[i] = (len(t), sum(uni[w] > 0 for w in t), n, sum(log10((uni[w] + 1) / (n + len(uni) + 1)) for w in t), sum(log10(p2(v, w)) for v, w in zip(["<s>"] + t, t)))
+        padded = ["<s>", *t]
+        log = sum(log10(p(tuple(padded[max(0, j + 2 - order) : j + 1])[: order - 1] if order > 1 else (), w)) for j, w in enumerate(t))
+        out[i] = (len(t), sum(w in uni for w in t), n, sum(log10((uni.get(w, 0) + 1) / (n + len(uni) + 1)) for w in t), log)
     return out
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_against_brute_force(spark, order):
     rows = list(enumerate(TEXTS * 2))
     docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, held string")
-    got = {r.doc_id: r for r in katz.score(docs, F.col("doc_id") % 5 == 2).collect()}
-    want = brute(rows)
+    got = {r.doc_id: r for r in katz.score(docs, F.col("doc_id") % 5 == 2, order).collect()}
+    want = brute(rows, order)
     assert set(got) == set(want)
     for i, w in want.items():
         r = got[i]
