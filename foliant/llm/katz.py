@@ -4,7 +4,8 @@ Documents are cut into blocks of about BLOCK_TOKENS tokens. A block sends each d
 holds, once and as a 64-bit hash, to a partition of the count tables chosen by that hash, which adds up all blocks'
 training counts and answers in the order asked. So shuffles carry a block's different grams, not its tokens, no answer
 repeats a key, and no word is hot: a frequent gram is one key of each block, and grams of a frequent history lie in all
-partitions. There are as many partitions as the tokens fill blocks, so that none grows with the corpus.
+partitions. There are as many partitions as the tokens fill blocks, so that none grows with the corpus. A gram that no
+other block holds is known to be alone; then so is every longer one around it, and the block counts those by itself.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import stash, unstash
 
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 #: Counts up to this are discounted.
 GT_MAX = 5
 #: Words in the longest gram.
@@ -107,11 +108,11 @@ class Block:
     def __init__(self, row: dict, buckets: int, levels: int):
         self.doc_ids, self.held, self.buckets = row["doc_ids"], unpack(row["held"]).astype(bool), buckets
         self.lens, words = unpack(row["lens"]), unpack_keys(row["words"])
-        ids = unpack(row["ids"]).astype(np.int64)
+        ids = unpack(row["ids"]).astype(np.int32)
         self.starts = np.concatenate([[0], np.cumsum(self.lens)[:-1]])
         self.begin = int(np.searchsorted(words, BEGIN))
-        self.keys, self.order = [words], [np.arange(len(words))]
-        self.places, self.of, self.history, self.suffix = [np.arange(len(ids))], [ids], [None], [None]
+        self.keys, self.order = [words], [np.arange(len(words), dtype=np.int32)]
+        self.places, self.of, self.history, self.suffix = [np.arange(len(ids), dtype=np.int32)], [ids], [None], [None]
         for level in range(1, levels):
             here = self.of[-1]
             before = np.roll(here, 1)
@@ -122,15 +123,15 @@ class Block:
                 inside = np.ones(len(ids), bool)
                 for skipped in range(level - 1):
                     inside[(self.starts + skipped)[self.lens > skipped]] = False
-                at = np.flatnonzero(inside)
+                at = np.flatnonzero(inside).astype(np.int32)
             n = len(self.keys[-1])
-            grams, place = np.unique(before[at] * n + here[at], return_inverse=True)
-            of = np.zeros(len(ids), np.int64)
+            grams, place = np.unique(before[at].astype(np.int64) * n + here[at], return_inverse=True)
+            of = np.zeros(len(ids), np.int32)
             of[at] = place
-            self.history.append(grams // n)
-            self.suffix.append(grams % n)
+            self.history.append((grams // n).astype(np.int32))
+            self.suffix.append((grams % n).astype(np.int32))
             keys = _mixed(self.keys[-1][self.history[-1]], self.keys[-1][self.suffix[-1]])
-            for rows, x in ((self.keys, keys), (self.order, np.argsort(keys)), (self.places, at), (self.of, of)):
+            for rows, x in ((self.keys, keys), (self.order, np.argsort(keys).astype(np.int32)), (self.places, at), (self.of, of)):
                 rows.append(x)
 
     def training(self, level: int) -> np.ndarray:
@@ -167,42 +168,86 @@ def _told(rows: list[dict], kind: int, column: str = "told") -> dict[int, bytes]
     return {r["bucket"]: r[column] for r in rows if r["kind"] == kind}
 
 
-def _counts(block: Block, rows: list[dict], levels: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Training counts of the block's grams by level, and which of them it speaks for (each has one such block)."""
-    told = [block.answers(level, _told(rows, level), np.int64) for level in range(levels)]
-    return [x >> 1 for x in told], [(x & 1).astype(bool) for x in told]
+@dataclass(frozen=True)
+class Counted:
+    """By level, of a block's grams: counts in all training texts, which the block speaks for (each has one such block), which other blocks hold too."""
+
+    counts: list[np.ndarray]
+    speaks: list[np.ndarray]
+    shared: list[np.ndarray]
+
+    def asked(self, block: Block, level: int) -> np.ndarray:
+        """Grams that other blocks may hold: both grams they are made of are shared."""
+        return self.shared[level - 1][block.history[level]] & self.shared[level - 1][block.suffix[level]]
+
+    @classmethod
+    def of(cls, block: Block, rows: list[dict], levels: int) -> Counted:
+        known = cls([], [], [])
+        for level in range(levels):
+            asked = known.asked(block, level) if level > 1 else None
+            told = block.answers(level, _told(rows, level), np.int64, asked)
+            counts, speaks, shared = told >> 2, (told & 1).astype(bool), (told & 2) == 0
+            if asked is not None:
+                counts, speaks, shared = np.where(asked, counts, block.training(level)), speaks | ~asked, shared & asked
+            for by_level, x in ((known.counts, counts), (known.speaks, speaks), (known.shared, shared)):
+                by_level.append(x)
+        return known
 
 
 def _table(columns: list, names: str, kinds: tuple) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in names.split(", ")])
 
 
-def count(blocks: DataFrame, buckets: int, levels: list[int]) -> DataFrame:
-    """The count tables' answers to each block, and from each partition of them the totals and counts of counts."""
+def stats_of(counts: np.ndarray) -> list[int]:
+    """Their sum, how many are not zero, and how many are 1, 2 ... GT_MAX + 1."""
+    return [int(counts.sum()), int((counts > 0).sum()), *np.bincount(counts[counts <= GT_MAX + 1], minlength=GT_MAX + 2)[1:].tolist()]
+
+
+def count(blocks: DataFrame, known: DataFrame | None, buckets: int, levels: list[int]) -> DataFrame:
+    """The count tables' answers to each block, and from each partition of them (block -1) the totals and counts of counts.
+
+    The first levels, of words and pairs, are asked for whole. Further ones go one by one, with the answers of those before.
+    """
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+
+    def questions(block: Block, number: int, level: int, asked: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        counts = block.training(level)
+        rows = [(bucket, number, level, keys, n) for bucket, keys, n in block.asked(level, [counts.astype(np.uint32)], asked)]
+        if asked is not None:
+            rows.append((number % buckets, number, level, None, pack(np.array(stats_of(counts[~asked]), np.int64))))
+        for i in range(0, len(rows), 64):
+            yield from _table(list(zip(*rows[i : i + 64], strict=True)), TOLD, kinds).to_batches()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row, buckets, max(levels) + 1)
                 for level in levels:
-                    rows = [(bucket, row["block"], level, keys, n) for bucket, keys, n in block.asked(level, [block.training(level).astype(np.uint32)])]
-                    for i in range(0, len(rows), 64):
-                        yield _table(list(zip(*rows[i : i + 64], strict=True)), TOLD, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())).to_batches()[0]
+                    yield from questions(block, row["block"], level, None)
+
+    def ask_on(key, own: pa.Table, told: pa.Table) -> pa.Table:
+        (level,) = levels
+        block = Block(own.to_pylist()[0], buckets, level + 1)
+        asked = Counted.of(block, told.to_pylist(), level).asked(block, level)
+        return pa.Table.from_batches(questions(block, key[0].as_py(), level, asked))
 
     def add(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        kind, bucket, each = rows[0]["kind"], rows[0]["bucket"], [unpack_keys(r["keys"]) for r in rows]
-        cuts = np.cumsum([0, *map(len, each)])
-        keys, first, place = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate([unpack(r["counts"]) for r in rows]), minlength=len(keys)).astype(np.int64)
-        told = total[place] * 2
+        given = table.to_pylist()
+        rows, kind, bucket = [r for r in given if r["keys"] is not None], given[0]["kind"], given[0]["bucket"]
+        each = [np.zeros(0, np.uint64), *(unpack_keys(r["keys"]) for r in rows)]
+        cuts = np.cumsum([*map(len, each)])
+        keys, first, place, askers = np.unique(np.concatenate(each), return_index=True, return_inverse=True, return_counts=True)
+        total = np.bincount(place, weights=np.concatenate([np.zeros(0), *(unpack(r["counts"]) for r in rows)]), minlength=len(keys)).astype(np.int64)
+        told = (total * 4 + 2 * (askers == 1))[place]
         told[first] += 1
-        counted = total[keys != BEGIN] if kind == 0 else total
-        stats = [int(counted.sum()), int((counted > 0).sum()), *np.bincount(counted[counted <= GT_MAX + 1], minlength=GT_MAX + 2)[1:].tolist()]
-        cols = [[r["block"] for r in rows], [bucket] * len(rows), [kind] * len(rows), [pack(told[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], [None] * len(rows), [stats] + [None] * (len(rows) - 1)]
+        stats = np.array(stats_of(total[keys != BEGIN] if kind == 0 else total)) + sum(unpack(r["counts"]) for r in given if r["keys"] is None)
+        answers = [pack(told[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        n = len(rows)
+        cols = [[*(r["block"] for r in rows), -1], [bucket] * (n + 1), [kind] * (n + 1), [*answers, None], [None] * (n + 1), [None] * n + [stats.tolist()]]
         return _table(cols, COUNTED, COUNTED_KINDS)
 
-    return blocks.mapInArrow(ask, TOLD).repartition(buckets, "bucket").groupBy("bucket", "kind").applyInArrow(add, COUNTED)
+    questioned = blocks.mapInArrow(ask, TOLD) if known is None else blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(ask_on, TOLD)
+    return questioned.repartition(buckets, "bucket").groupBy("bucket", "kind").applyInArrow(add, COUNTED)
 
 
 def discounts(counts_of_counts: list[int], top: int = GT_MAX) -> np.ndarray:
@@ -248,22 +293,27 @@ class Model:
         return np.where(c > 0, self.scale * self.discounted(0, c) / max(1, self.tokens), self.unknown)
 
 
+def sums_of(block: Block, known: Counted, model: Model, level: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each history of a level's grams, discounted counts of those the block speaks for, and of their suffixes, summed; and which histories other blocks add to."""
+    counts, below = known.counts[level], known.counts[level - 1]
+    at = known.speaks[level] & (counts > 0)
+    history = block.history[level][at]
+    sums = [np.bincount(history, weights=w, minlength=len(below)) for w in (model.discounted(level, counts[at]), model.discounted(level - 1, below[block.suffix[level][at]]))]
+    return sums, known.shared[level - 1] & (below > 0)
+
+
 def weigh(blocks: DataFrame, counted: DataFrame, model: Model, buckets: int, order: int) -> DataFrame:
-    """What backoff weights are made of: for each history, the discounted counts of the grams seen after it, and of their suffixes, summed.
+    """What backoff weights are made of: `sums_of` each history, added over the blocks that hold it; kind is `order` plus the history's level.
 
-    Each gram is given by the one block that speaks for it. A block asks about the histories that were seen; kind is
-    `order` plus their level. Sums of discounted counts take few different values and pack well, probabilities would not.
+    Sums of discounted counts take few different values and pack well, probabilities would not.
     """
 
     def give(key, own: pa.Table, told: pa.Table) -> pa.Table:
-        block = Block(own.to_pylist()[0], buckets, order)
-        counts, speaks = _counts(block, told.to_pylist(), order)
-        rows = []
+        block, rows = Block(own.to_pylist()[0], buckets, order), []
+        known = Counted.of(block, told.to_pylist(), order)
         for level in range(1, order):
-            at = speaks[level] & (counts[level] > 0)
-            history, n = block.history[level][at], len(counts[level - 1])
-            sums = [np.bincount(history, weights=w, minlength=n) for w in (model.discounted(level, counts[level][at]), model.discounted(level - 1, counts[level - 1][block.suffix[level][at]]))]
-            rows += [(bucket, key[0].as_py(), order + level - 1, *packed) for bucket, *packed in block.asked(level - 1, sums, counts[level - 1] > 0)]
+            sums, asked = sums_of(block, known, model, level)
+            rows += [(bucket, key[0].as_py(), order + level - 1, *packed) for bucket, *packed in block.asked(level - 1, sums, asked)]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
         return _table(columns, SUMS, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))
 
@@ -280,20 +330,20 @@ def weigh(blocks: DataFrame, counted: DataFrame, model: Model, buckets: int, ord
     return sums.repartition(buckets, "bucket").groupBy("bucket", "kind").applyInArrow(add, COUNTED)
 
 
-def probabilities(block: Block, rows: list[dict], counts: list[np.ndarray], model: Model, order: int) -> Iterator[np.ndarray]:
+def probabilities(block: Block, rows: list[dict], known: Counted, model: Model, order: int) -> Iterator[np.ndarray]:
     """Level by level, the probability of each gram's last word after the words before it.
 
     A gram seen in training has its discounted share of its history's count. One not seen has the probability of its
     suffix, one level down, times the history's backoff weight: (1 - sum of P(w | history)) / (1 - sum of P(w | history's
     suffix)) over the words seen after it. Where discounting left nothing, the shares are scaled by c / (c + 1) first.
     """
-    p = model.unigram(counts[0])
+    counts, p = known.counts, model.unigram(known.counts[0])
     yield p
     below = model.scale / max(1, model.tokens)
     for level in range(1, order):
-        c, seen = counts[level - 1], counts[level - 1] > 0
-        kind = order + level - 1
-        own, lower = (block.answers(level - 1, _told(rows, kind, x), np.float64, seen) for x in ("told", "more"))
+        c, kind = counts[level - 1], order + level - 1
+        sums, asked = sums_of(block, known, model, level)
+        own, lower = (np.where(asked, block.answers(level - 1, _told(rows, kind, x), np.float64, asked), mine) for x, mine in zip(("told", "more"), sums, strict=True))
         share = 1 / np.maximum(1, c)
         full = own * share > 1 - 1e-9
         share = np.where(full, 1 / (c + 1), share)
@@ -311,9 +361,9 @@ def score_blocks(blocks: DataFrame, answers: DataFrame, model: Model, buckets: i
 
     def run(key, own: pa.Table, told: pa.Table) -> pa.Table:
         block, rows = Block(own.to_pylist()[0], buckets, order), told.to_pylist()
-        counts, _ = _counts(block, rows, order)
-        words, ids, of_token = counts[0], block.of[0], np.zeros(len(block.of[0]))
-        for level, p in enumerate(probabilities(block, rows, counts, model, order)):
+        known = Counted.of(block, rows, order)
+        words, ids, of_token = known.counts[0], block.of[0], np.zeros(len(block.of[0]))
+        for level, p in enumerate(probabilities(block, rows, known, model, order)):
             at = block.places[level]
             of_token[at] = np.log10(np.maximum(p, 1e-300))[block.of[level][at]]
         base = np.log10((words + 1) / (model.tokens + model.words + 1))
@@ -340,13 +390,17 @@ def score(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     if tokens is None:
         return blocks.selectExpr("explode(doc_ids) doc_id", "false held_out", "0L n_tokens", "0L n_known", "0L train_tokens", "0D base_score", "0D score")
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BLOCK_TOKENS))
-    tables = [stash(count(blocks, buckets, levels), "lm-counts") for levels in ([*range(min(order, 2))], *([k] for k in range(2, order)))]
+    tables: list[DataFrame] = []
+    for levels in ([*range(min(order, 2))], *([k] for k in range(2, order))):
+        known = reduce(DataFrame.unionByName, tables).where("block >= 0") if tables else None
+        tables.append(stash(count(blocks, known, buckets, levels), "lm-counts"))
     counted = reduce(DataFrame.unionByName, tables)
     stats = {r["kind"]: list(r)[1:] for r in counted.where("stats is not null").groupBy("kind").agg(*(F.sum(F.col("stats")[i]) for i in range(GT_MAX + 3))).collect()}
-    model = Model.of([stats.get(level, [0] * (GT_MAX + 3)) for level in range(order)])
-    tables.append(stash(weigh(blocks, counted, model, buckets, order), "lm-weights"))
-    out = stash(score_blocks(blocks, reduce(DataFrame.unionByName, tables), model, buckets, order), "lm-scores")
-    unstash(blocks, *tables)
+    model = Model.of([stats[level] for level in range(order)])
+    told = counted.where("block >= 0")
+    weights = stash(weigh(blocks, told, model, buckets, order), "lm-weights")
+    out = stash(score_blocks(blocks, told.unionByName(weights), model, buckets, order), "lm-scores")
+    unstash(blocks, *tables, weights)
     return out
 
 
