@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import stash, unstash
+from foliant.llm.common import stash, stash_bucketed, unstash
 
 BLOCK_TOKENS = 1 << 20
 #: Counts up to this are discounted.
@@ -41,13 +41,20 @@ CODEC = pa.Codec("zstd", compression_level=3)
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Integers or doubles byte plane by byte plane, compressed; the type is kept in front."""
+    """Integers byte plane by byte plane, compressed; doubles as places in the list of their different values. The type is kept in front."""
+    if x.dtype.kind == "f":
+        values, codes = np.unique(x, return_inverse=True)
+        listed = CODEC.compress(np.ascontiguousarray(values).tobytes(), asbytes=True)
+        return f"{x.dtype.str[1:]:<3}{len(values):<13}{len(listed):<13}".encode() + listed + pack(codes.astype(np.uint32))
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
     return f"{x.dtype.str[1:]:<3}{len(x):<13}".encode() + CODEC.compress(planes, asbytes=True)
 
 
 def unpack(blob: bytes) -> np.ndarray:
     kind, n = np.dtype(blob[:3].decode().strip()), int(blob[3:16])
+    if kind.kind == "f":
+        end = 29 + int(blob[16:29])
+        return np.frombuffer(CODEC.decompress(blob[29:end], n * kind.itemsize, asbytes=True), kind)[unpack(blob[end:])]
     planes = CODEC.decompress(blob[16:], n * kind.itemsize, asbytes=True)
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel()
 
@@ -385,7 +392,7 @@ def score(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     """
     spark = docs.sparkSession
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    blocks = stash(blocks_of(lean), "lm-blocks")
+    blocks = stash_bucketed(blocks_of(lean), "lm-blocks", "block")
     tokens = blocks.agg(F.sum("n")).first()[0]
     if tokens is None:
         return blocks.selectExpr("explode(doc_ids) doc_id", "false held_out", "0L n_tokens", "0L n_known", "0L train_tokens", "0D base_score", "0D score")
