@@ -34,7 +34,7 @@ BLOCKS = "block long, n long, doc_ids array<long>, held binary, lens binary, wor
 TOLD = "bucket int, block long, kind int, keys binary, counts binary"
 COUNTED = "block long, bucket int, kind int, told binary, more binary, stats array<long>"
 COUNTED_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-SUMS = "bucket int, block long, kind int, keys binary, a binary, b binary"
+SUMS = "bucket int, block long, kind int, keys binary, a binary, b binary, wanted binary"
 
 
 CODEC = pa.Codec("zstd", compression_level=3)
@@ -149,6 +149,14 @@ class Block:
             counts[self.begin] = (~self.held).sum()
         return counts
 
+    def untaught(self, level: int) -> np.ndarray:
+        """Which grams of a level stand in documents held out."""
+        at = self.places[level]
+        found = np.bincount(self.of[level][at[np.repeat(self.held, self.lens)[at]]], minlength=len(self.keys[level])) > 0
+        if level == 0:
+            found[self.begin] = self.held.any()
+        return found
+
     def _cuts(self, level: int, chosen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """The (chosen) grams by rising hash, and where among them each bucket, a range of hashes, begins."""
         order = self.order[level] if chosen is None else self.order[level][chosen[self.order[level]]]
@@ -177,11 +185,12 @@ def _told(rows: list[dict], kind: int, column: str = "told") -> dict[int, bytes]
 
 @dataclass(frozen=True)
 class Counted:
-    """By level, of a block's grams: counts in all training texts, which the block speaks for (each has one such block), which other blocks hold too."""
+    """By level, of a block's grams: counts in all training texts, which the block speaks for (each has one such block), which other blocks hold too, which of those stand in documents held out."""
 
     counts: list[np.ndarray]
     speaks: list[np.ndarray]
     shared: list[np.ndarray]
+    untaught: list[np.ndarray]
 
     def asked(self, block: Block, level: int) -> np.ndarray:
         """Grams that other blocks may hold: both grams they are made of are shared."""
@@ -189,14 +198,14 @@ class Counted:
 
     @classmethod
     def of(cls, block: Block, rows: list[dict], levels: int) -> Counted:
-        known = cls([], [], [])
+        known = cls([], [], [], [])
         for level in range(levels):
             asked = known.asked(block, level) if level > 1 else None
             told = block.answers(level, _told(rows, level), np.int64, asked)
-            counts, speaks, shared = told >> 2, (told & 1).astype(bool), (told & 2) == 0
+            counts, speaks, shared, untaught = told >> 3, (told & 1) > 0, (told & 2) == 0, (told & 4) > 0
             if asked is not None:
                 counts, speaks, shared = np.where(asked, counts, block.training(level)), speaks | ~asked, shared & asked
-            for by_level, x in ((known.counts, counts), (known.speaks, speaks), (known.shared, shared)):
+            for by_level, x in ((known.counts, counts), (known.speaks, speaks), (known.shared, shared), (known.untaught, untaught)):
                 by_level.append(x)
         return known
 
@@ -219,7 +228,7 @@ def count(blocks: DataFrame, known: DataFrame | None, buckets: int, levels: list
 
     def questions(block: Block, number: int, level: int, asked: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         counts = block.training(level)
-        rows = [(bucket, number, level, keys, n) for bucket, keys, n in block.asked(level, [counts.astype(np.uint32)], asked)]
+        rows = [(bucket, number, level, keys, n) for bucket, keys, n in block.asked(level, [counts.astype(np.uint32) * 2 + block.untaught(level)], asked)]
         if asked is not None:
             rows.append((number % buckets, number, level, None, pack(np.array(stats_of(counts[~asked]), np.int64))))
         for i in range(0, len(rows), 64):
@@ -244,8 +253,10 @@ def count(blocks: DataFrame, known: DataFrame | None, buckets: int, levels: list
         each = [np.zeros(0, np.uint64), *(unpack_keys(r["keys"]) for r in rows)]
         cuts = np.cumsum([*map(len, each)])
         keys, first, place, askers = np.unique(np.concatenate(each), return_index=True, return_inverse=True, return_counts=True)
-        total = np.bincount(place, weights=np.concatenate([np.zeros(0), *(unpack(r["counts"]) for r in rows)]), minlength=len(keys)).astype(np.int64)
-        told = (total * 4 + 2 * (askers == 1))[place]
+        counts = np.concatenate([np.zeros(0, np.uint32), *(unpack(r["counts"]) for r in rows)]).astype(np.int64)
+        total = np.bincount(place, weights=counts >> 1, minlength=len(keys)).astype(np.int64)
+        untaught = np.bincount(place, weights=counts & 1, minlength=len(keys)) > 0
+        told = (total * 8 + untaught * 4 + 2 * (askers == 1))[place]
         told[first] += 1
         stats = np.array(stats_of(total[keys != BEGIN] if kind == 0 else total)) + sum(unpack(r["counts"]) for r in given if r["keys"] is None)
         answers = [pack(told[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -258,7 +269,10 @@ def count(blocks: DataFrame, known: DataFrame | None, buckets: int, levels: list
 
 
 def discounts(counts_of_counts: list[int], top: int = GT_MAX) -> np.ndarray:
-    """Katz's Good-Turing factor of each count 0 .. top. Where a count of counts spoils one, fewer are discounted; with none left, ones by half."""
+    """Katz's Good-Turing factor of each count 0 .. top. Where a count of counts spoils one, fewer are discounted; with none left, ones by half.
+
+    Factors are rounded to multiples of 2^-32, so that sums of discounted counts are exact in whatever order they are added.
+    """
     n = [0, *counts_of_counts]
     for k in range(top, 0, -1):
         if not all(n[r] for r in range(1, k + 2)):
@@ -267,6 +281,7 @@ def discounts(counts_of_counts: list[int], top: int = GT_MAX) -> np.ndarray:
         if rest >= 1:
             continue
         d = np.array([((r + 1) * n[r + 1] / (r * n[r]) - rest) / (1 - rest) for r in range(1, k + 1)])
+        d = np.round(d * 2**32) / 2**32
         if ((d > 0) & (d <= 1)).all() and d[0] < 1:
             return np.concatenate([[1], d, np.ones(top - k)])
     return np.concatenate([[1, 0.5], np.ones(top - 1)])
@@ -300,13 +315,23 @@ class Model:
         return np.where(c > 0, self.scale * self.discounted(0, c) / max(1, self.tokens), self.unknown)
 
 
-def sums_of(block: Block, known: Counted, model: Model, level: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each history of a level's grams, discounted counts of those the block speaks for, and of their suffixes, summed; and which histories other blocks add to."""
+def sums_of(block: Block, known: Counted, model: Model, level: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each history of a level's grams, discounted counts of those the block speaks for, and of their suffixes, summed.
+
+    Then which histories' full sums the block wants: those followed by a gram not seen in training, and those that may have
+    lost nothing to discounts, as no gram here shows that they did. Last, which it asks about or adds to. What follows a
+    history unseen stands in documents held out, so nobody wants the sums of histories that do not, unless nothing after
+    them is discounted anywhere; then every block that holds them adds to them, and only then they sum to the history's count.
+    """
     counts, below = known.counts[level], known.counts[level - 1]
-    at = known.speaks[level] & (counts > 0)
-    history = block.history[level][at]
-    sums = [np.bincount(history, weights=w, minlength=len(below)) for w in (model.discounted(level, counts[at]), model.discounted(level - 1, below[block.suffix[level][at]]))]
-    return sums, known.shared[level - 1] & (below > 0)
+    followed = lambda at: np.bincount(block.history[level][at], minlength=len(below)) > 0
+    seen = counts > 0
+    at = known.speaks[level] & seen
+    sums = [np.bincount(block.history[level][at], weights=w, minlength=len(below)) for w in (model.discounted(level, counts[at]), model.discounted(level - 1, below[block.suffix[level][at]]))]
+    lossless = ~followed(seen & (model.discounted(level, counts) < counts))
+    shared = known.shared[level - 1] & (below > 0)
+    wants = shared & (followed(~seen) | followed(seen) & lossless)
+    return sums, wants, wants | shared & (known.untaught[level - 1] | lossless) & (sums[0] > 0)
 
 
 def weigh(blocks: DataFrame, counted: DataFrame, model: Model, buckets: int, order: int) -> DataFrame:
@@ -319,18 +344,23 @@ def weigh(blocks: DataFrame, counted: DataFrame, model: Model, buckets: int, ord
         block, rows = Block(own.to_pylist()[0], buckets, order), []
         known = Counted.of(block, told.to_pylist(), order)
         for level in range(1, order):
-            sums, asked = sums_of(block, known, model, level)
-            rows += [(bucket, key[0].as_py(), order + level - 1, *packed) for bucket, *packed in block.asked(level - 1, sums, asked)]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        return _table(columns, SUMS, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))
+            sums, wants, named = sums_of(block, known, model, level)
+            rows += [(bucket, key[0].as_py(), order + level - 1, *packed) for bucket, *packed in block.asked(level - 1, [*sums, wants.astype(np.uint8)], named)]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        return _table(columns, SUMS, (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4))
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         each = [unpack_keys(r["keys"]) for r in rows]
         cuts = np.cumsum([0, *map(len, each)])
         keys, place = np.unique(np.concatenate(each), return_inverse=True)
-        a, b = ([pack(x[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)] for x in (np.bincount(place, weights=np.concatenate([unpack(r[c]) for r in rows]), minlength=len(keys))[place] for c in "ab"))
-        cols = [[r["block"] for r in rows], [rows[0]["bucket"]] * len(rows), [rows[0]["kind"]] * len(rows), a, b, [None] * len(rows)]
+        a, b = (np.bincount(place, weights=np.concatenate([unpack(r[c]) for r in rows]), minlength=len(keys)) for c in "ab")
+        told = []
+        for r, i, j in zip(rows, cuts[:-1], cuts[1:], strict=True):
+            mine = place[i:j][unpack(r["wanted"]) > 0]
+            if len(mine):
+                told.append((r["block"], r["bucket"], r["kind"], pack(a[mine]), pack(b[mine]), None))
+        cols = list(zip(*told, strict=True)) if told else [[]] * 6
         return _table(cols, COUNTED, COUNTED_KINDS)
 
     sums = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(give, SUMS)
@@ -349,8 +379,8 @@ def probabilities(block: Block, rows: list[dict], known: Counted, model: Model,
     below = model.scale / max(1, model.tokens)
     for level in range(1, order):
         c, kind = counts[level - 1], order + level - 1
-        sums, asked = sums_of(block, known, model, level)
-        own, lower = (np.where(asked, block.answers(level - 1, _told(rows, kind, x), np.float64, asked), mine) for x, mine in zip(("told", "more"), sums, strict=True))
+        sums, wants, _ = sums_of(block, known, model, level)
+        own, lower = (np.where(wants, block.answers(level - 1, _told(rows, kind, x), np.float64, wants), mine) for x, mine in zip(("told", "more"), sums, strict=True))
         share = 1 / np.maximum(1, c)
         full = own * share > 1 - 1e-9
         share = np.where(full, 1 / (c + 1), share)

@@ -1,5 +1,6 @@
 """Katz scores against a plain dictionary model, and normalisation."""
 
+import random
 from collections import Counter
 from functools import cache
 from math import log10
@@ -88,3 +89,18 @@ def test_empty_and_null(spark):
     assert katz.score(empty, F.lit(False)).collect() == []
     rows = katz.score(spark.createDataFrame([(None, None), (None, None)], "doc_id long, text string"), F.lit(True)).collect()
     assert [(r.doc_id, r.n_tokens, r.score) for r in rows] == [(None, 1, 0.0)] * 2
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_texts_in_many_blocks(spark, seed):
+    """Grams alone in a block, shared ones, histories that lose nothing to discounts, and unseen words, against the dictionary model."""
+    rng = random.Random(seed)
+    common, rare = "the of and".split(), [f"w{i}" for i in range(25)]
+    rows = [(i, " ".join(rng.choice(common if rng.random() < 0.8 else rare) for _ in range(rng.randrange(12)))) for i in range(150)]
+    rows = [(i, f"{t} only{i}" if i % 9 == 0 else t) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r for r in katz.score(docs, F.col("doc_id") % 5 == 2).collect()}
+    want = brute(rows)
+    assert set(got) == set(want)
+    for i, w in want.items():
+        assert got[i].n_known == w[1] and got[i].base_score == pytest.approx(w[3]) and got[i].score == pytest.approx(w[4])
