@@ -109,18 +109,22 @@ def _ball_links(fps: DataFrame) -> DataFrame:
     """
     words = fps.select("fp", F.explode(F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))).alias("word"))
     least = words.groupBy("word").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1").select("word", "u")
-    return words.join(least, "word").where("fp <> u").select("u", F.col("fp").alias("v")).distinct()
+    return words.hint("merge").join(least, "word").where("fp <> u").select("u", F.col("fp").alias("v")).distinct()
 
 
 def links(fps: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
-    """(u, v): links between distinct fingerprints that differ by one or two bits; complete up to connectivity."""
+    """(u, v): links between distinct fingerprints that differ by one or two bits; complete up to connectivity.
+
+    Spark takes the keys of a fingerprint for as large as the fingerprint and would broadcast them by the driver, so the
+    joins are merged by hint.
+    """
     build, probe = _keyed(fps, False), _keyed(fps, True)
     hot = stash(build.groupBy("key").count().where(F.col("count") > hot_key).select("key"), "hot-keys")
     some_hot = bool(hot.take(1))
     b = build.select("key", F.col("fp").alias("u"))
     if some_hot:
         b = b.join(hot, "key", "left_anti")
-    found = b.join(probe.select("key", F.col("fp").alias("v")), "key").where("u < v and bit_count(u ^ v) <= 2").select("u", "v").distinct()
+    found = b.hint("merge").join(probe.select("key", F.col("fp").alias("v")), "key").where("u < v and bit_count(u ^ v) <= 2").select("u", "v").distinct()
     if some_hot:
         members = build.join(hot, "key", "left_semi").unionByName(probe.join(hot, "key", "left_semi")).select("fp").distinct()
         found = found.unionByName(_ball_links(stash(members, "hot-fps")))
@@ -139,10 +143,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, hot_key: int = HOT_KEY) ->
     fp = stash(fingerprints(docs, width), "fingerprints")
     nodes = stash(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-nodes")
     roots = stash(connected_components(links(nodes, hot_key)), "fp-roots")
-    labelled = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = nodes.hint("merge").join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = labelled.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fp.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = labelled.select("fp", "root").hint("merge").join(least, "root").select("fp", "component_id")
+    return fp.hint("merge").join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def candidates(sets: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:

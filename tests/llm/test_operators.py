@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
-from foliant.llm import chat, linededup, neighbours, packing, quality, simhash, topk, warc
+from foliant.llm import chat, linededup, neighbours, packing, quality, shingles, simhash, topk, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_lines int, fp string"
 RUN = "alpha one\nbeta two\ngamma three"
@@ -51,6 +51,23 @@ def test_simhash_hot_keys_agree(spark):
         assert {x: got.get(x, x) for x in signed} == {x: root(x) for x in signed}
 
 
+def test_simhash_keys_are_not_broadcast(spark):
+    """A fingerprint's keys and words take up to 65 rows, which Spark's estimate of a join's sides does not know."""
+    fps = spark.createDataFrame([(i * 7919,) for i in range(50)], "fp long")
+    found = simhash.links(fps)._jdf.queryExecution().optimizedPlan()
+    ball = simhash._ball_links(fps)._jdf.queryExecution().optimizedPlan()
+    assert all("strategy=merge" in plan.toString() for plan in (found, ball))
+
+
+def test_shingle_pairs_are_not_broadcast(spark, monkeypatch):
+    """What a set's pairs are checked by is far larger than its file: no plan may broadcast it by the driver."""
+    plans, kept = [], shingles.stash
+    monkeypatch.setattr(shingles, "stash", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or kept(df, name))
+    texts = [(i, " ".join(f"w{j}" for j in range(i % 3, 40))) for i in range(12)]
+    assert len({r.root for r in shingles.groups(spark.createDataFrame(texts, "row_ long, text string")).collect()}) == 1
+    assert all("strategy=merge" in p for n, p in plans if n in ("shingle-maybe", "shingle-near"))
+
+
 def test_components_contract(spark):
     from foliant.llm.components import connected_components
 
