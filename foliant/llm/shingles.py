@@ -144,7 +144,7 @@ def _live(side: DataFrame, nodes: DataFrame) -> DataFrame:
 
     # a few of each set's shingles tell most pairs at which one of those they share they are told
     least = posts.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("token")), 1, LEAST).alias("least"))
-    x = nodes.select("node", "x").join(least, "node").groupBy("node", "least").agg(F.first("x").alias("x"))
+    x = nodes.select("node", "x").hint("merge").join(least, "node").groupBy("node", "least").agg(F.first("x").alias("x"))
     known = arrow_map(x, folded, "node long, least array<long>, x binary")
     block = lambda n: F.pmod(F.xxhash64(F.lit(5), "node"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -154,7 +154,7 @@ def _live(side: DataFrame, nodes: DataFrame) -> DataFrame:
     with_big = other.withColumn("j", upto("many")).select("*", F.lit(True).alias("big"), F.col("own").alias("i"), F.lit(0).alias("side"))
     big = posts.where("mine").withColumn("j", block("many")).withColumn("i", upto("few")).select("*", F.lit(True).alias("big"), F.lit(1).alias("side"))
     tiles = among.select(*cols).unionByName(with_big.select(*cols)).unionByName(big.select(*cols))
-    return tiles.join(known, "node").select(*cols, "x", "least")
+    return tiles.hint("merge").join(known, "node").select(*cols, "x", "least")
 
 
 def _possible(side: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -208,7 +208,10 @@ def _possible(side: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """The pairs whose sets have the similarity: by histograms first, by the sets, worked out anew, where these allow it."""
+    """The pairs whose sets have the similarity: by histograms first, by the sets, worked out anew, where these allow it.
+
+    Their files are far smaller than they are in memory, so no join broadcasts them by the driver.
+    """
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([np.unique(shingle_hashes(t, width)).tobytes() for t in texts_of(batch)], pa.binary())], ["node", "x"])
@@ -224,7 +227,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int) -> Da
                 good += [test(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
             return every.filter(pa.array(good, pa.bool_())).select(["u", "v"])
 
-        both = of.join(what.select(F.col("node").alias("u"), F.col("x").alias("a")), "u").join(what.select(F.col("node").alias("v"), F.col("x").alias("b")), "v")
+        both = of.join(what.select(F.col("node").alias("u"), F.col("x").alias("a")).hint("merge"), "u").join(what.select(F.col("node").alias("v"), F.col("x").alias("b")).hint("merge"), "v")
         return arrow_map(both.select("u", "v", "a", "b"), run, "u long, v long")
 
     def asked(some: DataFrame) -> DataFrame:
@@ -255,7 +258,7 @@ def _hub_pairs(side: DataFrame, seed: int) -> DataFrame:
     hubs = side.groupBy("token").agg(F.min_by(F.struct("node", "size", "pos", "root"), F.struct(F.xxhash64(F.lit(seed), "node"), "node")).alias("hub"))
     # of what stands before the shared shingle all may be shared, of what stands behind it the shorter rest
     bound = f"(least(pos, hub.pos) + least(size - pos, hub.size - hub.pos)) * {NUM + DEN} >= {NUM} * (size + hub.size)"
-    met = side.join(hubs, "token").where(f"root <> hub.root and {DEN} * least(size, hub.size) >= {NUM} * greatest(size, hub.size) and {bound}")
+    met = side.hint("merge").join(hubs, "token").where(f"root <> hub.root and {DEN} * least(size, hub.size) >= {NUM} * greatest(size, hub.size) and {bound}")
     return met.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
 
 
@@ -281,8 +284,8 @@ def groups(rows: DataFrame, width: int = WIDTH, common: int = COMMON, candidates
     """
     nodes = stash(_nodes(rows, width), "shingle-nodes")
     with tidy(rows.sparkSession):
-        often = _tokens(nodes).groupBy("token").count().where(F.col("count") > common).orderBy(F.desc("count"), "token").limit(COMMON_MOST).toPandas()["token"]
-    late = np.sort(often.to_numpy(np.int64).view(np.uint64))
+        often = _tokens(nodes).groupBy("token").count().where(F.col("count") > common).orderBy(F.desc("count"), "token").limit(COMMON_MOST).select("token").toArrow()["token"]  # without a Row for each
+    late = np.sort(often.to_numpy().astype(np.int64).view(np.uint64))
     prefixes = stash(_ordered_prefixes(rows, width, late), "shingle-prefixes")
     again = stash(_tokens(prefixes).groupBy("token").count().where("count > 1").select("token"), "shingle-again")
     shared = stash(_postings(prefixes).join(again, "token", "left_semi").distinct(), "shingle-shared")
