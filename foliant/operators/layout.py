@@ -60,10 +60,11 @@ def unify(lay: DataFrame) -> DataFrame:
     return parts.select("doc_id", "block_no", "part", F.col("l")[0]["font"].alias("font"), F.col("l")[0]["size"].alias("size"), F.array_join(F.transform("l", lambda x: x["text"]), " ").alias("text"))
 
 
-def running_heads(lay: DataFrame, top: int = 4) -> DataFrame:
+def running_heads(lay: DataFrame, top: int = 4, by_page: bool = False) -> DataFrame:
     """Header and footer lines: outermost `top` of a page, scored by like text at a like place on pages -8 .. +7; kept from 1.
 
     Texts are alike if equal but for their digits; page numbers by how far apart they are (equal ones are not).
+    by_page: numbers are not read. They are alike as texts are, so with as many digits alone, and count twice on the first six pages.
     Pages meet through buckets of 16, so a header of a long document joins its neighbours alone.
     """
     w = Window.partitionBy(*PAGE)
@@ -72,7 +73,12 @@ def running_heads(lay: DataFrame, top: int = 4) -> DataFrame:
     side = lambda name, n: F.when(F.col(n) <= top, F.struct(F.lit(name).alias("side"), F.col(n).alias("n")))
     outer = ranked.where((F.col("head") <= top) | (F.col("foot") <= top))
     sides = outer.select(*near, F.inline(F.array_compact(F.array(side("header", "head"), side("footer", "foot")))))
-    c = sides.select("doc_id", "page_no", "line_no", "side", "n", F.explode(X.band_readings(F.col("text"))).alias("r"), "x0", "y0", "x1", "y1").select("*", "r.class", "r.value").drop("r")
+    if by_page:
+        first = F.col("text").rlike(r"^[1-9][0-9]{0,2}\z") & (F.col("page_no") <= 5)
+        read = F.array(F.struct(X.band_key(F.col("text")).alias("class"), F.when(first, 2.0).otherwise(1.0).alias("value")))
+    else:
+        read = X.band_readings(F.col("text"))
+    c = sides.select("doc_id", "page_no", "line_no", "side", "n", F.explode(read).alias("r"), "x0", "y0", "x1", "y1").select("*", "r.class", "r.value").drop("r")
     long = F.length("class") > 64  # long texts meet by their digest
     c = cut(c.withColumn("class", F.when(long, F.concat(F.lit("sha256 "), F.sha2("class", 256))).otherwise(F.col("class"))), "page-edges")
     a, b = c.select(*(F.col(x).alias(f"a_{x}") for x in c.columns)), c.select(*(F.col(x).alias(f"b_{x}") for x in c.columns))
@@ -83,7 +89,7 @@ def running_heads(lay: DataFrame, top: int = 4) -> DataFrame:
     area = G.axis_iou("a_", "b_", "x") * G.axis_iou("a_", "b_", "y")
     far = col("b_value") - col("a_value")
     number = F.when((far == 0) | ~far.between(-20, 19), 0.0).when(F.abs(far) <= 8, 1.0).otherwise(0.5) * F.when(col("a_value").between(1, 6), 2.0).otherwise(1.0)
-    alike = F.sum(F.when(col("a_value").isNull(), 1.0).otherwise(number))
+    alike = F.sum(col("a_value") if by_page else F.when(col("a_value").isNull(), 1.0).otherwise(number))
     line = ["a_doc_id", "a_page_no", "a_line_no", "a_side"]
     pairs = a.join(b, on).groupBy(*line, "b_line_no").agg(F.max("a_n").alias("n"), alike.alias("alike"), F.max(area).alias("area")).where("alike > 0.5")
     score = F.sum(col("alike") * F.when(col("area") > 0.5, 1.0).otherwise(col("area"))) * F.when(F.max("n") <= 2, 1.0).otherwise(0.5)
@@ -91,8 +97,8 @@ def running_heads(lay: DataFrame, top: int = 4) -> DataFrame:
     return scored.where("score >= 1").select(col("a_doc_id").alias("doc_id"), col("a_page_no").alias("page_no"), col("a_line_no").alias("line_no"), col("a_side").alias("side"), F.round("score", 6).alias("score"))
 
 
-def without_heads(lay: DataFrame) -> DataFrame:
-    return lay.join(running_heads(lay).select("doc_id", "line_no").distinct(), ["doc_id", "line_no"], "left_anti")
+def without_heads(lay: DataFrame, by_page: bool = False) -> DataFrame:
+    return lay.join(running_heads(lay, by_page=by_page).select("doc_id", "line_no").distinct(), ["doc_id", "line_no"], "left_anti")
 
 
 def without_math(lay: DataFrame) -> DataFrame:

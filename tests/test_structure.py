@@ -2,12 +2,13 @@
 
 import itertools
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
 from foliant.operators import fold, layout, lists, margins, render, runs, tables
-from foliant.plans import structure  # noqa: F401  (adds its queries)
+from foliant.plans import registry, structure  # noqa: F401  (adds its queries)
 from foliant.sources import sinks
 from foliant.streaming import documents as stream
 
@@ -146,6 +147,17 @@ def test_page_numbers(spark):
     assert {r.line_no for r in layout.running_heads(df).collect()} == {0, 10, 20}
 
 
+@pytest.mark.parametrize("name", ["q_hf_score"])
+def test_heads_of_long_documents(spark, tmp_path, name):
+    """Page numbers of one and of two digits, and lines that are one letter or a number, against the query's SQL."""
+    texts = [(i, "\n".join(("a", "7", f"line {j * i}", "iv", "same")[(j * 7 + i) % 5] for j in range(12 * 14 + i))) for i in range(3)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(registry.SQL[name]).fetchall())
+    assert want and sorted(tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()) == want
+
+
 def test_markers(spark):
     rows = [("1. One", "1."), ("**(a) Two**", "(a)"), ("three", "•"), ("four", None)]
     got = spark.createDataFrame(rows, "t string, m string").select(render.with_marker(F.col("t"), F.col("m")).alias("x")).collect()
