@@ -247,7 +247,9 @@ def donate_blanks(spans: DataFrame, unit: str) -> DataFrame:
     gives = F.col("text").isin(*BLANK[1:]) if unit == "block" else ~F.col("text").rlike(r"(?U)\S")
     marked = spans.withColumn("_text", F.max(~F.coalesce("text", F.lit("")).isin(*BLANK)).over(own))
     pick = F.struct("span_no", "text", "x0", "y0", "x1", "y1", "font", "size")
-    per = marked.groupBy(*line).agg(F.max("_text").alias("held"), F.min_by(F.when(gives, pick), F.when(gives, F.col("span_no"))).alias("gift"), F.max_by(pick, "span_no").alias("last"))
+    # a gift is the whole span, so that the spans are not joined to what the fold says of it
+    whole = F.struct(*(c for c in spans.columns if c not in line))
+    per = marked.groupBy(*line).agg(F.max("_text").alias("held"), F.min_by(F.when(~F.col("_text") & gives, whole), F.when(~F.col("_text") & gives, F.col("span_no"))).alias("gift"), F.max_by(F.when(F.col("_text"), pick), "span_no").alias("last"))
 
     def step(state, row):
         if row["held"]:
@@ -255,13 +257,12 @@ def donate_blanks(spans: DataFrame, unit: str) -> DataFrame:
         gift = row["gift"]
         if state is None or gift is None or gift["x0"] < (state["x0"] + state["x1"]) / 2 or overlap(state["y0"], state["y1"], gift["y0"], gift["y1"]) <= 0.8:
             return state, (None,)
-        state = {**state, **gift, "font": state["font"], "size": state["size"], "span_no": state["span_no"] + 1}
+        state = {**state, **{k: gift[k] for k in ("text", "x0", "y0", "x1", "y1")}, "font": state["font"], "size": state["size"], "span_no": state["span_no"] + 1}
         return state, ({k: state[k] for k in ("block", "line", "span_no", "font", "size")},)
 
     to = T.StructType().add("block", "long").add("line", "long").add("span_no", "long").add("font", "string").add("size", "double")
     fields = ["block_no", "line_no", "held", "gift", "last"]
     moved = fold.sorted_fold(per, keys, [c for c in ("block_no", "line_no") if c not in keys], fields, T.StructType().add("to", to), step).where("to is not null")
-    first = moved.select(*line, F.col("gift.span_no").alias("span_no"), "to")
     kept = marked.where("_text").drop("_text")
-    gifts = spans.join(first, [*line, "span_no"]).withColumns({"block_no": F.col("to.block"), "line_no": F.col("to.line"), "span_no": F.col("to.span_no"), "font": F.col("to.font"), "size": F.col("to.size")}).drop("to")
+    gifts = moved.select("doc_id", "page_no", F.col("to.block").alias("block_no"), F.col("to.line").alias("line_no"), "gift.*", "to").withColumns({"span_no": F.col("to.span_no"), "font": F.col("to.font"), "size": F.col("to.size")})
     return kept.unionByName(gifts.select(*spans.columns))

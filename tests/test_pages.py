@@ -153,6 +153,14 @@ def test_blank_units(spark):
     assert runs.donate_blanks(df.where("false"), "block").collect() == []
 
 
+@pytest.mark.parametrize("name", ["q_blank_lines"])
+def test_blank_units_move_no_words(spark, name):
+    """Of the rows for each word none are shuffled: only documents are, and a row for each line."""
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert dealt and not any("line_no" in x or "span_no" in x for x in dealt) and "Join" not in plan
+
+
 def test_approximate(spark):
     known = cluster.approximations(spark.createDataFrame([(1, x) for x in (1.0, 2.0, 10.0, None)], "g int, x double"), ["g"], "x", 5.0)
     assert sorted((r.x, r["mean"]) for r in known.collect()) == [(1.0, 1.5), (2.0, 1.5), (10.0, 10.0)]
