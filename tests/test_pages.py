@@ -153,7 +153,7 @@ def test_blank_units(spark):
     assert runs.donate_blanks(df.where("false"), "block").collect() == []
 
 
-@pytest.mark.parametrize("name", ["q_blank_lines"])
+@pytest.mark.parametrize("name", ["q_blank_lines", "q_blank_blocks"])
 def test_blank_units_move_no_words(spark, name):
     """Of the rows for each word none are shuffled: only documents are, and a row for each line."""
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
