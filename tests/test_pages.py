@@ -161,6 +161,15 @@ def test_blank_units_move_no_words(spark, name):
     assert dealt and not any("line_no" in x or "span_no" in x for x in dealt) and "Join" not in plan
 
 
+def test_rasters_come_few_at_a_time(spark, monkeypatch):
+    """Ten thousand rasters at a time do not fit a worker: the rules are planned with BATCH, and the setting is as before after."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, kept = spark.conf.get(setting), [], raster.cut
+    monkeypatch.setattr(raster, "cut", lambda df, name: seen.append(spark.conf.get(setting)) or kept(df, name))
+    assert registry.QUERIES["q_raster_rules"](spark, "/root/testdata/sf0.001").count() > 0
+    assert seen == [str(raster.BATCH)] and spark.conf.get(setting) == before
+
+
 def test_approximate(spark):
     known = cluster.approximations(spark.createDataFrame([(1, x) for x in (1.0, 2.0, 10.0, None)], "g int, x double"), ["g"], "x", 5.0)
     assert sorted((r.x, r["mean"]) for r in known.collect()) == [(1.0, 1.5), (2.0, 1.5), (10.0, 10.0)]
