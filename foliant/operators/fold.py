@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
-def sorted_fold(df: DataFrame, keys: list[str], order: list[str], fields: list[str], out: T.StructType, step: Callable) -> DataFrame:
+def sorted_fold(df: DataFrame, keys: list[str], order: list[str], fields: list[str], out: T.StructType, step: Callable, dealt: bool = False) -> DataFrame:
     """Adds the columns `out` to each row: `step(state, row) -> (state, values)`, in `order` within `keys`, state None at first.
 
     Rows stream through sorted partitions, so memory is one batch and one state however long a group is. `row` is a
-    dict of `fields`. One shuffle on the keys, none where df is already partitioned by them.
+    dict of `fields`. One shuffle on the keys; with `dealt` none where df already lies together by some of them, nor a
+    sort where it is in order.
     """
     kinds = [to_arrow_type(f.dataType) for f in out]
 
@@ -32,6 +33,9 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], fields: list[s
                     col.append(v)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], [*b.schema.names, *out.names])
 
+    if dealt:  # a window asks for its rows together and in order, and moves or sorts them only if they are not
+        ordered = df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return ordered.mapInArrow(run, T.StructType([*ordered.schema.fields, *out.fields])).drop("_at")
     sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return sorted_rows.mapInArrow(run, T.StructType([*df.schema.fields, *out.fields]))
 

@@ -245,11 +245,17 @@ def donate_blanks(spans: DataFrame, unit: str) -> DataFrame:
     line = ["doc_id", "page_no", "block_no", "line_no"]
     own = Window.partitionBy(*(line[:3] if unit == "block" else line))
     gives = F.col("text").isin(*BLANK[1:]) if unit == "block" else ~F.col("text").rlike(r"(?U)\S")
-    marked = spans.withColumn("_text", F.max(~F.coalesce("text", F.lit("")).isin(*BLANK)).over(own))
-    pick = F.struct("span_no", "text", "x0", "y0", "x1", "y1", "font", "size")
+    holds = ~F.coalesce("text", F.lit("")).isin(*BLANK)
+    marked = spans.withColumn("_text", F.max(holds).over(own))
+    pick = F.struct("span_no", "x0", "y0", "x1", "y1", "font", "size")
     # a gift is the whole span, so that the spans are not joined to what the fold says of it
     whole = F.struct(*(c for c in spans.columns if c not in line))
-    per = marked.groupBy(*line).agg(F.max("_text").alias("held"), F.min_by(F.when(~F.col("_text") & gives, whole), F.when(~F.col("_text") & gives, F.col("span_no"))).alias("gift"), F.max_by(F.when(F.col("_text"), pick), "span_no").alias("last"))
+    # a row for each line first, so that only those rows, not the spans, are looked through by block
+    each = spans.groupBy(*line).agg(F.max(holds).alias("held"), F.min_by(F.when(gives, whole), F.when(gives, F.col("span_no"))).alias("gift"), F.max_by(pick, "span_no").alias("last"))
+    whose = each.withColumn("held", F.max("held").over(own)) if unit == "block" else each
+    # nothing moves from lines without a gift, nor to a line that another follows before any gift
+    after = F.lead("held").over(Window.partitionBy(*keys).orderBy(*(c for c in ("block_no", "line_no") if c not in keys)))
+    per = whose.withColumns({"gift": F.when(~F.col("held"), F.col("gift")), "last": F.when(F.col("held"), F.col("last"))}).where("held or gift is not null").withColumn("_after", after).where("not held or not _after").drop("_after")
 
     def step(state, row):
         if row["held"]:
@@ -262,7 +268,7 @@ def donate_blanks(spans: DataFrame, unit: str) -> DataFrame:
 
     to = T.StructType().add("block", "long").add("line", "long").add("span_no", "long").add("font", "string").add("size", "double")
     fields = ["block_no", "line_no", "held", "gift", "last"]
-    moved = fold.sorted_fold(per, keys, [c for c in ("block_no", "line_no") if c not in keys], fields, T.StructType().add("to", to), step).where("to is not null")
+    moved = fold.sorted_fold(per, keys, [c for c in ("block_no", "line_no") if c not in keys], fields, T.StructType().add("to", to), step, dealt=True).where("to is not null")
     kept = marked.where("_text").drop("_text")
     gifts = moved.select("doc_id", "page_no", F.col("to.block").alias("block_no"), F.col("to.line").alias("line_no"), "gift.*", "to").withColumns({"span_no": F.col("to.span_no"), "font": F.col("to.font"), "size": F.col("to.size")})
     return kept.unionByName(gifts.select(*spans.columns))

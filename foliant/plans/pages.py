@@ -11,7 +11,7 @@ from foliant.functions import text as X
 from foliant.operators import bands, cluster, layout, margins, raster, runs, tables
 from foliant.plans.registry import WITH, query
 from foliant.plans.structure import SPANS, _grid_rules, _spans
-from foliant.sources.layout import by_document, lines, lines_of, spans
+from foliant.sources.layout import SPAN_KEYS, by_document, lines, lines_of, spans
 
 WIDTH, HEIGHT = 300, 200
 
@@ -112,7 +112,7 @@ def _blanked(spark, sf_dir):
     """Spans of which every third block and every fifth line hold but white space."""
     blank = (F.col("block_no") % 3 == 1) | (F.col("line_no") % 5 == 3)
     y = F.when(blank & (F.col("line_no") % 4 == 0), -14).otherwise(0)
-    sp = spans(lines(by_document(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))))
+    sp = spans(lines(by_document(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))), SPAN_KEYS)
     return sp.select(*(c for c in sp.columns if c not in ("text", "y0", "y1")), F.when(blank, F.lit(" ")).otherwise(F.col("text")).alias("text"), (F.col("y0") + y).alias("y0"), (F.col("y1") + y).alias("y1"))
 
 

@@ -66,14 +66,16 @@ LINES_SQL = r"""lay AS (
 SPAN_KEYS = ("doc_id", "page_no", "block_no", "line_no")
 
 
-def spans(lay: DataFrame) -> DataFrame:
+def spans(lay: DataFrame, by: tuple[str, ...] = ("doc_id", "line_no")) -> DataFrame:
     """A row for each word of each line, with its own box, baseline, font, size and flags (bit 0: raised).
 
-    Every 11th word is set in another font, every 13th is small and low, every 37th is raised.
+    Every 11th word is set in another font, every 13th is small and low, every 37th is raised. `by` may name a line by all
+    of SPAN_KEYS: words then come in the order in which pages and blocks are looked through, and are not sorted again.
     """
     words = lay.select("*", F.posexplode(F.split("text", " ")).alias("span_no", "word")).withColumn("span_no", F.col("span_no").cast("long"))
-    w = Window.partitionBy("doc_id", "line_no").orderBy("span_no")
-    left = F.col("x0") + 5 * (F.sum(F.length("word") + 1).over(w) - F.length("word") - 1)
+    w = Window.partitionBy(*by).orderBy("span_no")
+    words = words.withColumn("_upto", F.sum(F.length("word") + 1).over(w))  # once for both sides of the box
+    left = F.col("x0") + 5 * (F.col("_upto") - F.length("word") - 1)
     n = F.col("span_no")
     low = n % 13 == 12
     return words.select(

@@ -161,6 +161,15 @@ def test_blank_units_move_no_words(spark, name):
     assert dealt and not any("line_no" in x or "span_no" in x for x in dealt) and "Join" not in plan
 
 
+@pytest.mark.parametrize("name", ["q_blank_lines", "q_blank_blocks"])
+def test_blank_units_deal_documents_once(spark, name):
+    """Documents are the only rows that are shuffled, lines follow them; words are sorted once in each of the two branches."""
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange " in x]
+    assert dealt and all("hashpartitioning(doc_id" in x and "page_no" not in x for x in dealt)
+    assert sum(" Sort [" in x for x in plan.splitlines()) == 2
+
+
 def test_rasters_come_few_at_a_time(spark, monkeypatch):
     """Ten thousand rasters at a time do not fit a worker: the rules are planned with BATCH, and the setting is as before after."""
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
