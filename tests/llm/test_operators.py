@@ -282,6 +282,30 @@ def test_quality_against_plain_fit(spark):
     assert abs(sum(x.predicted for x in good) - sum(labels[x.doc_id] for x in good)) <= 1  # the quantile: as many pass as are good
 
 
+def test_quality_learns_from_all_labels(spark, monkeypatch):
+    """More labelled documents than a block holds: mean, weights and threshold are those of all of them."""
+    good, bad = [f"Plain words, number {i}, of text {i % 97}. " * (1 + i % 3) for i in range(9000)], [f"SHOUT {i} $$ | %% " * (1 + i % 5) for i in range(30)]
+    docs = spark.createDataFrame([*enumerate(good + bad)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 9000)) for i in range(9030)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    x = np.array([quality.features(t.encode()) for t in good + bad]).astype(np.float64)
+    assert np.allclose(model.mean, x.mean(axis=0), atol=1e-9) and np.allclose(model.scale, x.std(axis=0) + 1e-3, atol=1e-9)
+    score = model.score(x)
+    assert sum(score >= quality.CUT) == 9000 and min(score[:9000]) > max(score[9000:])
+    monkeypatch.setattr(quality, "LISTED", 50)
+    raw = [(i % 2, float((i * 7919) % 1000 // 10)) for i in range(1000)] + [(0, 31.0)] * 300
+    mass = {0: 0.3 / 800, 1: 0.7 / 500}
+    for q in (0.0, 0.1, 0.303, 0.31, 0.5, 0.9999, 1.0):
+        upto, before, want = 0.0, None, None
+        for v, k in sorted(((v, k) for k, v in raw), key=lambda r: (r[0], -r[1])):
+            upto += mass[k]
+            if upto > q + 1e-9:
+                want = v if before is None else (before + v) / 2
+                break
+            before = v
+        assert quality.weighted_quantile(spark.createDataFrame(raw, "q int, raw double"), mass, q) == (before if want is None else want)
+
+
 def test_warc_many_blocks_and_files(spark, monkeypatch):
     """Look-ups over many archive files, index files, blocks of one hot key and spans of the directory, against a plain list."""
     monkeypatch.setattr(warc, "FILE_BYTES", 4000)
