@@ -34,9 +34,9 @@ FOLDED = "part int, lens binary, raw binary, counts binary, ids binary"
 ANSWERS = "block long, part int, lens binary, ids binary"
 #: Folded words that a task gathers before it packs them by part.
 GATHER = 1 << 18
-#: Buckets of the literal rank map: a map literal is searched entry by entry, so ranks are dealt over many small ones.
-BUCKETS = 1 << 14
-NONE = 1 << 30
+#: Bits of a rank, an id or a place in a word; three of them are a long. Ranks are below LIMIT.
+BITS = 20
+LIMIT = 1 << BITS
 #: White space of the split pattern, spelled out since engines differ on \s.
 SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -64,12 +64,38 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<string, int>>: the rank of each piece (as hex digits) in the map of its CRC-32 modulo BUCKETS."""
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    """The id of each byte, and the rank of each pair of ids that are a piece together, as a struct of arrays.
+
+    A pair's key is a * LIMIT + b. It lies in `slots` at key % size + moves[key % n], as key * LIMIT + rank, and no two
+    pairs share a place. So the exclusive or of a place and key * LIMIT is the rank, or LIMIT at least if the pair is no piece.
+    """
+    if max(ranks.values(), default=0) >= LIMIT - 1:
+        raise ValueError(f"ranks of {LIMIT - 1} or more")
+    first = [LIMIT - 1] * 256  # a byte without a rank is no part of any pair
+    for i in range(256):
+        first[zlib.crc32(bytes([i])) >> 24] = ranks.get(bytes([i]), LIMIT - 1)  # these bits of the check sum tell all bytes apart
+    pairs = {0: LIMIT}  # an empty place is 0
     for piece, rank in ranks.items():
-        x = piece.hex().upper()
-        maps[zlib.crc32(x.encode()) % BUCKETS][x] = rank
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
+        for i in range(1, len(piece)):
+            left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if left is not None and right is not None:
+                pairs[left * LIMIT + right] = rank
+    groups: dict[int, list[int]] = {}
+    n = len(pairs) // 3 | 1
+    for key in pairs:
+        groups.setdefault(key % n, []).append(key)
+    size = 2 * len(pairs) | 1
+    while any(len({k % size for k in own}) < len(own) for own in groups.values()):
+        size += 2
+    moves, taken = [0] * n, {}
+    for g, own in sorted(groups.items(), key=lambda x: -len(x[1])):
+        at, move = [k % size for k in own], 0
+        while any(x + move in taken for x in at):
+            move += 1
+        moves[g] = move
+        taken.update((x + move, k * LIMIT + pairs[k]) for x, k in zip(at, own, strict=True))
+    slots = [taken.get(i, 0) for i in range(size + max(moves))]
+    return F.from_json(F.lit(json.dumps({"first": first, "moves": moves, "slots": slots, "n": n, "size": size}, separators=(",", ":"))), "first array<long>, moves array<long>, slots array<long>, n long, size long")
 
 
 def _let(value: Column, fn) -> Column:
@@ -77,36 +103,39 @@ def _let(value: Column, fn) -> Column:
 
 
 def fold_merges(word: Column, ranks: Column) -> Column:
-    """Ids of a binary word: each step joins the leftmost pair of lowest rank; the ranks of pairs are kept, so a step looks up two."""
+    """Ids of a binary word: each step joins the leftmost pair of lowest rank.
 
-    def rank(x: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.get(ranks, F.pmod(F.crc32(x.cast("binary")), F.lit(BUCKETS)).cast("int")), x), F.lit(NONE))
+    The state is one number for each id, (rank of its pair with the next one, byte it starts at, id): the least of them is
+    the pair to join, of equal ranks the leftmost, and a step looks up two ranks. Arrays are joined by `flatten`, since
+    `concat` of arrays takes several times as long.
+    """
+    pad, done, whole, low = F.lit(LIMIT - 1).cast("long"), F.lit(LIMIT << 2 * BITS), F.lit(LIMIT), F.lit((1 << 2 * BITS) - 1)
+    left, right = (lambda x, n=1: F.shiftleft(x, n * BITS)), (lambda x, n=1: F.shiftright(x, n * BITS))
+    one, idle = F.lit(1), F.lit(LIMIT - 1)
 
-    empty = F.array().cast("array<int>")
+    def folded(t: Column) -> Column:
+        def rank(k: Column) -> Column:
+            return F.least(t["slots"][t["moves"][k % t["n"]] + k % t["size"]].bitwiseXOR(left(k)), F.lit(LIMIT))
 
-    def merged(acc: Column, i: Column) -> Column:
-        p, r = acc["p"], acc["r"]
-        n = F.size(p)
+        def told(x: Column) -> Column:  # (start, id, next id) as the state has it
+            return left(rank(x.bitwiseAND(low)), 2).bitwiseOR(right(x))
 
-        def joined(new: Column) -> Column:
-            left = F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), new)))).otherwise(empty)
-            right = F.when(i + 2 <= n, F.array(rank(F.concat(new, F.get(p, i + 1))))).otherwise(empty)
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, n)).alias("p"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, n)).alias("r"),
-            )
+        def merged(q: Column, m: Column, i: Column) -> Column:
+            best = right(m, 2)
+            before = left(q[i - 2].bitwiseAND(low)).bitwiseOR(best)
+            own = left(m.bitwiseAND(F.lit((LIMIT - 1) << BITS)).bitwiseOR(best)).bitwiseOR(q[i + 1].bitwiseAND(idle))
+            return F.flatten(F.array(F.slice(q, one, i - 2), F.transform(F.array(before, own), told), F.slice(q, i + 2, whole)))
 
-        return _let(F.concat(F.get(p, i - 1), F.get(p, i)), joined)
+        def step(q: Column, _: Column) -> Column:
+            return _let(F.array_min(q), lambda m: F.when(m >= done, q).otherwise(_let(F.array_position(q, m).cast("int"), lambda i: merged(q, m, i))))
 
-    def step(acc: Column, _: Column) -> Column:
-        return _let(F.array_min(acc["r"]), lambda best: F.when(best.isNull() | (best == NONE), acc).otherwise(_let(F.array_position(acc["r"], best).cast("int"), lambda i: merged(acc, i))))
+        # a pad at both ends, in no pair of the literal, so that every pair has an id beside it
+        at = F.sequence(one, F.octet_length(word))
+        ids = F.flatten(F.array(F.array(pad), F.transform(at, lambda i: t["first"][F.shiftright(F.crc32(F.substring(word, i, one)), 24)]), F.array(pad)))
+        start = _let(ids, lambda p: F.transform(F.zip_with(p, F.slice(p, F.lit(2), whole), lambda a, b: left(a).bitwiseOR(F.coalesce(b, pad))), lambda k, i: told(left(i.cast("long"), 2).bitwiseOR(k))))
+        return _let(F.aggregate(at, start, step), lambda q: F.transform(F.slice(q, F.lit(2), F.size(q) - 2), lambda x: x.bitwiseAND(idle).cast("int")))
 
-    digits, n = F.hex(word), F.octet_length(word)
-    at = F.sequence(F.lit(0), n - 1)
-    start = F.transform(at, lambda i: F.substring(digits, i * 2 + 1, F.lit(2)))
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(F.substring(digits, i * 2 + 1, F.lit(4))))).otherwise(empty)
-    folded = F.aggregate(at, F.struct(start.alias("p"), pairs.alias("r")), step)
-    return F.when(n > 0, F.transform(folded["p"], rank)).otherwise(empty)
+    return F.when(F.octet_length(word) > 0, _let(ranks, folded)).otherwise(F.array().cast("array<int>"))
 
 
 class Splitter:

@@ -63,3 +63,14 @@ def test_many_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS * 3)], "doc_id long, text string").repartition(4)
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode(docs).collect()}
     assert got == {i: own.encode_ordinary(t or "") for i, t in enumerate(TEXTS * 3)}
+
+
+def test_fold_by_numbers(spark):
+    """Ranks are one literal, pairs of ids are looked up without strings, and pieces with several splits and runs of one letter come out as by the heap."""
+    ranks = {bytes([i]): i for i in range(256)} | {w: 256 + i for i, w in enumerate([b"bc", b"abc", b"ab", b"aa", b"aaaa", b"cab", b"!!", b"ca"])}
+    words = [b"abc", b"abcabc", b"aaaaaaa", b"cabcab", b"!!!!!", b"bcab", b"", b"\xff\x00a", b"ab" * 300]
+    rows = spark.createDataFrame([(w,) for w in words], "w binary")
+    coded = rows.select("w", bpe.fold_merges(F.col("w"), bpe.rank_literal(ranks)).alias("ids"))
+    assert {bytes(r.w): r.ids for r in coded.collect()} == {w: bpe.merge(w, ranks) for w in words}
+    plan = coded._jdf.queryExecution().analyzed().toString()
+    assert plan.count("from_json") == 1 and "hex(" not in plan
