@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -97,10 +98,24 @@ def unstash(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+#: Each drops a table that an operator keeps in a Python worker between its tasks, and tells whether there was one.
+HELD: list[Callable[[], bool]] = []
+
+
+def forget() -> None:
+    """Drop what other operators have left in this process, and give the memory back to the system."""
+    if any([drop() for drop in HELD]):
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+        if trim:
+            trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
     """Apply `fn` batch by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             out = fn(batch)
             if out is not None and out.num_rows:

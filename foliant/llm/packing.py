@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import stash
+from foliant.llm.common import HELD, stash
 
 WINDOW = 2048
 #: Shares are fixed-point: tokens a window times 2**SHIFT. A closed form covers at most 2**31 windows, so products fit 63 bits.
@@ -85,6 +85,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _drop() -> bool:
+    held = bool(encoder.cache_info().currsize)
+    encoder.cache_clear()
+    return held
+
+
+HELD.append(_drop)
+
+
 @dataclass(frozen=True)
 class Segment:
     """`count` windows from `first`, before which queue i has given served[i] tokens.

@@ -5,9 +5,10 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from foliant.llm import chat, linededup, neighbours, packing, quality, shingles, simhash, topk, warc
+from foliant.llm import chat, common, linededup, neighbours, packing, quality, shingles, simhash, topk, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_lines int, fp string"
 RUN = "alpha one\nbeta two\ngamma three"
@@ -325,3 +326,14 @@ def test_warc_many_blocks_and_files(spark, monkeypatch):
         assert all(bytes(r.payload).decode() == (rows[r.page_id][2] if r.record_type == "response" else "") for r in got)
     got = [i for i, *_ in warc.lookup(archive, pages).select("page_id").collect()]
     assert sorted(got) == list(range(400))
+
+
+def test_workers_forget_the_tokenizer(spark):
+    """A worker that has packed holds its table of chunks for the next task of that kind, but not through another operator's."""
+    docs = spark.range(0, 64, 1, 16).selectExpr("id as doc_id", "'s' as source", "repeat(concat(' word', id), 9) as text")
+    packing.tokenized(docs, packing.default_vocabulary()).collect()
+
+    def held(batch):
+        return pa.RecordBatch.from_arrays([pa.array([packing.encoder.cache_info().currsize], pa.int64())], ["held"])
+
+    assert {r.held for r in common.arrow_map(docs, held, "held long").collect()} == {0}
