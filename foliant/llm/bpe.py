@@ -13,8 +13,9 @@ import heapq
 import itertools
 import json
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import stash, stash_bucketed, unstash
+from foliant.llm.common import forget, release, stash, stash_bucketed, unstash
 from foliant.llm.katz import pack, unpack
 
 #: Bytes of text in a block, and parts of the vocabulary of which one is in a task's memory at a time.
@@ -138,6 +139,17 @@ def fold_merges(word: Column, ranks: Column) -> Column:
     return F.when(F.octet_length(word) > 0, _let(ranks, folded)).otherwise(F.array().cast("array<int>"))
 
 
+class Chunks(dict):
+    """The numbers of the words of a space and each key, made when first asked for."""
+
+    def __init__(self, words: Callable[[str], bytes]):
+        self.words = words
+
+    def __missing__(self, key: str) -> bytes:
+        own = self[key] = self.words(" " + key)
+        return own
+
+
 class Splitter:
     """Splits a text into the pattern's words and numbers them in order of appearance.
 
@@ -152,35 +164,38 @@ class Splitter:
         self.split = regex.compile(re.sub(r"\[\^\\s", lambda _: f"[^{space}", pattern).replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]")).findall
         self.apart = re.compile(r" (?:\s|\Z)").search
         self.number: dict[str, int] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = Chunks(self.words)
+
+    def taken(self) -> list[bytes]:
+        """The words in order of their numbers; the splitter starts anew."""
+        self.chunks = Chunks(self.words)
+        out, self.number = [w.encode() for w in self.number], {}
+        return out
 
     def words(self, text: str) -> bytes:
         number = self.number
-        return np.array([number.setdefault(w, len(number)) for w in self.split(text)], "<u4").tobytes()
+        found = [number.setdefault(w, len(number)) for w in self.split(text)]
+        return struct.pack(f"<{len(found)}I", *found)
 
     def __call__(self, text: str) -> np.ndarray:
         if not text or self.apart(text):
             return np.frombuffer(self.words(text), "<u4")
-        chunks, out = self.chunks, []
         first, *rest = text.split(" ")
-        for chunk in [first, *[" " + x for x in rest]]:
-            own = chunks.get(chunk)
-            if own is None:
-                own = chunks[chunk] = self.words(chunk)
-            out.append(own)
-        return np.frombuffer(b"".join(out), "<u4")
+        return np.frombuffer(self.words(first) + b"".join(map(self.chunks.__getitem__, rest)), "<u4")
 
 
 def blocks_of(texts: DataFrame, pattern: str) -> DataFrame:
     """Documents as numbers of their block's words, and the words themselves by parts of the vocabulary, in the order of the numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         number, splitter, docs, each, size = TaskContext.get().partitionId() << 32, Splitter(pattern), [], [], 0
         ask = pa.list_(pa.struct([("part", pa.int32()), ("lens", pa.binary()), ("raw", pa.binary())]))
         codec = pa.Codec("zstd", compression_level=3)
 
         def close() -> pa.RecordBatch:
-            words = [w.encode() for w in splitter.number]
+            words, lens, flat = splitter.taken(), np.array([len(x) for x in each], np.int64), np.concatenate([*each, np.zeros(0, np.uint32)])
+            each.clear()
             part = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % PARTS
             order = np.argsort(part, kind="stable")
             place = np.empty(len(words), np.uint32)
@@ -189,8 +204,7 @@ def blocks_of(texts: DataFrame, pattern: str) -> DataFrame:
             for i in np.nonzero(np.diff(cuts))[0].tolist():
                 own = [words[j] for j in order[cuts[i] : cuts[i + 1]].tolist()]
                 asks.append({"part": i, "lens": pack(np.fromiter(map(len, own), np.uint32, len(own))), "raw": codec.compress(b"".join(own), asbytes=True)})
-            flat = place[np.concatenate([*each, np.zeros(0, np.uint32)])] if words else np.zeros(0, np.uint32)
-            cols = [pa.array([number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), *(pa.array([pack(x)], pa.binary()) for x in (np.array([len(x) for x in each], np.int64), flat)), pa.array([asks], ask)]
+            cols = [pa.array([number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), *(pa.array([pack(x)], pa.binary()) for x in (lens, place[flat])), pa.array([asks], ask)]
             return pa.RecordBatch.from_arrays(cols, ["block", "doc_ids", "lens", "words", "asks"])
 
         for batch in batches:
@@ -201,9 +215,12 @@ def blocks_of(texts: DataFrame, pattern: str) -> DataFrame:
                 size += len(own)
                 if size >= BLOCK_BYTES:
                     yield close()
-                    splitter, docs, each, size, number = Splitter(pattern), [], [], 0, number + 1
+                    docs, size, number = [], 0, number + 1
+                    release()
         if docs:
             yield close()
+        batch = own = text = None
+        release()
 
     return texts.mapInArrow(run, BLOCKS)
 
@@ -221,6 +238,8 @@ def folded_words(asks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         for batch in batches:
             words = [w for lens, raw in zip(batch.column("lens").to_pylist(), batch.column("raw").to_pylist(), strict=True) for w in _asked(lens, raw) if len(w) <= LONG_WORD]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], ["word"])
+        batch = words = None
+        release()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_part, n, codec = {}, 0, pa.Codec("zstd", compression_level=3)
@@ -243,6 +262,8 @@ def folded_words(asks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 by_part, n = {}, 0
         if by_part:
             yield flush()
+        by_part = batch = None
+        release()
 
     words = asks.select("lens", "raw").mapInArrow(run, "word binary").distinct()
     return words.select("word", fold_merges(F.col("word"), rank_literal(ranks)).alias("ids")).mapInArrow(packed, FOLDED)
@@ -296,6 +317,8 @@ def answers(asks: DataFrame, folded: DataFrame, vocabulary: str) -> DataFrame:
             if out:
                 kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "part", "lens", "ids"])
+        known = batch = out = own = found = None
+        release()
 
     return rows.repartition("part").sortWithinPartitions("part", "side").select("part", "side", "block", "lens", "raw", "counts", "ids").mapInArrow(run, ANSWERS)
 
@@ -304,7 +327,7 @@ def _texts_ids(blocks: DataFrame, told: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, ids, tokens) of each document: its words' ids, gathered from its block's answers."""
     kind = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("tokens", pa.list_(pa.int32()))])
 
-    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+    def gathered(own: pa.Table, answers: pa.Table) -> pa.Table:
         row, told, batches = own.to_pylist()[0], sorted(answers.to_pylist(), key=lambda r: r["part"]), []
         lens = np.concatenate([np.zeros(0, np.int64), *(unpack(r["lens"]).astype(np.int64) for r in told)])
         flat = np.concatenate([np.zeros(0, np.uint32), *(unpack(r["ids"]) for r in told)])
@@ -320,6 +343,11 @@ def _texts_ids(blocks: DataFrame, told: DataFrame) -> DataFrame:
         tokens = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *(x for *_, x in batches)])))
         return pa.table([pa.array([x[0] for x in batches], pa.int64()), pa.array([x[1] for x in batches], pa.int64()), pa.array([x[2] for x in batches], pa.string()), tokens], schema=kind)
 
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        out = gathered(own, answers)
+        release()
+        return out
+
     return blocks.select("block", "doc_ids", "lens", "words").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, tokens array<int>")
 
 

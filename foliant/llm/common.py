@@ -102,13 +102,18 @@ def unstash(*frames: DataFrame) -> None:
 HELD: list[Callable[[], bool]] = []
 
 
+def release() -> None:
+    """Give memory that this process has freed back to the system; Python workers outlive their tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
 def forget() -> None:
     """Drop what other operators have left in this process, and give the memory back to the system."""
     if any([drop() for drop in HELD]):
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
-        if trim:
-            trim(0)
+        release()
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:

@@ -2,13 +2,17 @@
 
 import base64
 import hashlib
+import re
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe
+from foliant.llm import bpe, common
 
 TEXTS = ["Hello world", "", None, "  two  spaces \n\n x", "it's we're <|endoftext|> 123 4567", "é" * 40, "a" * 3000, " 　 \x1c\x85x", "日本語 текст\tmixed\r\n", "ab" * 50 + " " * 30, "x \n", "\n y"]
 
@@ -74,3 +78,27 @@ def test_fold_by_numbers(spark):
     assert {bytes(r.w): r.ids for r in coded.collect()} == {w: bpe.merge(w, ranks) for w in words}
     plan = coded._jdf.queryExecution().analyzed().toString()
     assert plan.count("from_json") == 1 and "hex(" not in plan
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """A Python worker outlives its tasks: when blocks are done it holds little more than before, not the words and chunks of the last one."""
+
+    class Frame:
+        def mapInArrow(self, fn, _):
+            return fn
+
+    def own() -> float:
+        return int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    monkeypatch.setattr(bpe, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    run, letters = bpe.blocks_of(Frame(), bpe.default_pattern()), str.maketrans("0123456789", "ghijklmnop")
+
+    def batches(n):
+        for b in range(n):
+            yield pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array([" ".join(f"{(b * 50 + i) * 4000 + j:x}" for j in range(4000)).translate(letters) for i in range(50)])], ["doc_id", "text"])
+
+    assert sum(len(x.column("doc_ids")[0]) for x in run(batches(1))) == 50
+    common.release()
+    before = own()
+    assert sum(len(x.column("doc_ids")[0]) for x in run(batches(4))) == 200
+    assert own() - before < 25
